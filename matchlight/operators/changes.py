@@ -58,3 +58,14 @@ def propagate(facts: DataFrame, changed: DataFrame, key: str, columns: list[str]
     joined = facts.join(new, key, "left")
     fresh = {c: F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)) for c in columns}
     return joined.withColumns(fresh).select(*facts.columns)
+
+
+def first_seen(rows: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose key is not stored yet, one per key.
+
+    The stored table is first cut to the incoming keys, a join whose small side is the incoming
+    batch; only those few keys then meet the batch in the anti join.
+    """
+    wanted = rows.select(*keys).distinct()
+    known = stored.select(*keys).join(wanted, keys, "left_semi")
+    return insert_if_absent(known, rows, keys)

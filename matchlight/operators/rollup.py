@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchlight.functions import scoring as S
+from matchlight.functions.numbers import ratio, rounded
 from matchlight.operators.participants import (
     moves_per_participant,
     participants,
@@ -111,3 +112,35 @@ def refresh_keys(keys: DataFrame, matches: DataFrame, moves: DataFrame) -> DataF
     )
     joined = keys.join(fresh, ["player_id", "game_id"], "left")
     return joined.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("bigint") for c in COUNTS})
+
+
+def stats_from_wide(wide: DataFrame) -> DataFrame:
+    """The roll-up from wide matches, where each seat's move count is a column of the match."""
+    won = F.col("winner_id") == F.col("player_id")
+    moves = F.when(F.col("seat") == 1, F.col("player1_moves")).otherwise(F.col("player2_moves"))
+    return (
+        participants(wide)
+        .groupBy("player_id", "game_id")
+        .agg(
+            F.count("*").alias("total_games_played"),
+            F.count(F.when(won, 1)).alias("total_wins"),
+            F.count(F.when(~won, 1)).alias("total_losses"),
+            F.sum(moves).cast("bigint").alias("total_moves"),
+            F.sum("duration_minutes").cast("bigint").alias("total_time_played_minutes"),
+            F.max("end_time").alias("last_played"),
+        )
+    )
+
+
+def outcome_shares(rows: DataFrame) -> DataFrame:
+    """Games, wins, losses and the share won (0..1) from participants."""
+    won = F.col("winner_id") == F.col("player_id")
+    return (
+        rows.groupBy("player_id", "game_id")
+        .agg(
+            F.count("*").alias("games"),
+            F.count_if(won).alias("wins"),
+            F.count_if(~won).alias("losses"),
+        )
+        .withColumn("win_share", rounded(ratio(F.col("wins"), F.col("games")), 4))
+    )

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchlight.domain import Domain
+from matchlight.streaming.events import decode_scores
 
 # The game behind each order priority, and the games that can end in a draw.
 GAME_NAMES = {1: "battleship", 2: "chess", 3: "go", 4: "reversi", 5: "tic tac toe"}
@@ -138,3 +139,94 @@ class SampleTables(Domain):
                 )
             ).alias("body"),
         )
+
+    @cached_property
+    def score_events(self) -> DataFrame:
+        return decode_scores(self.score_messages)
+
+    @cached_property
+    def match_messages(self) -> DataFrame:
+        """Finished matches as messages: odd ids inside an envelope, even ids directly.
+
+        A few are broken on purpose, picked by divisors of the id: 83 cuts the JSON text, 89 spoils
+        the start time, 97 names an unknown game, 79 an unknown player, 71 drops the end time.
+        """
+        w, match_id = self.wide, F.col("match_id")
+
+        def text(name):
+            return F.col(name).cast("string")
+
+        def iso(name):
+            return F.date_format(name, "yyyy-MM-dd'T'HH:mm:ss'.123456'")
+
+        event = F.struct(
+            text("match_id").alias("matchId"),
+            text("game_id").alias("gameId"),
+            F.when(match_id % 97 == 0, "mahjong").otherwise(F.col("game_name")).alias("game"),
+            F.when(match_id % 79 == 0, "-1").otherwise(text("player1_id")).alias("player1Id"),
+            text("player2_id").alias("player2Id"),
+            F.when(match_id % 89 == 0, "soon").otherwise(iso("start_time")).alias("startTime"),
+            F.when(match_id % 71 != 0, iso("end_time")).alias("endTime"),
+            F.coalesce("player1_moves", F.lit(0)).cast("int").alias("player1MoveCounts"),
+            F.coalesce("player2_moves", F.lit(0)).cast("int").alias("player2MoveCounts"),
+            text("winner_id").alias("winnerId"),
+        )
+        whole = F.to_json(event)
+        body = F.when(match_id % 83 == 0, F.left(whole, F.lit(25))).otherwise(whole)
+        header = F.struct(text("match_id").alias("eventID"), F.lit("game.over").alias("eventType"))
+        envelope = F.to_json(F.struct(header.alias("eventHeader"), body.alias("eventBody")))
+        return w.select(
+            F.lit("game.over").alias("routing_key"),
+            F.when(match_id % 2 == 1, envelope).otherwise(body).alias("body"),
+        )
+
+    @cached_property
+    def signup_messages(self) -> DataFrame:
+        """Sign-ups in both body shapes, by odd and even player id."""
+        p, text = self.players, F.col("player_id").cast("string")
+        parts = [F.year("birthdate"), F.month("birthdate"), F.dayofmonth("birthdate")]
+        camel = F.to_json(
+            F.struct(
+                text.alias("userId"),
+                "username",
+                F.col("firstname").alias("firstName"),
+                F.col("lastname").alias("lastName"),
+                "gender",
+                "country",
+                F.array(*parts).alias("birthDate"),
+            )
+        )
+        snake = F.to_json(
+            F.struct(
+                text.alias("player_id"),
+                "username",
+                "firstname",
+                "lastname",
+                F.concat(F.lit("mail."), "email").alias("email"),
+                F.col("birthdate").cast("string").alias("birthdate"),
+                "gender",
+                "country",
+            )
+        )
+        return p.select(
+            F.lit("user.signup").alias("routing_key"),
+            F.when(F.col("player_id") % 2 == 1, camel).otherwise(snake).alias("body"),
+        )
+
+    @cached_property
+    def order_messages(self) -> DataFrame:
+        """Line items as order messages, with either spelling of the mail field."""
+        mail = F.concat(F.lit("buyer"), (F.col("l_suppkey") % 7).cast("string"), F.lit("@example.com"))
+        even = F.col("l_orderkey") % 2 == 0
+        return self.table("lineitem").select(
+            F.lit("order.placed").alias("routing_key"),
+            F.to_json(
+                F.struct(
+                    F.concat_ws("-", F.col("l_orderkey"), F.col("l_linenumber")).alias("id"),
+                    F.when(even, mail).alias("user_email"),
+                    F.when(~even, mail).alias("userEmail"),
+                    F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("product"),
+                    F.col("l_quantity").cast("int").alias("quantity"),
+                )
+            ).alias("body"),
+        )
