@@ -1,6 +1,13 @@
 """Named queries over the domain, each with independent check SQL where SQL can express it."""
 
-from matchlight.queries import events, quality, reports, rollups  # noqa: F401
+from matchlight.queries import (  # noqa: F401
+    events,
+    features,
+    frames,
+    quality,
+    reports,
+    rollups,
+)
 from matchlight.queries.base import callables, oracles
 
 __all__ = ["callables", "oracles"]

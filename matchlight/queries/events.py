@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from matchlight.operators.changes import first_seen
 from matchlight.queries.base import query, r
+from matchlight.schemas import MESSAGE
 from matchlight.session import scratch_path
+from matchlight.sources.tables import read_table, replace
 from matchlight.streaming import events as E
 from matchlight.streaming import ingest as I
 
@@ -63,8 +65,11 @@ def _(d):
 
 
 def checked(d):
-    games = d.game_names
-    return E.check_match_events(E.decode_match_events(d.match_messages), games, d.players)
+    """The match messages, stored as they would arrive, then decoded and checked."""
+    path = scratch_path(d.spark, "messages")
+    replace(d.match_messages, path)
+    messages = read_table(d.spark, path, MESSAGE)
+    return E.check_match_events(E.decode_match_events(messages), d.game_names, d.players)
 
 
 @query(
