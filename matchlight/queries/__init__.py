@@ -4,6 +4,7 @@ from matchlight.queries import (  # noqa: F401
     events,
     features,
     frames,
+    models,
     quality,
     reports,
     rollups,
