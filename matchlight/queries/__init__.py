@@ -8,6 +8,7 @@ from matchlight.queries import (  # noqa: F401
     quality,
     reports,
     rollups,
+    synthetic,
 )
 from matchlight.queries.base import callables, oracles
 
