@@ -28,28 +28,40 @@ def moves_per_participant(moves: DataFrame) -> DataFrame:
     )
 
 
-def participants_with_moves(matches: DataFrame, moves: DataFrame) -> DataFrame:
-    """Participants with their own move count, NULL where none was recorded."""
-    return participants(matches).join(
-        moves_per_participant(moves), ["match_id", "player_id"], "left"
-    )
+def with_moves(matches: DataFrame, moves: DataFrame) -> DataFrame:
+    """Matches with both players' move counts, NULL where none was recorded.
 
-
-def matches_wide(matches: DataFrame, moves: DataFrame, games: DataFrame) -> DataFrame:
-    """Match rows with the game name and both move counts.
-
-    The two counts come from one pass over participants grouped by match, not from two joins.
+    Everything here is keyed by ``match_id``: the moves are combined per (match, player), joined
+    and folded back to one row per match. On tables bucketed by ``match_id`` no row is shuffled;
+    otherwise a match crosses the network once, before it is split into its two seats.
     """
     facts = [c for c in matches.columns if c != "match_id"]
-    keyed = matches.select("match_id", F.struct(*facts).alias("m"), "player1_id", "player2_id")
-    by_match = (
-        participants_with_moves(keyed, moves)
+
+    def moves_of(player: str):
+        return F.max(F.when(F.col("player_id") == F.col(player), F.col("moves")))
+
+    return (
+        matches.join(moves_per_participant(moves), "match_id", "left")
         .groupBy("match_id")
         .agg(
-            F.any_value("m").alias("m"),
-            F.max(F.when(F.col("seat") == 1, F.col("moves"))).alias("player1_moves"),
-            F.max(F.when(F.col("seat") == 2, F.col("moves"))).alias("player2_moves"),
+            *[F.any_value(c).alias(c) for c in facts],
+            moves_of("player1_id").alias("player1_moves"),
+            moves_of("player2_id").alias("player2_moves"),
         )
-        .select("match_id", "m.*", "player1_moves", "player2_moves")
     )
-    return by_match.join(games.select("game_id", F.col("name").alias("game_name")), "game_id")
+
+
+def participants_with_moves(matches: DataFrame, moves: DataFrame) -> DataFrame:
+    """Participants with their own move count."""
+    own = F.when(F.col("seat") == 1, F.col("player1_moves")).otherwise(F.col("player2_moves"))
+    return (
+        participants(with_moves(matches, moves))
+        .withColumn("moves", own)
+        .drop("player1_moves", "player2_moves")
+    )
+
+
+def matches_wide(matches: DataFrame, moves: DataFrame, games: DataFrame) -> DataFrame:
+    """Match rows with the game name and both move counts."""
+    names = games.select("game_id", F.col("name").alias("game_name"))
+    return with_moves(matches, moves).join(names, "game_id")

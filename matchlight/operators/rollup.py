@@ -26,8 +26,8 @@ COUNTS = (
 def player_game_stats(matches: DataFrame, moves: DataFrame) -> DataFrame:
     """Games, outcomes, moves, minutes and first/last time per (player, game).
 
-    Matches and moves meet on (match, player), a key with one row per side, so no popular player
-    can overload a task there; the group on (player, game) combines rows before its shuffle.
+    Matches and moves meet per match, before players come into play, so no popular player can
+    overload a task there; the group on (player, game) combines rows before its shuffle.
     ``match_id`` is unique, hence counting rows equals counting distinct matches.
     """
     slim = matches.select(
