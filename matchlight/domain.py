@@ -27,6 +27,7 @@ class Domain:
     def __init__(self, spark: SparkSession, as_of: str = "2001-08-03 00:00:00", **tables: DataFrame):
         self.spark = spark
         self.as_of = as_of
+        self.has_stats = "stats" in tables
         for name, df in tables.items():
             setattr(self, name, df)
 
@@ -70,6 +71,37 @@ class Domain:
     def scored(self) -> DataFrame:
         return rollup.with_scores(self.stats, self.as_of)
 
+    def scored_of_games(self, ids: DataFrame) -> DataFrame:
+        """Scored stats of some games; without a stored table only their matches are rolled up."""
+        few = self.per_game(ids.select("game_id"))
+        if self.has_stats:
+            stats = self.stats.join(few, "game_id", "left_semi")
+        else:
+            stats = rollup.player_game_stats(
+                self.matches.join(few, "game_id", "left_semi"), self.moves
+            )
+        return rollup.with_scores(stats, self.as_of)
+
+    def scored_of_player(self, player_id: int) -> DataFrame:
+        """Scored stats of one player; without a stored table the scans read only that player."""
+        mine = F.col("player_id") == player_id
+        if self.has_stats:
+            stats = self.stats.filter(mine)
+        else:
+            seats = (F.col("player1_id") == player_id) | (F.col("player2_id") == player_id)
+            stats = rollup.player_game_stats(
+                self.matches.filter(seats), self.moves.filter(mine)
+            ).filter(mine)
+        return rollup.with_scores(stats, self.as_of)
+
+    def named(self, scored: DataFrame) -> DataFrame:
+        """Add the player's and the game's columns to scored stats.
+
+        The fact side is already one row per (player, game), so the join on the player has no
+        hot key whatever the number of matches.
+        """
+        return scored.join(self.people, "player_id").join(self.game_names, "game_id")
+
     @cached_property
     def game_names(self) -> DataFrame:
         return self.per_game(self.games.select("game_id", F.col("name").alias("game_name")))
@@ -88,12 +120,8 @@ class Domain:
 
     @cached_property
     def star(self) -> DataFrame:
-        """Scored stats with the player's and the game's columns.
-
-        The fact side is already one row per (player, game), so the join on the player has no
-        hot key whatever the number of matches.
-        """
-        return self.scored.join(self.people, "player_id").join(self.game_names, "game_id")
+        """All scored stats with the player's and the game's columns."""
+        return self.named(self.scored)
 
     @cached_property
     def wide(self) -> DataFrame:

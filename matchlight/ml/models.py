@@ -36,7 +36,7 @@ from matchlight.functions.numbers import rounded
 from matchlight.ml.targets import Target
 from matchlight.operators import features as X
 from matchlight.operators.neighbors import smote
-from matchlight.session import scratch_path
+from matchlight.session import stored
 
 SEED = 42
 WEIGHT = "class_weight"
@@ -57,14 +57,6 @@ class Size:
 SMALL = Size(trees=8, rounds=4, depth=4, folds=2, iterations=20)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back, so that the many passes of a training
-    run read a table instead of repeating its plan."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def feature_stages(target: Target) -> list:
     """Encode (unseen values get their own code), assemble in fixed order, scale."""
     coded = [f"{c}_code" for c in target.categorical]

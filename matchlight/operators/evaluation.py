@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from matchlight.functions.numbers import exact, exact_mean, ratio, rounded
 from matchlight.operators.ordered import accumulate, with_ranges
+from matchlight.session import stored
 
 
 def accuracy(df: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -62,7 +63,8 @@ def _score_totals(df: DataFrame, label: str, score: str, descending: bool) -> Da
         F.sum(1 - positive).cast("bigint").alias("neg"),
     )
     order = F.desc("_score") if descending else F.asc("_score")
-    ranged = with_ranges(per_score, "_score").withColumn("_all", F.lit(1))
+    kept = stored(per_score, "score-counts")
+    ranged = with_ranges(kept, "_score").withColumn("_all", F.lit(1))
     return accumulate(ranged, ["_all"], [order], ["pos", "neg"], descending).drop("_all")
 
 

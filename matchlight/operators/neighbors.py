@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchlight.session import stored
+
 PIVOTS = 64
 BASE_BLOCK = 20_000
 QUERY_BLOCK = 20_000
@@ -54,7 +56,9 @@ def nearest(
     need = k + 1 if exclude_self else k
     spark = base.sparkSession
     label = F.col(payload) if payload else F.lit("")
-    distinct = base.groupBy("vec", label.alias("payload")).agg(F.count("*").alias("copies"))
+    distinct = stored(
+        base.groupBy("vec", label.alias("payload")).agg(F.count("*").alias("copies")), "base-rows"
+    )
 
     chosen = distinct.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(pivots).collect()
     centers = np.array([row["vec"] for row in chosen], dtype="float64")
@@ -69,8 +73,11 @@ def nearest(
         cell = d.argmin(axis=1)
         return pd.DataFrame({"cell": cell.astype("int32"), "reach": np.sqrt(d.min(axis=1))})
 
-    placed = distinct.withColumn("p", place("vec")).select(
-        "vec", "payload", "copies", "p.cell", "p.reach"
+    placed = stored(
+        distinct.withColumn("p", place("vec")).select(
+            "vec", "payload", "copies", "p.cell", "p.reach"
+        ),
+        "base-cells",
     )
     # Per cell: size, radius, and the distances of its innermost rows. Bounded by pivots x need.
     inner = Window.partitionBy("cell").orderBy("reach", "vec", "payload")
@@ -101,7 +108,9 @@ def nearest(
         near = d - radius <= (bound * (1 + SLACK) + SLACK)[:, None]
         return pd.Series([ids[row].tolist() for row in near])
 
-    sent = queries.select(key, "vec", F.explode(candidates("vec")).alias("cell"))
+    sent = stored(
+        queries.select(key, "vec", F.explode(candidates("vec")).alias("cell")), "query-cells"
+    )
     asked = sent.groupBy("cell").agg(F.count("*").alias("n")).collect()
     demand = {row["cell"]: int(-(-row["n"] // query_block)) for row in asked}
     plan = F.broadcast(  # one row per pivot

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlight.functions.numbers import exact, rounded
+from matchlight.session import stored
 
 RANGES = 256
 
@@ -61,11 +62,17 @@ def accumulate(
 
 
 def exact_quantiles(
-    df: DataFrame, groups: list[str], value, probabilities: dict[str, float], digits: int = 6
+    df: DataFrame,
+    groups: list[str],
+    value,
+    probabilities: dict[str, float],
+    digits: int = 6,
+    ranges: int = RANGES,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group.
 
-    ``probabilities`` maps output column names to probabilities.
+    ``probabilities`` maps output column names to probabilities. The counts per value are stored,
+    so the input is read once.
     """
     keys = groups or ["_all"]
     base = df if groups else df.withColumn("_all", F.lit(1))
@@ -75,7 +82,8 @@ def exact_quantiles(
         .groupBy(*keys, "_v")
         .agg(F.count("*").alias("n"))
     )
-    ranked = accumulate(with_ranges(counts, "_v"), keys, [F.asc("_v")], ["n"])
+    ranged = with_ranges(stored(counts, "value-counts"), "_v", ranges)
+    ranked = accumulate(ranged, keys, [F.asc("_v")], ["n"])
 
     def at(position):
         inside = (F.col("n_upto") - F.col("n") <= position) & (position < F.col("n_upto"))

@@ -54,7 +54,7 @@ def country_frame(d: Domain) -> DataFrame:
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Rows per value and their share of all rows; the share comes from the few grouped rows."""
     counts = df.groupBy(column).agg(F.count("*").alias("n"))
-    rows = df.agg(F.count("*")).scalar()
+    rows = counts.agg(F.sum("n")).scalar()
     return (
         counts.withColumn("rows", rows)
         .withColumn("share", percent(F.col("n"), F.col("rows"), 4))

@@ -39,6 +39,19 @@ def check_limit(limit: int, low: int, high: int) -> int:
     return limit
 
 
+def first_rows(
+    d: Domain, scored: DataFrame, order: list, limit: int, skip: int = 0
+) -> DataFrame:
+    """Rank the stats, keep one page, and only then look up names for the few rows left."""
+    page = scored.orderBy(*order, *PK)
+    page = page.offset(skip).limit(limit) if skip else page.limit(limit)
+    return d.named(page).orderBy(*order, *PK)
+
+
+def games_named(d: Domain, name: str) -> DataFrame:
+    return d.games.filter(F.col("name") == name)
+
+
 # --- player lists -----------------------------------------------------------------------------
 
 
@@ -49,10 +62,8 @@ def all_player_stats(d: Domain) -> DataFrame:
 def game_stats_search(d: Domain, term: str) -> DataFrame:
     """Stats of games whose name contains the term, whatever the case; % and _ are wildcards."""
     found = d.games.filter(F.lower("name").like(f"%{term.lower()}%"))
-    names = d.per_game(found.select("game_id", F.col("name").alias("game_name")))
     return (
-        d.scored.join(names, "game_id")
-        .join(d.people, "player_id")
+        d.named(d.scored_of_games(found))
         .orderBy(F.desc("win_ratio"), F.desc("total_games_played"), *PK)
         .select(*PLAYER_COLUMNS)
     )
@@ -70,14 +81,12 @@ def player_search(d: Domain, term: str) -> DataFrame:
 
 
 def player_stats_by_id(d: Domain, player_id: int) -> DataFrame:
-    return d.star.filter(F.col("player_id") == player_id).select(
-        *PLAYER_COLUMNS, "rating", "last_played"
-    )
+    return d.named(d.scored_of_player(player_id)).select(*PLAYER_COLUMNS, "rating", "last_played")
 
 
 def game_stats_by_id(d: Domain, game_id: int) -> DataFrame:
     return (
-        d.star.filter(F.col("game_id") == game_id)
+        d.named(d.scored_of_games(d.games.filter(F.col("game_id") == game_id)))
         .orderBy(F.desc("rating"), F.desc("win_ratio"), *PK)
         .select(*PLAYER_COLUMNS, "rating", "last_played")
     )
@@ -86,12 +95,8 @@ def game_stats_by_id(d: Domain, game_id: int) -> DataFrame:
 def players_page(d: Domain, skip: int = 0, limit: int = 20) -> DataFrame:
     """One page of stats rows, newest first."""
     check_limit(limit, 1, 100)
-    return (
-        d.star.orderBy(F.desc("last_played"), *PK)
-        .offset(skip)
-        .limit(limit)
-        .select(*PLAYER_COLUMNS, "rating", "last_played")
-    )
+    page = first_rows(d, d.scored, [F.desc("last_played")], limit, skip)
+    return page.select(*PLAYER_COLUMNS, "rating", "last_played")
 
 
 def active_players(d: Domain, days: int = 90) -> DataFrame:
@@ -118,40 +123,45 @@ def recent_players(d: Domain, limit: int = 3) -> DataFrame:
 def top_players_by_game(d: Domain, game: str, limit: int = 3) -> DataFrame:
     """The busiest players of a game, then by win ratio."""
     check_limit(limit, 1, 10)
-    return (
-        d.star.filter(F.col("game_name") == game)
-        .orderBy(F.desc("total_games_played"), F.desc("win_ratio"), *PK)
-        .limit(limit)
-        .select(*PLAYER_COLUMNS)
-    )
+    order = [F.desc("total_games_played"), F.desc("win_ratio")]
+    scored = d.scored_of_games(games_named(d, game))
+    return first_rows(d, scored, order, limit).select(*PLAYER_COLUMNS)
 
 
 def top_rated_by_game(d: Domain, game_id: int, limit: int = 3) -> DataFrame:
     check_limit(limit, 1, 10)
-    return (
-        d.star.filter(F.col("game_id") == game_id)
-        .orderBy(F.desc("rating"), F.desc("win_ratio"), *PK)
-        .limit(limit)
-        .select(
-            "player_id", "player_name", "country", "total_games_played", "total_wins",
-            "total_losses", "win_ratio", "rating", "last_played",
-        )
+    scored = d.scored_of_games(d.games.filter(F.col("game_id") == game_id))
+    return first_rows(d, scored, [F.desc("rating"), F.desc("win_ratio")], limit).select(
+        "player_id",
+        "player_name",
+        "country",
+        "total_games_played",
+        "total_wins",
+        "total_losses",
+        "win_ratio",
+        "rating",
+        "last_played",
     )
 
 
 def top_players_min_games(
     d: Domain, game: str = "battleship", min_games: int = 20, limit: int = 10
 ) -> DataFrame:
-    rate = percent(F.col("total_wins"), F.col("total_games_played"))
-    return (
-        d.star.filter((F.col("game_name") == game) & (F.col("total_games_played") >= min_games))
-        .withColumn("win_rate", rate)
-        .orderBy(F.desc("win_rate"), F.desc("total_games_played"), *PK)
-        .limit(limit)
-        .select(
-            "player_id", "player_name", "country", "total_games_played", "total_wins",
-            "total_losses", "win_rate", "total_moves", "total_time_played_minutes",
-        )
+    """The leaders of a game by win rate among players with enough games."""
+    scored = d.scored_of_games(games_named(d, game)).filter(
+        F.col("total_games_played") >= min_games
+    )
+    order = [F.desc("win_ratio"), F.desc("total_games_played")]
+    return first_rows(d, scored, order, limit).select(
+        "player_id",
+        "player_name",
+        "country",
+        "total_games_played",
+        "total_wins",
+        "total_losses",
+        F.col("win_ratio").alias("win_rate"),
+        "total_moves",
+        "total_time_played_minutes",
     )
 
 
@@ -167,8 +177,9 @@ def ranked_players(d: Domain, top: int = 3, min_games: int = 10, active_days: in
     ranked = (
         d.scored.filter((g >= min_games) & (days_since(last, d.as_of) <= active_days))
         .withColumn("player_score", score)
-        .withColumn("player_rank", F.row_number().over(window).cast("bigint"))
+        .withColumn("player_rank", F.row_number().over(window))
         .filter(F.col("player_rank") <= top)
+        .withColumn("player_rank", F.col("player_rank").cast("bigint"))
     )
     return (
         ranked.join(d.people, "player_id")
@@ -335,10 +346,10 @@ def match_counts_by_game(d: Domain) -> DataFrame:
 
 
 def match_share_by_game(d: Domain) -> DataFrame:
-    all_matches = d.matches.agg(F.count("*")).scalar()
+    counts = match_counts_by_game(d)
+    all_matches = counts.agg(F.sum("total_matches")).scalar()
     return (
-        match_counts_by_game(d)
-        .withColumn("all_matches", all_matches)
+        counts.withColumn("all_matches", all_matches)
         .withColumn("percentage", percent(F.col("total_matches"), F.col("all_matches")))
         .drop("all_matches")
         .orderBy(F.desc("total_matches"), "game_name")

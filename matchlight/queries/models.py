@@ -13,7 +13,7 @@ from matchlight.operators.features import encoder, standard_scale
 from matchlight.operators.neighbors import nearest, smote, vote
 from matchlight.queries.base import query
 from matchlight.queries.features import HASH
-from matchlight.session import scratch_path
+from matchlight.session import scratch_path, stored
 
 KNN_NUMERIC = [*T.LEVEL.numeric]
 KNN_CODES = {"gender": "gender_code", "country": "country_code", "game_name": "game_code"}
@@ -29,7 +29,7 @@ def scaled_vectors(d):
     for column, code in KNN_CODES.items():
         base = encoder(base, column, code).transform(base)
     kept = base.select("row_key", "player_id", "game_id", "player_level", *KNN_COLUMNS)
-    scaled = standard_scale(M.stored(kept, "knn-input"), KNN_COLUMNS, digits=3)
+    scaled = standard_scale(stored(kept, "knn-input"), KNN_COLUMNS, digits=3)
     vec = F.array(*[F.round(F.col(c) * 1000) for c in KNN_COLUMNS])
     return scaled.select("row_key", "player_id", "game_id", "player_level", vec.alias("vec"))
 
@@ -58,7 +58,7 @@ def _z(c: str) -> str:
     from votes group by player_id, game_id""",
 )
 def _(d):
-    rows = M.stored(scaled_vectors(d), "knn")
+    rows = stored(scaled_vectors(d), "knn")
     train = in_train(F.col("player_id"))
     near = nearest(
         rows.filter(~train), rows.filter(train), "row_key", 5, payload="player_level", pivots=16
@@ -80,7 +80,7 @@ def _(d):
         (F.col("player_id") * 100 + F.col("game_id")).alias("row_key"),
         vector_to_array("features").alias("vec"),
     )
-    made = smote(M.stored(minority, "minority"), "row_key", copies=1, pivots=16)
+    made = smote(stored(minority, "minority"), "row_key", copies=1, pivots=16)
     return made.select("row_key", "copy", F.size("vec").alias("dimensions"), rounded(F.get("vec", F.lit(0)), 6).alias("first"))
 
 
@@ -109,7 +109,7 @@ trained("cv_scores", T.WIN, models=("linear",), size=M.Size(trees=5, rounds=3, d
 
 @query("model_comparison")
 def _(d):
-    rows = M.stored(T.training_rows(d), "rows")
+    rows = stored(T.training_rows(d), "rows")
     tables = [
         M.train(rows, target, models=models).table(d.spark)
         for target, models in (
@@ -133,7 +133,7 @@ def _(d):
 @query("model_roundtrip")
 def _(d):
     """Rows whose score changes after saving and loading a model, next to all rows."""
-    rows = M.stored(T.training_rows(d), "rows")
+    rows = stored(T.training_rows(d), "rows")
     model = M.fit_one(rows, T.CHURN, "logistic")
     path = scratch_path(d.spark, "model")
     M.save(model, path)
@@ -151,7 +151,7 @@ def _(d):
 
 @query("soft_vote")
 def _(d):
-    rows = M.stored(T.training_rows(d), "rows")
+    rows = stored(T.training_rows(d), "rows")
     models = {n: M.fit_one(rows, T.CHURN, n) for n in T.CLASSIFIERS}
     return M.soft_vote(rows, models, T.CHURN).select(
         "player_id", "game_id", "probability", "prediction"
@@ -163,28 +163,28 @@ def _(d):
 
 @query("score_churn")
 def _(d):
-    rows = M.stored(T.training_rows(d), "rows")
+    rows = stored(T.training_rows(d), "rows")
     scored = C.score_churn(rows, M.fit_one(rows, T.CHURN, "random_forest"))
     return scored.select("player_id", "game_id", "churn_result", "churn_probability", "churn_advice")
 
 
 @query("score_win")
 def _(d):
-    rows = M.stored(T.training_rows(d), "rows")
+    rows = stored(T.training_rows(d), "rows")
     scored = C.score_win(rows, M.fit_one(rows, T.WIN, "linear"))
     return scored.select("player_id", "game_id", "win_prediction", "win_percent", "win_advice")
 
 
 @query("score_win_binary")
 def _(d):
-    rows = M.stored(T.training_rows(d), "rows")
+    rows = stored(T.training_rows(d), "rows")
     scored = C.score_win_binary(rows, M.fit_one(rows, T.WIN_BINARY, "gradient_boosting"))
     return scored.select("player_id", "game_id", "next_win_probability")
 
 
 @query("score_engagement")
 def _(d):
-    rows = M.stored(T.training_rows(d), "rows")
+    rows = stored(T.training_rows(d), "rows")
     scored = C.score_engagement(rows, M.fit_one(rows, T.ENGAGEMENT, "linear"))
     return scored.select(
         "player_id", "game_id", "monthly_forecast", "daily_average", "engagement_minutes",
@@ -194,7 +194,7 @@ def _(d):
 
 @query("score_level")
 def _(d):
-    rows = M.stored(T.training_rows(d), "rows")
+    rows = stored(T.training_rows(d), "rows")
     model = M.fit_one(rows, T.LEVEL, "random_forest")
     scored = C.score_level(rows, model, C.level_labels(model))
     return scored.select(
@@ -204,7 +204,7 @@ def _(d):
 
 @query("score_all")
 def _(d):
-    rows = M.stored(T.training_rows(d), "rows")
+    rows = stored(T.training_rows(d), "rows")
     models = {
         "churn": M.fit_one(rows, T.CHURN, "logistic"),
         "win": M.fit_one(rows, T.WIN, "linear"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # SQL settings every job relies on. Join and shuffle sizing is left to adaptive execution: a side
 # is broadcast only when its measured size is under the threshold, partitions are merged or split
@@ -63,6 +63,17 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    For a table several later passes read: it is computed once, its lineage ends here, and losing
+    an executor costs a re-read, not a recomputation.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A path no other run uses, inside the shared folder."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"

@@ -3,8 +3,9 @@
 Each micro-batch writes its own ``batch_id=<n>`` folders with overwrite, so a batch that is
 retried after a failure replaces its own output and nothing else; the stream checkpoint takes the
 place of the queue's acknowledgement. Statistics are kept as additive parts: a batch adds the
-counts of its new matches, and the current table is the sum of the parts. The work of a batch
-therefore grows with the batch, not with the history.
+counts of its new matches, and the current table is the sum of the parts. Match history is not
+read again for a batch except for its own match ids; ratings read the statistics of the touched
+players.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from matchlight import schemas
 from matchlight.operators import changes, rollup
+from matchlight.sources.tables import VersionedTable
 from matchlight.streaming import events
 
 STATS_PARTS = (
@@ -89,15 +91,33 @@ class EventStore:
 
     def stats(self, upto: int | None = None) -> DataFrame:
         """The current statistics: all parts added up."""
-        parts = self._read("player_game_stats", STATS_PARTS, None if upto is None else upto + 1)
-        return merge_parts(parts.drop("batch_id"))
+        return merge_parts(self._stats_parts(upto))
+
+    def _stats_parts(self, upto: int | None) -> DataFrame:
+        """The last compacted table not after ``upto`` and the parts after it."""
+        end = None if upto is None else upto + 1
+        parts = self._read("player_game_stats", STATS_PARTS, end)
+        base = self.compacted.latest(before=end)
+        if base is None:
+            return parts.drop("batch_id")
+        newer = parts.filter(F.col("batch_id") > base).drop("batch_id")
+        return self.compacted.read(before=end).unionByName(newer)
+
+    @property
+    def compacted(self) -> VersionedTable:
+        return VersionedTable(self.spark, f"{self.root}/player_game_stats_compacted")
+
+    def compact(self, upto: int) -> None:
+        """Add up all parts of the batches up to ``upto`` into one table, to be run now and then."""
+        self.compacted.write(self.stats(upto), upto)
 
     def add_matches(
         self, batch: DataFrame, batch_id: int, games: DataFrame, players: DataFrame, as_of
     ) -> None:
         """Check, dedupe and store the match events of one micro-batch and add their statistics."""
-        checked = events.check_match_events(events.decode_match_events(batch), games, players)
-        # The parsed events are stored first; everything below reads them back.
+        # The messages are parsed once and stored; each step below reads what the last one stored.
+        decoded = self._stage(events.decode_match_events(batch), "staged_messages", batch_id)
+        checked = events.check_match_events(decoded, games, players)
         events_read = self._stage(checked, "staged_events", batch_id)
         self._write(events.quarantine(events_read), "quarantine", batch_id)
         fresh = changes.first_seen(
@@ -111,7 +131,8 @@ class EventStore:
         self._write(moves, "match_moves", batch_id)
         self._write(rollup.player_game_stats(stored, moves), "player_game_stats", batch_id)
         keys = rollup.affected_keys(stored)
-        current = self.stats(upto=batch_id).join(keys, ["player_id", "game_id"], "left_semi")
+        touched = self._stats_parts(batch_id).join(keys, ["player_id", "game_id"], "left_semi")
+        current = merge_parts(touched)
         rated = changes.rating_history(rollup.with_scores(current, as_of), as_of, batch_id)
         self._write(rated.drop("batch_id"), "player_ratings", batch_id)
 

@@ -108,6 +108,8 @@ def test_stream_equals_batch_and_replay_changes_nothing(spark, small, tmp_path):
     assert rows(store.stats().select(*columns), "player_id", "game_id") == expected
     assert store.ratings().count() == ratings
     assert store.matches().count() == 3
+    store.compact(1)
+    assert rows(store.stats().select(*columns), "player_id", "game_id") == expected
 
 
 def test_signup_stream_adds_each_player_once(spark, tmp_path):

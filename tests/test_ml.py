@@ -6,6 +6,7 @@ from matchlight.ml import models as M
 from matchlight.ml import scoring as C
 from matchlight.ml import targets as T
 from matchlight.operators import features as X
+from matchlight.session import stored
 from matchlight.sources import generate
 from matchlight.operators.participants import participants
 
@@ -25,9 +26,9 @@ def rows(spark):
     games = spark.range(1).select(F.inline(generate.games_table())).select("game_id", "name", "can_draw")
     d = Domain(
         spark, "2024-06-30", games=games, players=generate.players(ids, "2024-06-30"),
-        matches=M.stored(wide.drop("player1_moves", "player2_moves"), "m"), moves=M.stored(moves, "mv"),
+        matches=stored(wide.drop("player1_moves", "player2_moves"), "m"), moves=stored(moves, "mv"),
     )
-    return M.stored(T.training_rows(d), "rows")
+    return stored(T.training_rows(d), "rows")
 
 
 def test_training_is_repeatable_and_better_than_chance(rows):
