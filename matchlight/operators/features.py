@@ -52,7 +52,16 @@ def one_hot(df: DataFrame, column: str) -> DataFrame:
     return array.withColumns(columns).drop("_index", "_hot", "_array")
 
 
-def impute_mean(df: DataFrame, columns: list[str]) -> DataFrame:
+def numeric_columns(df: DataFrame) -> list[str]:
+    """The columns that hold numbers, in table order."""
+    numeric = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+    return [name for name, kind in df.dtypes if kind.split("(")[0] in numeric]
+
+
+def impute_mean(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Fill NULLs with the column mean, by default in every floating-point column."""
+    if columns is None:
+        columns = [c for c in numeric_columns(df) if dict(df.dtypes)[c] in ("float", "double")]
     model = Imputer(strategy="mean", inputCols=columns, outputCols=columns).fit(df)
     return model.transform(df)
 

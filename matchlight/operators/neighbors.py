@@ -9,13 +9,19 @@ query. Equal base rows are one row with a count, so copies cost nothing.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlight.session import stored
 
+# Ship the helpers below with the tasks, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 PIVOTS = 64
 BASE_BLOCK = 20_000
 QUERY_BLOCK = 20_000

@@ -59,9 +59,20 @@ def all_player_stats(d: Domain) -> DataFrame:
     return d.star.orderBy(F.desc("last_played"), *PK).select(*PLAYER_COLUMNS)
 
 
-def game_stats_search(d: Domain, term: str) -> DataFrame:
-    """Stats of games whose name contains the term, whatever the case; % and _ are wildcards."""
-    found = d.games.filter(F.lower("name").like(f"%{term.lower()}%"))
+def matches_text(column: Column, term: str, collation: str | None = None) -> Column:
+    """Whether the text contains the term, whatever the case; % and _ are wildcards.
+
+    With a collation such as UNICODE_CI_AI the comparison follows it (accents, too) and the term
+    is taken as it is.
+    """
+    if collation:
+        return F.collate(column, collation).contains(F.collate(F.lit(term), collation))
+    return F.lower(column).like(f"%{term.lower()}%")
+
+
+def game_stats_search(d: Domain, term: str, collation: str | None = None) -> DataFrame:
+    """Stats of games whose name contains the term, see :func:`matches_text`."""
+    found = d.games.filter(matches_text(F.col("name"), term, collation))
     return (
         d.named(d.scored_of_games(found))
         .orderBy(F.desc("win_ratio"), F.desc("total_games_played"), *PK)
@@ -69,9 +80,9 @@ def game_stats_search(d: Domain, term: str) -> DataFrame:
     )
 
 
-def player_search(d: Domain, term: str) -> DataFrame:
-    """Stats of players whose full name contains the term, whatever the case."""
-    found = d.people.filter(F.lower("player_name").like(f"%{term.lower()}%"))
+def player_search(d: Domain, term: str, collation: str | None = None) -> DataFrame:
+    """Stats of players whose full name contains the term, see :func:`matches_text`."""
+    found = d.people.filter(matches_text(F.col("player_name"), term, collation))
     return (
         d.scored.join(found, "player_id")
         .join(d.game_names, "game_id")

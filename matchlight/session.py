@@ -75,5 +75,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A path no other run uses, inside the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path no other run uses, inside this application's part of the shared folder."""
+    return f"{_scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what this application stored with :func:`stored` and :func:`scratch_path`."""
+    context = spark.sparkContext
+    root = context._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    root.getFileSystem(context._jsc.hadoopConfiguration()).delete(root, True)
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/matchlight-{spark.sparkContext.applicationId}"

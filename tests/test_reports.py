@@ -28,6 +28,8 @@ def test_searches_ignore_case_and_know_wildcards(small):
     assert {r.game_name for r in reports.game_stats_search(small, "CHE").collect()} == {"chess"}
     assert {r.player_name for r in reports.player_search(small, "b%R").collect()} == {"Bob Ray"}
     assert reports.game_stats_search(small, "poker").count() == 0
+    accented = reports.game_stats_search(small, "CHÉSS", collation="UNICODE_CI_AI")
+    assert {r.game_name for r in accented.collect()} == {"chess"}
 
 
 def test_top_ranking_and_nesting(small):
@@ -67,5 +69,19 @@ def test_value_counts_add_up(small):
     assert sum(r.share for r in got) == pytest.approx(100.0, abs=0.01)
 
 
+def test_a_stored_stats_table_gives_the_same_lookups(small):
+    from matchlight.domain import Domain
+    from matchlight.session import stored
+
+    tables = {n: getattr(small, n) for n in ("games", "players", "matches", "moves")}
+    kept = Domain(small.spark, small.as_of, stats=stored(small.stats, "stats"), **tables)
+    for call in (
+        lambda d: reports.player_stats_by_id(d, 1),
+        lambda d: reports.game_stats_by_id(d, 2),
+        lambda d: reports.top_players_by_game(d, "battleship"),
+    ):
+        assert rows(call(kept), "player_id", "game_id") == rows(call(small), "player_id", "game_id")
+
+
 def test_few_games_is_checked(small):
     assert small.few_games is True
