@@ -33,18 +33,16 @@ def with_moves(matches: DataFrame, moves: DataFrame) -> DataFrame:
 
     Everything here is keyed by ``match_id``: the moves are combined per (match, player), joined
     and folded back to one row per match. On tables bucketed by ``match_id`` no row is shuffled;
-    otherwise a match crosses the network once, before it is split into its two seats.
+    otherwise a match crosses the network once, before it is split into its two seats. All match
+    columns are group keys, so later filters on them reach the scan; select the needed ones first.
     """
-    facts = [c for c in matches.columns if c != "match_id"]
-
     def moves_of(player: str):
         return F.max(F.when(F.col("player_id") == F.col(player), F.col("moves")))
 
     return (
         matches.join(moves_per_participant(moves), "match_id", "left")
-        .groupBy("match_id")
+        .groupBy(*matches.columns)
         .agg(
-            *[F.any_value(c).alias(c) for c in facts],
             moves_of("player1_id").alias("player1_moves"),
             moves_of("player2_id").alias("player2_moves"),
         )

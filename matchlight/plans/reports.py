@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from matchlight.domain import Domain
 from matchlight.functions import scoring as S
 from matchlight.functions.numbers import days_since, exact_mean, percent, ratio, rounded
+from matchlight.operators.participants import with_moves
 from matchlight.operators.skew import skew_join
 
 PLAYER_COLUMNS = [
@@ -339,8 +340,11 @@ def game_engagement_summary(d: Domain) -> DataFrame:
 def game_complexity(d: Domain) -> DataFrame:
     moves = F.col("player1_moves") + F.col("player2_moves")
     minutes = F.col("duration_minutes")
+    slim = d.matches.select("match_id", "game_id", "player1_id", "player2_id", "duration_minutes")
     return (
-        d.wide.groupBy("game_name")
+        with_moves(slim, d.moves)
+        .join(d.game_names, "game_id")
+        .groupBy("game_name")
         .agg(
             rounded(exact_mean(moves)).alias("avg_total_moves"),
             rounded(exact_mean(minutes)).alias("avg_duration"),

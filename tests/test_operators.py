@@ -124,6 +124,34 @@ def test_running_totals(spark, descending):
         assert got[v] == (running, total)
 
 
+def test_bucketed_tables_meet_without_a_shuffle(small, tmp_path):
+    from matchlight.sources.tables import write_bucketed
+
+    spark = small.spark
+    m = write_bucketed(small.matches, "bucketed_matches", str(tmp_path / "m"), "match_id", 4)
+    v = write_bucketed(small.moves, "bucketed_moves", str(tmp_path / "v"), "match_id", 4)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stats = rollup.player_game_stats(m, v)
+        plan = stats._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1
+        expected = rows(small.stats.select(*COUNT_COLUMNS), "player_id", "game_id")
+        assert rows(stats.select(*COUNT_COLUMNS), "player_id", "game_id") == expected
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        spark.sql("drop table bucketed_matches")
+        spark.sql("drop table bucketed_moves")
+
+
+def test_filters_on_match_columns_reach_the_scan(small, tmp_path):
+    path = str(tmp_path / "matches")
+    small.matches.write.parquet(path)
+    read = small.spark.read.parquet(path)
+    wide = participants.with_moves(read, small.moves).filter("game_id = 2")
+    assert "EqualTo(game_id,2)" in wide._jdf.queryExecution().executedPlan().toString()
+
+
 def brute(points, query, k, skip=None):
     near = sorted(
         (sum((a - b) ** 2 for a, b in zip(query, p)), label) for i, (p, label) in enumerate(points) if i != skip
