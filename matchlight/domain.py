@@ -17,6 +17,18 @@ from matchlight.sources.tables import read_table
 SMALL_ROWS = 100_000
 
 
+def people(players: DataFrame, as_of) -> DataFrame:
+    """Player columns as they appear in reports and denormalised tables."""
+    return players.select(
+        "player_id",
+        "username",
+        F.concat("firstname", F.lit(" "), "lastname").alias("player_name"),
+        age_in_years(F.col("birthdate"), as_of).alias("age"),
+        "gender",
+        "country",
+    )
+
+
 class Domain:
     """Players, games, matches and moves, plus the reference time.
 
@@ -108,15 +120,7 @@ class Domain:
 
     @cached_property
     def people(self) -> DataFrame:
-        p = self.players
-        return p.select(
-            "player_id",
-            "username",
-            F.concat("firstname", F.lit(" "), "lastname").alias("player_name"),
-            age_in_years(F.col("birthdate"), self.as_of).alias("age"),
-            "gender",
-            "country",
-        )
+        return people(self.players, self.as_of)
 
     @cached_property
     def star(self) -> DataFrame:

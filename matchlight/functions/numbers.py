@@ -49,9 +49,18 @@ def days_since(when: Column, as_of: Column | str) -> Column:
     return F.datediff(moment(as_of), when)
 
 
+def seconds_between(start: Column, end: Column) -> Column:
+    """Seconds from start to end as double, by the clock and so free of any time zone."""
+
+    def of_day(when: Column) -> Column:
+        second = F.extract(F.lit("SECOND"), when).cast("double")
+        return F.hour(when) * 3600 + F.minute(when) * 60 + second
+
+    return F.datediff(end, start) * F.lit(86400.0) + of_day(end) - of_day(start)
+
+
 def fractional_days_since(when: Column, as_of: Column | str) -> Column:
-    seconds = F.timestamp_diff("SECOND", when, moment(as_of))
-    return seconds.cast("double") / F.lit(86400.0)
+    return seconds_between(when, moment(as_of)) / F.lit(86400.0)
 
 
 def age_in_years(birthdate: Column, as_of: Column | str) -> Column:

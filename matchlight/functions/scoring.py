@@ -12,6 +12,7 @@ from matchlight.functions.numbers import (
     percent,
     ratio,
     rounded,
+    seconds_between,
 )
 
 
@@ -171,8 +172,7 @@ def winner_efficiency(
 
 def match_minutes(start_time: Column, end_time: Column) -> Column:
     """Whole minutes, cut toward zero."""
-    seconds = F.timestamp_diff("SECOND", start_time, end_time)
-    return (seconds / F.lit(60.0)).cast("int")
+    return (seconds_between(start_time, end_time) / F.lit(60.0)).cast("int")
 
 
 def abs_pct_error(predicted: Column, actual: Column) -> Column:

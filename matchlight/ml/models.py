@@ -7,7 +7,6 @@ constant factor close to 1 and matters to none of the models here.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -242,8 +241,7 @@ def fit_one(rows: DataFrame, target: Target, model: str, size: Size = SMALL) ->
 def with_synthetic(ready: DataFrame, target: Target) -> DataFrame:
     """Add synthetic rows of the smaller class until both are about equal.
 
-    The number per minority row is rounded down, so the classes end up within one factor; the fold
-    of a synthetic row is the fold of its origin.
+    The fold of a synthetic row is the fold of its origin.
     """
     sizes = ready.groupBy("label").agg(F.count("*").alias("n")).collect()
     counts = {row["label"]: row["n"] for row in sizes}
@@ -251,8 +249,8 @@ def with_synthetic(ready: DataFrame, target: Target) -> DataFrame:
         return ready
     small = min(counts, key=lambda c: (counts[c], c))
     large = max(counts.values())
-    copies = math.floor(large / counts[small]) - 1
-    if copies < 1:
+    copies = large / counts[small] - 1
+    if copies == 0:
         return ready
     keyed = ready.withColumn("row_id", F.xxhash64("player_id", "game_id"))
     minority = keyed.filter(F.col("label") == small)

@@ -197,12 +197,13 @@ def vote(neighbors: DataFrame, key: str, k: int) -> DataFrame:
 
 
 def smote(
-    minority: DataFrame, key: str, copies: int, k: int = 5, seed: int = 42, **options
+    minority: DataFrame, key: str, copies: float, k: int = 5, seed: int = 42, **options
 ) -> DataFrame:
     """Synthetic rows between minority rows and their neighbours.
 
-    Each row is used ``copies`` times; every time one of its k nearest minority neighbours and a
-    point on the line to it are drawn from a hash of row, copy and seed. Returns (key, copy, vec).
+    Each row is used ``copies`` times, a fraction being the share of rows used once more; every
+    time one of its k nearest minority neighbours and a point on the line to it are drawn from a
+    hash of row, copy and seed. Returns (key, copy, vec).
     """
     near = nearest(minority, minority, key, k, exclude_self=True, **options)
     take = F.least("copies", F.lit(k) - (F.col("upto") - F.col("copies")))
@@ -211,18 +212,21 @@ def smote(
         key, F.col("vec").alias("other"), low.alias("low"), (low + take).alias("high")
     )
     total = chosen.groupBy(key).agg(F.max("high").alias("n"))
-    turns = minority.select(key, "vec", F.explode(F.sequence(F.lit(1), F.lit(copies))).alias("copy"))
 
-    def draw(name: str):
-        part = F.pmod(F.xxhash64(key, "copy", F.lit(f"{seed}-{name}")), F.lit(1 << 30))
+    def draw(name: str, *columns: str):
+        part = F.pmod(F.xxhash64(key, *columns, F.lit(f"{seed}-{name}")), F.lit(1 << 30))
         return part.cast("double") / F.lit(float(1 << 30))
 
+    times = F.floor(F.lit(float(copies)) + draw("times")).cast("int")
+    turns = minority.filter(times > 0).select(
+        key, "vec", F.explode(F.sequence(F.lit(1), times)).alias("copy")
+    )
     picked = (
         turns.join(total, key)
-        .withColumn("pick", F.floor(draw("neighbour") * F.col("n")))
+        .withColumn("pick", F.floor(draw("neighbour", "copy") * F.col("n")))
         .join(chosen, key)
         .filter((F.col("low") <= F.col("pick")) & (F.col("pick") < F.col("high")))
-        .withColumn("step", draw("step"))
+        .withColumn("step", draw("step", "copy"))
     )
     between = F.zip_with("vec", "other", lambda a, b: a + (b - a) * F.col("step"))
     return picked.select(key, "copy", between.alias("vec"))

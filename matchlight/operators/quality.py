@@ -12,7 +12,7 @@ from matchlight.domain import Domain
 from matchlight.operators.skew import mark_members
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
+def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -46,7 +46,7 @@ def orphans(child: DataFrame, name: str, column: str, parent: DataFrame, key: st
 def foreign_keys(d: Domain) -> DataFrame:
     """All foreign-key violations of the schema."""
     m, players, games = d.matches, d.players, d.games
-    return _union(
+    return union_all(
         [
             orphans(m, "match.game", "game_id", games, "game_id"),
             orphans(m, "match.player1", "player1_id", players, "player_id"),
@@ -77,7 +77,7 @@ def domain_violations(scored: DataFrame, players: DataFrame, matches: DataFrame)
         ("gender", players, ~F.col("gender").isin(*schemas.GENDERS)),
         ("result", matches, ~F.col("result").isin(*schemas.RESULTS)),
     ]
-    return _union(
+    return union_all(
         [
             df.agg(
                 F.lit(rule).alias("rule"),

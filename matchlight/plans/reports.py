@@ -278,11 +278,12 @@ def top_games_by_players(d: Domain, limit: int = 5) -> DataFrame:
     )
 
 
-def platform_summary(d: Domain) -> DataFrame:
-    """One row for the whole platform."""
+def platform_summary(d: Domain, approximate: bool = False) -> DataFrame:
+    """One row for the whole platform, with exact distinct counts unless asked otherwise."""
+    distinct = F.approx_count_distinct if approximate else F.count_distinct
     return d.scored.agg(
-        F.count_distinct("player_id").alias("total_players"),
-        F.count_distinct("game_id").alias("total_games"),
+        distinct("player_id").alias("total_players"),
+        distinct("game_id").alias("total_games"),
         total("total_games_played").alias("total_matches_played"),
         rounded(exact_mean(F.col("win_ratio")), 4).alias("average_win_ratio"),
         rounded(exact_mean(F.col("rating")), 4).alias("average_rating"),

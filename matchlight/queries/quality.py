@@ -27,7 +27,7 @@ def doubled(df, key):
 )
 def _(d):
     players = doubled(d.players, "player_id")
-    return Q._union(
+    return Q.union_all(
         [
             Q.duplicates(doubled(d.matches, "match_id"), "match.id", ["match_id"]),
             Q.duplicates(players, "player.username", ["username"]),
@@ -173,7 +173,7 @@ def _(d):
     matches = E.decode_match_events(d.match_messages).filter(~F.col("bad_json"))
     matches = matches.select(F.col("matchId").cast("bigint").alias("match_id"))
     signups = E.decode_signups(d.signup_messages)
-    return Q._union(
+    return Q.union_all(
         [
             Q.reconcile(matches, d.matches.filter("match_id % 10 <> 0"), "match_history", "match_id"),
             Q.reconcile(signups, d.players.filter("player_id % 20 <> 0"), "players", "player_id"),

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from matchlight.domain import people
 from matchlight.functions import scoring as S
 from matchlight.functions.identifiers import bin_to_uuid, stable_uuid, uuid_to_bin
 from matchlight.functions.numbers import (
@@ -295,7 +296,7 @@ def _(d):
             "birthdate": F.add_months("birthdate", -12),
         }
     )
-    changed = exports.people(renamed, d.as_of)
+    changed = people(renamed, d.as_of)
     return changes.propagate(
         facts, changed, "player_id", ["player_name", "gender", "country", "age"]
     )

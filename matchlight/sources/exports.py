@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from matchlight.domain import Domain
 from matchlight.functions.identifiers import stable_uuid
-from matchlight.functions.numbers import age_in_years, exact_mean, moment
+from matchlight.functions.numbers import exact_mean, moment
 from matchlight.functions.scoring import abs_pct_error
 
 PREDICTION_LOG = (
@@ -16,18 +16,6 @@ PREDICTION_LOG = (
 )
 
 
-def people(players: DataFrame, as_of) -> DataFrame:
-    """Player columns as they appear in denormalised tables."""
-    return players.select(
-        "player_id",
-        "username",
-        F.concat("firstname", F.lit(" "), "lastname").alias("player_name"),
-        age_in_years(F.col("birthdate"), as_of).alias("age"),
-        "gender",
-        "country",
-    )
-
-
 def training_extract(d: Domain) -> DataFrame:
     return d.star.filter(
         (F.col("total_games_played") > 0) & (F.col("total_time_played_minutes") > 0)

@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchlight import schemas
+from matchlight.functions.numbers import seconds_between
 from matchlight.functions.scoring import match_minutes, winner_efficiency
 from matchlight.operators.skew import mark_members
 
-TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss"
+TIME_PATTERN = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$"
 CORRUPT = "_corrupt_record"
 
 
@@ -27,7 +28,7 @@ def route(messages: DataFrame) -> DataFrame:
 def event_time(text: Column) -> Column:
     """ISO text to timestamp_ntz with the fraction and a trailing Z cut; NULL if it does not parse."""
     whole = F.substring_index(F.replace(text, F.lit("Z"), F.lit("")), ".", 1)
-    return F.try_to_timestamp(whole, F.lit(TIME_FORMAT)).cast("timestamp_ntz")
+    return F.when(whole.rlike(TIME_PATTERN), whole.try_cast("timestamp_ntz"))
 
 
 def decode_match_events(messages: DataFrame) -> DataFrame:
@@ -176,7 +177,7 @@ def completed_match_analysis(messages: DataFrame) -> DataFrame:
     return e.select(
         F.col("matchId").alias("match_id"),
         F.col("gameId").alias("game_id"),
-        F.timestamp_diff("SECOND", start, end).alias("duration_seconds"),
+        seconds_between(start, end).cast("bigint").alias("duration_seconds"),
         F.col("winnerId").alias("winner_id"),
         winner_efficiency(
             F.col("winnerId"),
