@@ -19,6 +19,27 @@ from matchlight.streaming.events import decode_scores
 GAME_NAMES = {1: "battleship", 2: "chess", 3: "go", 4: "reversi", 5: "tic tac toe"}
 CAN_DRAW = (2, 5)
 
+# With known schemas no job has to read file footers before a query is planned.
+TABLE_SCHEMAS = {
+    "customer": (
+        "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+    ),
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+        "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+        "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    ),
+    "events": (
+        "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
+        "props string"
+    ),
+}
+
 
 def _game_id():
     return F.substring("o_orderpriority", 1, 1).cast("int")
@@ -34,7 +55,10 @@ class SampleTables(Domain):
 
     def table(self, name: str) -> DataFrame:
         if name not in self._opened:
-            self._opened[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            reader = self.spark.read
+            if name in TABLE_SCHEMAS:
+                reader = reader.schema(TABLE_SCHEMAS[name])
+            self._opened[name] = reader.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._opened[name]
 
     @cached_property
