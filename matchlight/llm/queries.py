@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchlight.llm import packing, secrets
+from matchlight.llm import packing, secrets, simhash
 from matchlight.session import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(stored(packing.pieces(table(spark, sf_dir, "documents")), "pieces"))
 
 
+@named("op5_simhash")
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fps = stored(simhash.fingerprints(table(spark, sf_dir, "documents"), shingle=3), "simhash")
+    found = simhash.near_duplicates(fps, 1, 3, simhash.exact_plan())
+    return found.select("doc_id", simhash.hex_text("f0").alias("fingerprint"), "component_id")
+
+
 @named("op9_secrets")
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))

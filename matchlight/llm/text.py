@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import tempfile
+import zipfile
+from pathlib import Path
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+
+_SENT: set[str] = set()  # applications that have the code
+
 SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -27,3 +34,23 @@ def byte_words(text: str | None) -> list[bytes]:
 def remainder(column: str, by: int) -> Column:
     """crc32 of an id as text, modulo ``by``; a NULL id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(by))
+
+
+def prepare(spark: SparkSession, rows: int = 500) -> None:
+    """Make a session ready for functions that run in Python workers.
+
+    Bounds the rows of an Arrow batch, as texts may be long (the setting is read when a plan runs,
+    so it stays; a smaller one is left as it is), and sends this package to the workers once.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+    context = spark.sparkContext
+    if context.applicationId not in _SENT:
+        root = Path(__file__).resolve().parents[2]
+        archive = Path(tempfile.mkdtemp(prefix="matchlight-code-")) / "matchlight_code.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted((root / "matchlight").rglob("*.py")):
+                out.write(file, file.relative_to(root))
+        context.addPyFile(str(archive))
+        _SENT.add(context.applicationId)
