@@ -194,3 +194,31 @@ def redact(text: Column, spans: Column, mask: str = "[REDACTED]") -> Column:
     )
     tail = F.substring(text, step["at"] + 1, F.length(text))
     return F.when(F.size(spans) > 0, F.concat(F.array_join(step["out"], ""), tail)).otherwise(text)
+
+
+def mask(docs: DataFrame) -> DataFrame:
+    """All documents with their own columns; texts with secrets are redacted, n_chars follows.
+
+    Rows are never dropped. A NULL text stays NULL.
+    """
+    found = find_secrets(docs).withColumn("all", F.array_sort(F.concat("base", "added")))
+    found = stored(
+        found.where(F.size("all") > 0)
+        .dropDuplicates(["doc_id", "text_key"])
+        .select(F.col("doc_id").alias("s_id"), F.col("text_key").alias("s_key"), F.col("all").alias("s_spans")),
+        "found",
+    )
+    name = "key_of_" + "_".join(docs.columns)
+    keyed = docs.withColumn(name, F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = keyed["doc_id"].eqNullSafe(F.col("s_id")) & (keyed[name] == F.col("s_key"))
+    text = F.when(F.col("s_spans").isNull(), keyed["text"]).otherwise(redact(keyed["text"], F.col("s_spans")))
+    return keyed.join(found, same, "left").select(
+        *[
+            text.alias(c)
+            if c == "text"
+            else F.when(F.col("s_spans").isNull(), keyed[c]).otherwise(F.length(text)).cast(t).alias(c)
+            if c == "n_chars"
+            else keyed[c]
+            for c, t in docs.dtypes
+        ]
+    )

@@ -172,17 +172,22 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _forest(values: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Spanning links of one group, by searching outwards among the rows not reached so far."""
-    links, left = [], np.arange(len(values))
-    while len(left):
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            at = queue.pop()
-            near = _distance(values[left], values[at][None, :]) <= most
-            found = left[near]
-            links += [(at, other) for other in found]
-            queue.extend(found.tolist())
-            left = left[~near]
+    """The links of a minimum spanning tree of one group that are not longer than ``most``."""
+    rows = np.arange(1, len(values))
+    nearest = np.zeros(len(rows), dtype=np.int64)
+    length = _distance(values[1:], values[:1])
+    links = []
+    while len(rows):
+        pick = int(np.argmin(length))
+        at = rows[pick]
+        if length[pick] <= most:
+            links.append((nearest[pick], at))
+        rows, nearest, length = (np.delete(x, pick) for x in (rows, nearest, length))
+        if len(rows):
+            new = _distance(values[rows], values[at][None, :])
+            closer = new < length
+            nearest[closer] = at
+            length[closer] = new[closer]
     return links
 
 
@@ -264,24 +269,107 @@ def link(fps: DataFrame, names: list[str], most: int, plan) -> DataFrame:
     return one.unionByName(many).distinct()
 
 
-def near_duplicates(fps: DataFrame, lanes: int, most: int, plan) -> DataFrame:
-    """Add ``component`` to rows of (doc_id, f0, ...): the smallest doc_id reachable by links.
+def near_duplicates(fps: DataFrame, lanes: int, most: int, plan, verify=None) -> DataFrame:
+    """Add ``component`` and ``component_id``, the smallest doc_id reachable, to (doc_id, f0, ...).
 
     Equal fingerprints are one node, so a group of copies costs one row. Rows with a NULL
-    doc_id take part; a component of such rows alone has component NULL.
+    doc_id take part; a component of such rows alone has component NULL. ``verify`` may take the
+    links (u, v) and the nodes (node, f0, ...) and return the links to keep.
     """
     names = [f"f{i}" for i in range(lanes)]
     node = F.col("f0") if lanes == 1 else F.xxhash64(*names)
     nodes = stored(
         fps.groupBy(*names).agg(F.min("doc_id").alias("least_id")).withColumn("node", node), "fingerprints"
     )
-    label = components(link(nodes, names, most, plan))
+    links = link(nodes, names[: max(max(f) for _, f in plan) // 64 + 1], most, plan)
+    label = components(verify(links, nodes) if verify else links)
     labelled = nodes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = stored(labelled.select("node", "component", "least_id"), "labelled")
     smallest = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    by_node = labelled.join(smallest, "component").select("node", "component_id")
+    by_node = labelled.join(smallest, "component").select("node", "component", "component_id")
     return fps.withColumn("node", node).join(by_node, "node").drop("node")
 
 
 def hex_text(name: str):
     return F.lpad(F.lower(F.hex(F.col(name))), 16, "0")
+
+
+# Near-duplicate documents: 5-word shingles, Jaccard similarity estimated from fingerprints.
+SHINGLE = 5
+SIMILAR = 0.8
+LANES = 8  # fingerprints of 512 bits decide, their first 128 bits give the keys
+KEYS, EQUAL, LOOSE = 20, 8, 31
+
+
+def _similarity(differing, bits: int, a, b):
+    """Jaccard similarity from differing bits and shingle counts: the share of bits is an angle."""
+    common = F.cos(differing / bits * np.pi) * F.sqrt(a * b)
+    return common / (a + b - common)
+
+
+def similar_documents(docs: DataFrame, similar: float = SIMILAR, slack: float = 0.02) -> DataFrame:
+    """(doc_id, text_key, shingles, component_id, f0, ...): near-duplicate classes of documents.
+
+    Candidates share a key of their first 128 bits and differ there in at most ``LOOSE``; a link needs an
+    estimated similarity of ``similar`` less ``slack`` (about half the standard error) from all
+    512 bits. At similarity 0.8 a pair shares one of the keys with probability 0.9, at 0.9 nearly
+    always.
+    """
+    prepare(docs.sparkSession)
+    names = [f"f{i}" for i in range(LANES)]
+    source = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
+    kind = dict(source.dtypes)["doc_id"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            values = np.zeros((len(frame), LANES), dtype=np.uint64)
+            counts = np.zeros(len(frame), dtype=np.int64)
+            for i, text in enumerate(frame["text"]):
+                words = byte_words(text)
+                values[i] = fingerprint(words, SHINGLE, LANES)
+                counts[i] = max(1, len(words) - SHINGLE + 1)
+            out = frame[["doc_id", "text_key"]].assign(shingles=counts)
+            for i, name in enumerate(names):
+                out[name] = values[:, i].copy().view(np.int64)
+            yield out
+
+    columns = ", ".join(f"{n} long" for n in names)
+    fps = stored(source.mapInPandas(run, f"doc_id {kind}, text_key long, shingles long, {columns}"), "documents")
+
+    def verify(links: DataFrame, nodes: DataFrame) -> DataFrame:
+        sizes = fps.groupBy(*names).agg(F.max("shingles").alias("shingles"))
+        sizes = sizes.select(F.xxhash64(*names).alias("node"), "shingles", F.array(*names).alias("f"))
+        sizes = stored(sizes, "sizes")
+        left = sizes.select(F.col("node").alias("u"), F.col("shingles").alias("a"), F.col("f").alias("fu"))
+        right = sizes.select(F.col("node").alias("v"), F.col("shingles").alias("b"), F.col("f").alias("fv"))
+        differing = F.aggregate(
+            F.zip_with("fu", "fv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x
+        )
+        likely = _similarity(differing, 64 * LANES, F.col("a"), F.col("b")) >= similar - slack
+        return links.join(left, "u").join(right, "v").where(likely).select("u", "v")
+
+    plan = random_plan(128, KEYS, EQUAL)
+    return near_duplicates(fps, LANES, LOOSE, plan, verify)
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each near-duplicate class, the one with the smallest doc_id.
+
+    Rows with a NULL doc_id stay only if their class has no id at all; of equal rows one stays.
+    """
+    found = stored(similar_documents(docs).select("doc_id", "text_key", "component"), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
+    keep = (
+        found.groupBy("component")
+        .agg(first)
+        .select(F.col("first.doc_id").alias("k_id"), F.col("first.text_key").alias("k_key"))
+        .distinct()
+    )
+    repeated = found.groupBy("doc_id", "text_key").count().where("count > 1")
+    name = "key_of_" + "_".join(docs.columns)
+    keyed = docs.withColumn(name, F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = keyed["doc_id"].eqNullSafe(F.col("k_id")) & (keyed[name] == F.col("k_key"))
+    kept = keyed.join(keep, same, "left_semi")
+    if repeated.limit(1).count():
+        kept = kept.dropDuplicates(["doc_id", name])
+    return kept.select(*docs.columns)

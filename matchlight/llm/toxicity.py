@@ -29,6 +29,7 @@ from matchlight.session import stored
 SAMPLE_ROWS = 60_000  # labelled rows that induce lexicons and fit the classifier, at most
 LEXICON_SIZE = 4_000  # entries of all lexicons together, at most
 SIGNIFICANT = 15.0  # log-likelihood ratio that makes a lexicon entry
+PRECISE = 0.8  # share of toxic rows among those with a lexicon entry, or eight times the usual share
 THRESHOLD = 0.7
 CACHE_WORDS = 500_000
 
@@ -147,7 +148,7 @@ def induce_lexicon(rows: DataFrame, size: int = LEXICON_SIZE) -> dict[int, int]:
     best = (
         counts.where((F.col("kind") != ROWS) & (F.col("toxic") >= 2))
         .withColumn("ratio", ratio)
-        .where((F.col("ratio") >= SIGNIFICANT) & (F.col("toxic") / both >= F.least(F.lit(0.9), F.lit(4 * share))))
+        .where((F.col("ratio") >= SIGNIFICANT) & (F.col("toxic") / both >= F.least(F.lit(PRECISE), F.lit(8 * share))))
         .orderBy(F.desc("ratio"), "entry")
         .limit(size)
         .collect()
