@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from matchlight.llm import decontaminate, packing, secrets, simhash, toxicity
+from matchlight.llm import decontaminate, packing, secrets, simhash, suffixes, toxicity
 from matchlight.session import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +36,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@named("op1_suffix_dedup")
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    texts = suffixes.remove_repeats(docs).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+    return docs.select("doc_id", *suffixes.text_keys()).join(texts, ["k1", "k2"]).drop("k1", "k2")
+
+
 @named("op4_packing")
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(stored(packing.pieces(table(spark, sf_dir, "documents")), "pieces"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchlight.llm.components import components
-from matchlight.llm.text import byte_words, prepare
+from matchlight.llm.text import byte_words, prepare, whole_groups
 from matchlight.session import stored
 
 GROUP_ROWS = 8192
@@ -231,18 +231,8 @@ def link(fps: DataFrame, names: list[str], most: int, plan) -> DataFrame:
                 yield out
 
     def compare(frames):
-        held = None
-        for frame in frames:
-            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            if not len(frame):
-                continue
-            # The last group may go on in the next batch.
-            last = frame["group"].to_numpy().searchsorted(frame["group"].iloc[-1])
-            held, frame = frame.iloc[last:], frame.iloc[:last]
-            if len(frame):
-                yield _links(frame, names, most)
-        if held is not None and len(held):
-            yield _links(held, names, most)
+        for frame in whole_groups(frames, ["group"], len, 20_000):
+            yield _links(frame, names, most)
 
     cells = fps.select("node", *names).mapInPandas(spread, f"cell long, node long, {columns}").repartition("cell")
     hot = cells.groupBy("cell").count().where(F.col("count") > GROUP_ROWS)

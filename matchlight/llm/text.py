@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +56,28 @@ def prepare(spark: SparkSession, rows: int = 500) -> None:
                 out.write(file, file.relative_to(root))
         context.addPyFile(str(archive))
         _SENT.add(context.applicationId)
+
+
+def whole_groups(frames: Iterator[pd.DataFrame], keys: list[str], weight: Callable[[pd.DataFrame], int], enough: int):
+    """Frames of a partition sorted by ``keys``, cut anew so that no group is in two of them.
+
+    Rows are gathered until their weight is ``enough``; the last group is held back, as it may go on.
+    """
+    held: list[pd.DataFrame] = []
+    total = 0
+    for frame in frames:
+        if not len(frame):
+            continue
+        held.append(frame)
+        total += weight(frame)
+        if total < enough:
+            continue
+        whole = pd.concat(held, ignore_index=True)
+        tail = whole[keys].iloc[-1]
+        last = int((whole[keys] == tail).all(axis=1).to_numpy().argmax())
+        held = [whole.iloc[last:]]
+        total = 0  # a group that is enough by itself is looked at again after as many rows
+        if last:
+            yield whole.iloc[:last].reset_index(drop=True)
+    if held:
+        yield pd.concat(held, ignore_index=True)
