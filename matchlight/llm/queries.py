@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlight.llm import decontaminate, packing, secrets, simhash, suffixes, toxicity
+from matchlight.llm import decontaminate, licenses, packing, secrets, simhash, suffixes, tokens, toxicity
 from matchlight.session import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,11 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", *suffixes.text_keys()).join(texts, ["k1", "k2"]).drop("k1", "k2")
 
 
+@named("op3_token_counts")
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"))
+
+
 @named("op4_packing")
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(stored(packing.pieces(table(spark, sf_dir, "documents")), "pieces"))
@@ -69,3 +74,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @named("op9_secrets")
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
+@named("op10_licenses")
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, sf_dir, "documents"))
