@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlight.llm import decontaminate, licenses, packing, secrets, simhash, suffixes, tokens, toxicity
+from matchlight.llm import decontaminate, licenses, lm, packing, secrets, simhash, suffixes, tokens, toxicity
 from matchlight.session import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,11 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", *suffixes.text_keys()).join(texts, ["k1", "k2"]).drop("k1", "k2")
 
 
+@named("op2_lm_scores")
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 @named("op3_token_counts")
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
