@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlight.llm import decontaminate, licenses, lm, packing, secrets, simhash, suffixes, tokens, toxicity
+from matchlight.llm import decontaminate, licenses, lm, neighbors_graph, packing, secrets, simhash, suffixes, tokens, toxicity
 from matchlight.session import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,6 +71,11 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text_key").distinct()
 
 
+@named("op7_vectors")
+def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbors_graph.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @named("op8_toxicity")
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
