@@ -137,5 +137,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bad = overlaps(docs, benchmark).select(F.col("doc_id").alias("b_id"), F.col("text_key").alias("b_key")).distinct()
     name = "key_of_" + "_".join(docs.columns)
     keyed = docs.withColumn(name, F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = keyed["doc_id"].eqNullSafe(F.col("b_id")) & (keyed[name] == F.col("b_key"))
+    same = keyed["doc_id"].eqNullSafe(bad["b_id"]) & (keyed[name] == bad["b_key"])
     return keyed.join(bad, same, "left_anti").select(*docs.columns)

@@ -181,17 +181,13 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     prepare(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = dict(source.dtypes)["doc_id"]
+    names = ["line", "license", "gain", "covered", "missing", "extra"]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scanner = Scanner()
-        for frame in frames:
-            rows = [(d, *hit) for d, text in zip(frame["doc_id"], frame["text"]) for hit in scanner.scan(text)]
-            yield pd.DataFrame(
-                rows, columns=["doc_id", "line", "license", "gain", "covered", "missing", "extra"]
-            )
-
-    return source.where(F.col("text").isNotNull()).mapInPandas(
-        run,
-        f"doc_id {kind}, line int, license string, gain double, covered double, missing int, extra int",
-    )
+        for texts in series:
+            yield pd.Series([[dict(zip(names, hit)) for hit in scanner.scan(t)] for t in texts], dtype=object)
+
+    hit = "array<struct<line:int,license:string,gain:double,covered:double,missing:int,extra:int>>"
+    found = source.select("doc_id", F.pandas_udf(run, hit)(F.coalesce("text", F.lit(""))).alias("found"))
+    return found.select("doc_id", F.explode("found").alias("hit")).select("doc_id", "hit.*")

@@ -51,16 +51,13 @@ def unit(values) -> np.ndarray | None:
 def valid_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, node, data): node stands for equal vectors; both NULL for vectors without links."""
     source = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("vector"))
-    kind = dict(source.dtypes)["vec_id"]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            data = [None if (x := unit(v)) is None else x.tobytes() for v in frame["vector"]]
-            yield pd.DataFrame({"vec_id": frame["vec_id"].to_numpy(), "data": pd.Series(data, dtype=object)})
+    def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for values in series:
+            yield pd.Series([None if (x := unit(v)) is None else x.tobytes() for v in values], dtype=object)
 
-    return source.mapInPandas(run, f"vec_id {kind}, data binary").withColumn(
-        "node", F.when(F.col("data").isNotNull(), F.xxhash64("data"))
-    )
+    made = source.select("vec_id", F.pandas_udf(run, "binary")("vector").alias("data"))
+    return made.withColumn("node", F.when(F.col("data").isNotNull(), F.xxhash64("data")))
 
 
 def _matrix(data) -> np.ndarray:

@@ -210,13 +210,13 @@ def mask(docs: DataFrame) -> DataFrame:
     )
     name = "key_of_" + "_".join(docs.columns)
     keyed = docs.withColumn(name, F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = keyed["doc_id"].eqNullSafe(F.col("s_id")) & (keyed[name] == F.col("s_key"))
-    text = F.when(F.col("s_spans").isNull(), keyed["text"]).otherwise(redact(keyed["text"], F.col("s_spans")))
+    same = keyed["doc_id"].eqNullSafe(found["s_id"]) & (keyed[name] == found["s_key"])
+    text = F.when(found["s_spans"].isNull(), keyed["text"]).otherwise(redact(keyed["text"], found["s_spans"]))
     return keyed.join(found, same, "left").select(
         *[
             text.alias(c)
             if c == "text"
-            else F.when(F.col("s_spans").isNull(), keyed[c]).otherwise(F.length(text)).cast(t).alias(c)
+            else F.when(found["s_spans"].isNull(), keyed[c]).otherwise(F.length(text)).cast(t).alias(c)
             if c == "n_chars"
             else keyed[c]
             for c, t in docs.dtypes

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchlight.llm.components import components
-from matchlight.llm.text import byte_words, prepare, whole_groups
+from matchlight.llm.text import byte_words, prepare, whole_groups, with_fields
 from matchlight.session import stored
 
 GROUP_ROWS = 8192
@@ -116,20 +116,18 @@ def fingerprints(
     """
     prepare(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = dict(source.dtypes)["doc_id"]
     names = [f"f{i}" for i in range(lanes)]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            values = np.zeros((len(frame), lanes), dtype=np.uint64)
-            for i, text in enumerate(frame["text"]):
-                values[i] = fingerprint(byte_words(text), shingle, lanes)
-            out = frame[["doc_id"]].copy()
-            for i, name in enumerate(names):
-                out[name] = values[:, i].view(np.int64) if lanes == 1 else values[:, i].copy().view(np.int64)
-            yield out
+    def run(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in series:
+            yield _frame([fingerprint(byte_words(t), shingle, lanes) for t in texts], names)
+
+    return with_fields(source, F.col("text"), run, ", ".join(f"{n} long" for n in names)).drop("text")
 
-    return source.mapInPandas(run, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names))
+
+def _frame(values: list[np.ndarray], names: list[str]) -> pd.DataFrame:
+    lanes = np.array(values, dtype=np.uint64).reshape(-1, len(names))
+    return pd.DataFrame({name: lanes[:, i].copy().view(np.int64) for i, name in enumerate(names)})
 
 
 def exact_plan() -> list[tuple[list[int], list[int]]]:
@@ -308,23 +306,16 @@ def similar_documents(docs: DataFrame, similar: float = SIMILAR, slack: float =
     prepare(docs.sparkSession)
     names = [f"f{i}" for i in range(LANES)]
     source = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
-    kind = dict(source.dtypes)["doc_id"]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            values = np.zeros((len(frame), LANES), dtype=np.uint64)
-            counts = np.zeros(len(frame), dtype=np.int64)
-            for i, text in enumerate(frame["text"]):
-                words = byte_words(text)
-                values[i] = fingerprint(words, SHINGLE, LANES)
-                counts[i] = max(1, len(words) - SHINGLE + 1)
-            out = frame[["doc_id", "text_key"]].assign(shingles=counts)
-            for i, name in enumerate(names):
-                out[name] = values[:, i].copy().view(np.int64)
+    def run(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in series:
+            words = [byte_words(t) for t in texts]
+            out = _frame([fingerprint(w, SHINGLE, LANES) for w in words], names)
+            out.insert(0, "shingles", [max(1, len(w) - SHINGLE + 1) for w in words])
             yield out
 
     columns = ", ".join(f"{n} long" for n in names)
-    fps = stored(source.mapInPandas(run, f"doc_id {kind}, text_key long, shingles long, {columns}"), "documents")
+    fps = stored(with_fields(source, F.col("text"), run, f"shingles long, {columns}").drop("text"), "documents")
 
     def verify(links: DataFrame, nodes: DataFrame) -> DataFrame:
         sizes = fps.groupBy(*names).agg(F.max("shingles").alias("shingles"))
@@ -358,7 +349,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     repeated = found.groupBy("doc_id", "text_key").count().where("count > 1")
     name = "key_of_" + "_".join(docs.columns)
     keyed = docs.withColumn(name, F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = keyed["doc_id"].eqNullSafe(F.col("k_id")) & (keyed[name] == F.col("k_key"))
+    same = keyed["doc_id"].eqNullSafe(keep["k_id"]) & (keyed[name] == keep["k_key"])
     kept = keyed.join(keep, same, "left_semi")
     if repeated.limit(1).count():
         kept = kept.dropDuplicates(["doc_id", name])

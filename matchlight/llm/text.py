@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -81,3 +81,17 @@ def whole_groups(frames: Iterator[pd.DataFrame], keys: list[str], weight: Callab
             yield whole.iloc[:last].reset_index(drop=True)
     if held:
         yield pd.concat(held, ignore_index=True)
+
+
+def with_fields(df: DataFrame, column: Column, run: Callable, fields: str) -> DataFrame:
+    """The columns of ``df`` and the fields that ``run`` makes of a column, batch by batch.
+
+    ``run`` takes an iterator of series and gives an iterator of frames. Other columns stay in the JVM, so ids are neither
+    changed nor lost when some are NULL.
+    """
+
+    def batches(values: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from run(values)
+
+    made = df.withColumn("made_fields", F.pandas_udf(batches, fields)(column))
+    return made.select(*df.columns, "made_fields.*")

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchlight.llm.text import prepare
+from matchlight.llm.text import prepare, with_fields
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 TRIE_NODES = 500_000
@@ -104,13 +104,12 @@ def token_counts(
     prepare(spark)
     shared = spark.sparkContext.broadcast(vocabulary or load_vocabulary())  # the size of the vocabulary
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = dict(source.dtypes)["doc_id"]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         trie = Trie(shared.value)
-        for frame in frames:
+        for texts in series:
             rows = []
-            for text in frame["text"]:
+            for text in texts:
                 total = tokens = outside = 0
                 for word, times in Counter((text or "").split()).items():
                     pieces, unknown = trie.count(SPACE + word)
@@ -118,8 +117,7 @@ def token_counts(
                     tokens += times * pieces
                     outside += times * unknown
                 rows.append((total, tokens, outside))
-            out = pd.DataFrame(rows, columns=["n_pretokens", "n_tokens", "n_unknown_bytes"])
-            out.insert(0, "doc_id", frame["doc_id"].to_numpy())
-            yield out
+            yield pd.DataFrame(rows, columns=["n_pretokens", "n_tokens", "n_unknown_bytes"])
 
-    return source.mapInPandas(run, f"doc_id {kind}, n_pretokens long, n_tokens long, n_unknown_bytes long")
+    fields = "n_pretokens long, n_tokens long, n_unknown_bytes long"
+    return with_fields(source, F.col("text"), run, fields).drop("text")
