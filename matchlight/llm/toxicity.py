@@ -29,7 +29,7 @@ from matchlight.session import stored
 SAMPLE_ROWS = 60_000  # labelled rows that induce lexicons and fit the classifier, at most
 LEXICON_SIZE = 4_000  # entries of all lexicons together, at most
 SIGNIFICANT = 15.0  # log-likelihood ratio that makes a lexicon entry
-PRECISE = 0.8  # share of toxic rows among those with a lexicon entry, or eight times the usual share
+PRECISE = 0.7  # share of toxic rows among those with a lexicon entry, or six times the usual share
 THRESHOLD = 0.7
 CACHE_WORDS = 500_000
 
@@ -148,7 +148,7 @@ def induce_lexicon(rows: DataFrame, size: int = LEXICON_SIZE) -> dict[int, int]:
     best = (
         counts.where((F.col("kind") != ROWS) & (F.col("toxic") >= 2))
         .withColumn("ratio", ratio)
-        .where((F.col("ratio") >= SIGNIFICANT) & (F.col("toxic") / both >= F.least(F.lit(PRECISE), F.lit(8 * share))))
+        .where((F.col("ratio") >= SIGNIFICANT) & (F.col("toxic") / both >= F.least(F.lit(PRECISE), F.lit(6 * share))))
         .orderBy(F.desc("ratio"), "entry")
         .limit(size)
         .collect()
@@ -168,19 +168,27 @@ def with_votes(docs: DataFrame, lexicon: dict[int, int], name: str, text_col: st
     return docs.withColumn(name, F.pandas_udf(run, HITS)(F.coalesce(F.col(text_col), F.lit(""))))
 
 
-def fit_label_model(votes: np.ndarray, counts: np.ndarray, start: np.ndarray, prior: float, rounds: int = 50):
+def fit_label_model(
+    votes: np.ndarray, counts: np.ndarray, start: np.ndarray, prior: float, known: np.ndarray, toxic: np.ndarray, rounds: int = 50
+):
     """Posteriors of vote patterns, class-wise vote rates and correlations within classes.
 
     ``votes``: patterns x voters of 0/1, ``counts``: documents per pattern, ``start``: first guess of
-    the posteriors, ``prior``: share of toxic rows in the sample.
+    the posteriors, ``prior``: share of toxic rows in the sample. ``known`` and ``toxic``: sample rows per
+    pattern and the toxic ones among them; their classes are not estimated, and together they
+    weigh at least as much as all other rows.
     """
     voters = votes.shape[1]
     posterior = start.astype(float)
     rates = np.full((voters, 2), 0.5)
     correlations = np.zeros((voters, voters))
-    total = counts.sum()
+    open_ = counts - known
+    anchor = max(1.0, open_.sum() / known.sum()) if known.sum() else 0.0
+    total = open_.sum() + anchor * known.sum()
     for _ in range(rounds):
-        mass = np.stack([counts * (1 - posterior), counts * posterior], axis=1)
+        mass = np.stack(
+            [open_ * (1 - posterior) + anchor * (known - toxic), open_ * posterior + anchor * toxic], axis=1
+        )
         rates = (votes.T @ mass + 0.1) / (mass.sum(axis=0) + 1.0)
         rates = np.clip(rates, 1e-5, 1 - 1e-5)
         # Voters that agree within a class beyond its rates count less: they say the same thing.
@@ -256,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     toxic = np.array([r.toxic or 0 for r in grouped], dtype=float)
     prior = float(np.clip(toxic.sum() / max(1, known.sum()), 0.01, 0.99))
     start = (toxic + prior) / (known + 1)
-    posterior, rates, correlations = fit_label_model(votes, counts, start, prior)
+    posterior, rates, correlations = fit_label_model(votes, counts, start, prior, known, toxic)
     by_pattern = dict(zip((r.pattern for r in grouped), posterior))
 
     rows = hits.join(sample, "doc_id", "left_semi").select("hits", F.array_join(pattern, "").alias("pattern"))
