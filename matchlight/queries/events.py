@@ -82,6 +82,51 @@ def _(d):
     return checked(d).groupBy(reason.alias("outcome")).agg(F.count("*").alias("events"))
 
 
+@query(
+    "quarantine_bad_ids",
+    """select match_id, case when match_id % 37 = 0 then 'bad_id' else 'accepted' end as outcome
+    from match_history where match_id % 83 <> 0 and match_id % 71 <> 0 and match_id % 89 <> 0
+      and match_id % 97 <> 0 and match_id % 79 <> 0""",
+)
+def _(d):
+    """Ids that are no numbers are rejected; every message is accounted for."""
+    good = E.decode_match_events(d.match_messages).filter(~F.col("bad_json"))
+    number = F.col("matchId").cast("bigint")
+    for divisor in (71, 89, 97, 79):
+        good = good.filter(number % divisor != 0)
+    spoiled = good.withColumn("number", number).withColumn(
+        "matchId", F.when(number % 37 == 0, F.concat(F.lit("m-"), "matchId")).otherwise(F.col("matchId"))
+    )
+    out = E.check_match_events(spoiled, d.game_names, d.players)
+    return out.select(
+        F.col("number").alias("match_id"), F.coalesce("reject_reason", F.lit("accepted")).alias("outcome")
+    )
+
+
+@query(
+    "quarantine_signups",
+    """select case when player_id % 11 = 0 then 'bad_json' when player_id % 7 = 0 then 'missing_field'
+        when player_id % 5 = 0 then 'bad_id' else 'accepted' end as outcome, count(*) as signups
+    from players group by 1""",
+)
+def _(d):
+    """Sign-ups through the store, some broken on purpose by divisors of the id."""
+    body = F.col("body")
+    number = F.coalesce(F.get_json_object(body, "$.userId"), F.get_json_object(body, "$.player_id")).cast("bigint")
+    spoiled = (
+        F.when(number % 11 == 0, F.left(body, F.lit(20)))
+        .when(number % 7 == 0, F.regexp_replace(body, '"username"', '"nickname"'))
+        .when(number % 5 == 0, F.regexp_replace(body, '"(userId|player_id)":"', '"$1":"p-'))
+        .otherwise(body)
+    )
+    store = I.EventStore(d.spark, scratch_path(d.spark, "signups"))
+    store.add_players(d.signup_messages.select(spoiled.alias("body")), 0)
+    outcomes = store.players().select(F.lit("accepted").alias("outcome")).unionByName(
+        store.rejected_signups().select(F.col("reject_reason").alias("outcome"))
+    )
+    return outcomes.groupBy("outcome").agg(F.count("*").alias("signups"))
+
+
 @query(
     "unknown_game_rejects",
     f"""with {GOOD} select cast(match_id as varchar) as match_id, 'mahjong' as game from good

@@ -14,7 +14,7 @@ from matchlight.functions.numbers import seconds_between
 from matchlight.functions.scoring import match_minutes, winner_efficiency
 from matchlight.operators.skew import mark_members
 
-TIME_PATTERN = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$"
+TIME_PATTERN = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2})(?:\.\d+)?(?:Z|([+-])(\d{2}):?(\d{2}))?$"
 CORRUPT = "_corrupt_record"
 
 
@@ -26,9 +26,22 @@ def route(messages: DataFrame) -> DataFrame:
 
 
 def event_time(text: Column) -> Column:
-    """ISO text to timestamp_ntz with the fraction and a trailing Z cut; NULL if it does not parse."""
-    whole = F.substring_index(F.replace(text, F.lit("Z"), F.lit("")), ".", 1)
-    return F.when(whole.rlike(TIME_PATTERN), whole.try_cast("timestamp_ntz"))
+    """ISO text to timestamp_ntz in UTC, without its fraction; NULL if it does not parse.
+
+    A time without an offset, or with Z, is UTC already.
+    """
+    part = [F.regexp_extract(text, TIME_PATTERN, i) for i in range(5)]
+    ahead = part[3].try_cast("int") * 60 + part[4].try_cast("int")
+    minutes = F.when(part[2] == "+", -ahead).when(part[2] == "-", ahead).otherwise(0)
+    whole = F.when(text.rlike(TIME_PATTERN), part[1].try_cast("timestamp_ntz"))
+    return (whole + F.make_dt_interval(mins=minutes)).cast("timestamp_ntz")
+
+
+def typed_id(text: Column, kind: str) -> Column:
+    """An id as a key: a number, or text in lower case without outer blanks. NULL if it is neither."""
+    if kind == "string":
+        return F.nullif(F.lower(F.trim(text)), F.lit(""))
+    return F.trim(text).try_cast(kind)
 
 
 def decode_match_events(messages: DataFrame) -> DataFrame:
@@ -67,21 +80,28 @@ def _permissive() -> dict[str, str]:
 
 
 def check_match_events(
-    decoded: DataFrame, games: DataFrame, players: DataFrame, rows_per_task: int | None = None
+    decoded: DataFrame,
+    games: DataFrame,
+    players: DataFrame,
+    rows_per_task: int | None = None,
+    match_id_type: str = "bigint",
 ) -> DataFrame:
     """Typed match columns plus ``reject_reason``, NULL for a good event.
 
+    Match ids are of ``match_id_type`` (string for ids such as UUIDs), player ids of the type they
+    have in ``players``; an id that is there but does not parse is a ``bad_id``.
+
     ``games`` (game_id, game_name) should be marked for broadcast when small. Players are looked
     up per seat with hot players spread out.
     """
     extra = {"rows_per_task": rows_per_task} if rows_per_task else {}
     known = players.select("player_id")
+    player_type = dict(players.dtypes)["player_id"]
+    ids = {"match_id": "matchId", "player1_id": "player1Id", "player2_id": "player2Id", "winner_id": "winnerId"}
+    kinds = {"match_id": match_id_type}
     typed = decoded.select(
         "*",
-        F.col("matchId").try_cast("bigint").alias("match_id"),
-        F.col("player1Id").try_cast("bigint").alias("player1_id"),
-        F.col("player2Id").try_cast("bigint").alias("player2_id"),
-        F.col("winnerId").try_cast("bigint").alias("winner_id"),
+        *[typed_id(F.col(raw), kinds.get(c, player_type)).alias(c) for c, raw in ids.items()],
         event_time(F.col("startTime")).alias("start_time"),
         event_time(F.col("endTime")).alias("end_time"),
     )
@@ -93,6 +113,9 @@ def check_match_events(
     missing = F.lit(False)
     for field in required:
         missing = missing | F.col(field).isNull()
+    unread = F.lit(False)
+    for column, raw in ids.items():
+        unread = unread | (F.col(raw).isNotNull() & F.col(column).isNull())
     stranger = (
         ~F.col("has_player1_id")
         | ~F.col("has_player2_id")
@@ -104,6 +127,7 @@ def check_match_events(
     reason = (
         F.when(F.col("bad_json"), "bad_json")
         .when(missing, "missing_field")
+        .when(unread, "bad_id")
         .when(F.col("start_time").isNull() | F.col("end_time").isNull(), "bad_time")
         .when(F.col("game_id").isNull(), "unknown_game")
         .when(stranger, "unknown_player")
@@ -132,10 +156,14 @@ def quarantine(checked: DataFrame) -> DataFrame:
     return checked.filter(F.col("reject_reason").isNotNull()).select("body", "reject_reason")
 
 
-def decode_signups(messages: DataFrame) -> DataFrame:
-    """Player rows from both sign-up shapes; a missing e-mail is made from the user name."""
-    camel = F.from_json("body", schemas.SIGNUP_CAMEL)
-    snake = F.from_json("body", schemas.SIGNUP_SNAKE)
+def check_signups(messages: DataFrame, player_id_type: str = "bigint") -> DataFrame:
+    """Player columns from both sign-up shapes plus ``reject_reason``, NULL for a good one.
+
+    A missing e-mail is made from the user name. ``bad_id`` is an id that is there but does not parse.
+    """
+    corrupt = f"{CORRUPT} string"
+    camel = F.from_json("body", f"{schemas.SIGNUP_CAMEL}, {corrupt}", _permissive())
+    snake = F.from_json("body", f"{schemas.SIGNUP_SNAKE}, {corrupt}", _permissive())
     opened = messages.withColumn("c", once(camel)).withColumn("s", once(snake))
     day = F.col("c.birthDate")
     from_parts = F.try_to_date(
@@ -148,8 +176,17 @@ def decode_signups(messages: DataFrame) -> DataFrame:
         "yyyy-MM-dd",
     )
     username = F.coalesce("c.username", "s.username")
+    raw_id = F.coalesce("c.userId", "s.player_id")
+    player_id = typed_id(raw_id, player_id_type)
+    # A value of the wrong kind spoils one shape only; the text is broken if neither can be read.
+    broken = F.col("body").isNull() | (F.col(f"c.{CORRUPT}").isNotNull() & F.col(f"s.{CORRUPT}").isNotNull())
+    reason = (
+        F.when(broken, "bad_json")
+        .when(raw_id.isNull() | username.isNull(), "missing_field")
+        .when(player_id.isNull(), "bad_id")
+    )
     return opened.select(
-        F.coalesce("c.userId", "s.player_id").try_cast("bigint").alias("player_id"),
+        player_id.alias("player_id"),
         username.alias("username"),
         F.coalesce("c.firstName", "s.firstname").alias("firstname"),
         F.coalesce("c.lastName", "s.lastname").alias("lastname"),
@@ -157,7 +194,18 @@ def decode_signups(messages: DataFrame) -> DataFrame:
         F.coalesce(from_parts, F.try_to_date("s.birthdate", "yyyy-MM-dd")).alias("birthdate"),
         F.coalesce("c.gender", "s.gender").alias("gender"),
         F.coalesce("c.country", "s.country").alias("country"),
-    ).filter("player_id is not null and username is not null")
+        "body",
+        reason.alias("reject_reason"),
+    )
+
+
+def good_signups(checked: DataFrame) -> DataFrame:
+    """Player rows of the accepted sign-ups."""
+    return checked.filter(F.col("reject_reason").isNull()).drop("body", "reject_reason")
+
+
+def decode_signups(messages: DataFrame, player_id_type: str = "bigint") -> DataFrame:
+    return good_signups(check_signups(messages, player_id_type))
 
 
 def decode_scores(messages: DataFrame) -> DataFrame:

@@ -51,12 +51,23 @@ def kafka_stream(spark: SparkSession, servers: str, topic: str, **options: str)
 class EventStore:
     """The tables the ingest keeps, as parquet folders partitioned by batch."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(
+        self, spark: SparkSession, root: str, match_id_type: str = "bigint", player_id_type: str = "bigint"
+    ):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.match_id_type = match_id_type
+        self.player_id_type = player_id_type
+
+    def _typed(self, schema: str) -> str:
+        """The schema with the store's types of ids."""
+        schema = schema.replace("match_id bigint", f"match_id {self.match_id_type}")
+        for name in ("player_id", "player1_id", "player2_id", "winner_id"):
+            schema = schema.replace(f"{name} bigint", f"{name} {self.player_id_type}")
+        return schema
 
     def _read(self, name: str, schema: str, before: int | None = None) -> DataFrame:
-        path = f"{self.root}/{name}"
+        path, schema = f"{self.root}/{name}", self._typed(schema)
         if not self._exists(path):
             return self.spark.createDataFrame([], f"{schema}, batch_id bigint")
         df = self.spark.read.schema(f"{schema}, batch_id bigint").parquet(path)
@@ -86,6 +97,9 @@ class EventStore:
     def rejected(self) -> DataFrame:
         return self._read("quarantine", "body string, reject_reason string").drop("batch_id")
 
+    def rejected_signups(self) -> DataFrame:
+        return self._read("signup_quarantine", "body string, reject_reason string").drop("batch_id")
+
     def ratings(self) -> DataFrame:
         return self._read("player_ratings", "player_id bigint, game_id int, rating int, rating_date date")
 
@@ -117,7 +131,7 @@ class EventStore:
         """Check, dedupe and store the match events of one micro-batch and add their statistics."""
         # The messages are parsed once and stored; each step below reads what the last one stored.
         decoded = self._stage(events.decode_match_events(batch), "staged_messages", batch_id)
-        checked = events.check_match_events(decoded, games, players)
+        checked = events.check_match_events(decoded, games, players, match_id_type=self.match_id_type)
         events_read = self._stage(checked, "staged_events", batch_id)
         self._write(events.quarantine(events_read), "quarantine", batch_id)
         fresh = changes.first_seen(
@@ -137,9 +151,11 @@ class EventStore:
         self._write(rated.drop("batch_id"), "player_ratings", batch_id)
 
     def add_players(self, batch: DataFrame, batch_id: int) -> None:
-        """Store the sign-ups whose player is not there yet."""
+        """Store the sign-ups whose player is not there yet, and the rejected ones with a reason."""
+        checked = self._stage(events.check_signups(batch, self.player_id_type), "staged_signups", batch_id)
+        self._write(events.quarantine(checked), "signup_quarantine", batch_id)
         fresh = changes.first_seen(
-            events.decode_signups(batch), self.players(before=batch_id), ["player_id"]
+            events.good_signups(checked), self.players(before=batch_id), ["player_id"]
         )
         self._write(fresh, "players", batch_id)
 

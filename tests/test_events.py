@@ -157,3 +157,32 @@ def test_reconcile(spark):
     sent = spark.createDataFrame([(1,), (2,), (2,), (3,)], "id int")
     there = spark.createDataFrame([(2,), (3,), (9,)], "id int")
     assert rows(Q.reconcile(sent, there, "t", "id")) == [("t", 3, 2, 1)]
+
+
+def test_ids_that_are_no_numbers_and_offsets(spark, small, tmp_path):
+    """Nothing is lost: accepted, rejected and repeated events add up to those that came in."""
+    texts = [
+        event("a-1"), event("B-2 "), event("b-2"), event("", startTime="2024-06-20T12:00:00+02:00"), event("c-3", player1Id="one"),
+        event("d-4", winnerId="nobody"), event("e-5", startTime="2024-06-20T08:30:00.5-01:30", endTime="2024-06-20T10:30:59+0000"),
+    ]
+    batch = spark.createDataFrame([("game.over", t) for t in texts], "routing_key string, body string")
+    numbers = {r.matchId: r.reject_reason for r in checked(batch, small).collect()}
+    assert set(numbers.values()) == {"bad_id"}
+    store = I.EventStore(spark, str(tmp_path / "tables"), match_id_type="string")
+    store.add_matches(batch, 0, small.game_names, small.players, AS_OF)
+    got = {r.match_id: r for r in store.matches().collect()}
+    assert set(got) == {"a-1", "b-2", "e-5"}
+    assert str(got["e-5"].start_time) == "2024-06-20 10:00:00" and got["e-5"].duration_minutes == 30
+    assert sorted(r.reject_reason for r in store.rejected().collect()) == ["bad_id"] * 3
+    assert len(texts) == len(got) + 3 + 1  # one repeat
+    assert {r.match_id for r in store.moves().collect()} == set(got)
+
+
+def test_rejected_signups_are_kept(spark, tmp_path):
+    bodies = ['{"userId": "x1", "username": "a"}', '{"userId": "1"}', '{"userId": ', None, '{"userId": "5", "username": "b"}']
+    store = I.EventStore(spark, str(tmp_path / "tables"))
+    store.add_players(spark.createDataFrame([(b,) for b in bodies], "body string"), 0)
+    assert [r.player_id for r in store.players().collect()] == [5]
+    assert sorted(r.reject_reason for r in store.rejected_signups().collect()) == ["bad_id", "bad_json", "bad_json", "missing_field"]
+    as_text = E.decode_signups(spark.createDataFrame([(b,) for b in bodies], "body string"), "string")
+    assert sorted(r.player_id for r in as_text.collect()) == ["5", "x1"]
