@@ -33,6 +33,7 @@ from matchlight.session import stored
 
 GROUP_ROWS = 8192
 SMALL_RUN = 48
+FRAME_ROWS = 100_000
 SHINGLES_AT_ONCE = 1 << 16
 
 # Generator polynomial of the binary Golay code of length 23, and hash constants.
@@ -189,27 +190,48 @@ def _forest(values: np.ndarray, most: int) -> list[tuple[int, int]]:
     return links
 
 
+def _spanning(u: np.ndarray, v: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places of the links of a minimum spanning forest, shorter ones first (Kruskal)."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while (up := parent.get(top, top)) != top:
+            top = up
+        while x != top:
+            parent[x], x = top, parent.get(x, x)
+        return top
+
+    keep = []
+    for i in np.lexsort((v, u, length)).tolist():
+        a, b = root(int(u[i])), root(int(v[i]))
+        if a != b:
+            parent[a] = b
+            keep.append(i)
+    return np.array(keep, dtype=np.int64)
+
+
 def _links(frame: pd.DataFrame, names: list[str], most: int) -> pd.DataFrame:
-    """Links inside runs of equal keys of a sorted frame."""
+    """Links inside runs of equal keys of a sorted frame, as many as connect what is linked in it."""
     group = frame["group"].to_numpy()
     values = np.stack([frame[n].to_numpy().view(np.uint64) for n in names], axis=1)
     node = frame["node"].to_numpy()
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, dtype=np.int64)
     sizes = np.diff(np.r_[starts, len(group)])
-    u, v = [], []
+    pairs = [np.zeros((0, 2), dtype=np.int64)]
     in_small = np.repeat(sizes <= SMALL_RUN, sizes)
     for step in range(1, int(min(SMALL_RUN, sizes.max(initial=1)))):
         a = np.flatnonzero((group[:-step] == group[step:]) & in_small[:-step])
         a = a[_distance(values[a], values[a + step]) <= most]
-        u.append(node[a])
-        v.append(node[a + step])
+        pairs.append(np.stack([a, a + step], axis=1))
     for start, size in zip(starts[sizes > SMALL_RUN], sizes[sizes > SMALL_RUN]):
-        links = np.array(_forest(values[start : start + size], most), dtype=np.int64).reshape(-1, 2) + start
-        u.append(node[links[:, 0]])
-        v.append(node[links[:, 1]])
-    u, v = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (u, v))
-    out = pd.DataFrame({"u": np.maximum(u, v), "v": np.minimum(u, v)})
-    return out[out["u"] != out["v"]].drop_duplicates()
+        pairs.append(np.array(_forest(values[start : start + size], most), dtype=np.int64).reshape(-1, 2) + start)
+    at = np.concatenate(pairs)
+    at = at[node[at[:, 0]] != node[at[:, 1]]]
+    out = pd.DataFrame({"u": node[at].max(axis=1), "v": node[at].min(axis=1)}) if len(at) else pd.DataFrame({"u": [], "v": []}, dtype="int64")
+    out["length"] = _distance(values[at[:, 0]], values[at[:, 1]])
+    out = out.drop_duplicates(["u", "v"], ignore_index=True)
+    return out.iloc[_spanning(out["u"].to_numpy(), out["v"].to_numpy(), out["length"].to_numpy())][["u", "v"]]
 
 
 def link(fps: DataFrame, names: list[str], most: int, plan) -> DataFrame:
@@ -229,7 +251,7 @@ def link(fps: DataFrame, names: list[str], most: int, plan) -> DataFrame:
                 yield out
 
     def compare(frames):
-        for frame in whole_groups(frames, ["group"], len, 20_000):
+        for frame in whole_groups(frames, ["group"], len, FRAME_ROWS):
             yield _links(frame, names, most)
 
     cells = fps.select("node", *names).mapInPandas(spread, f"cell long, node long, {columns}").repartition("cell")
