@@ -94,6 +94,14 @@ class Domain:
             )
         return rollup.with_scores(stats, self.as_of)
 
+    def scored_of_players(self, ids: DataFrame) -> DataFrame:
+        """Scored stats of some players; without a stored table only their seats are rolled up."""
+        if self.has_stats:
+            stats = self.stats.join(ids.select("player_id"), "player_id", "left_semi")
+        else:
+            stats = rollup.stats_of_players(ids, self.matches, self.moves)
+        return rollup.with_scores(stats, self.as_of)
+
     def scored_of_player(self, player_id: int) -> DataFrame:
         """Scored stats of one player; without a stored table the scans read only that player."""
         mine = F.col("player_id") == player_id

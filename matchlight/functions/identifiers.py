@@ -29,3 +29,16 @@ def key_hash(key: Column) -> Column:
 def in_train(key: Column, train_permille: int = 800) -> Column:
     """Repeatable split on a key: a row's side does not depend on partitioning."""
     return key_hash(key) < F.lit(train_permille)
+
+
+PAIR_BITS = 20
+
+
+def pair_key(player: Column, game: Column) -> Column:
+    """One number for (player, game), without collisions: game ids are below 2 ** 20."""
+    return F.shiftleft(player.cast("bigint"), PAIR_BITS).bitwiseOR(game.cast("bigint"))
+
+
+def pair_of(key: Column) -> tuple[Column, Column]:
+    """The player and the game of a ``pair_key``."""
+    return F.shiftright(key, PAIR_BITS), key.bitwiseAND(F.lit((1 << PAIR_BITS) - 1)).cast("int")

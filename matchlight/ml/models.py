@@ -19,6 +19,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import (
+    Imputer,
     PolynomialExpansion,
     StandardScaler,
     StringIndexer,
@@ -30,7 +31,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlight.functions.identifiers import key_hash
+from matchlight.functions.identifiers import key_hash, pair_key
 from matchlight.functions.numbers import rounded
 from matchlight.ml.targets import Target
 from matchlight.operators import features as X
@@ -53,13 +54,14 @@ class Size:
     parallelism: int = 4
 
 
-SMALL = Size(trees=8, rounds=4, depth=4, folds=2, iterations=20)
-
-
 def feature_stages(target: Target) -> list:
-    """Encode (unseen values get their own code), assemble in fixed order, scale."""
+    """Fill missing numbers with the training mean, encode, assemble in fixed order, scale.
+
+    Unseen and missing categories get a code of their own, so no row is lost at training or scoring.
+    """
+    filled = [f"{c}_filled" for c in target.numeric]
     coded = [f"{c}_code" for c in target.categorical]
-    stages = []
+    stages = [Imputer(strategy="mean", inputCols=list(target.numeric), outputCols=filled)]
     if coded:
         stages.append(
             StringIndexer(
@@ -69,7 +71,7 @@ def feature_stages(target: Target) -> list:
                 handleInvalid="keep",
             )
         )
-    assembler = VectorAssembler(inputCols=[*target.numeric, *coded], outputCol="raw_features")
+    assembler = VectorAssembler(inputCols=[*filled, *coded], outputCol="raw_features")
     scaler = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True)
     return [*stages, assembler, scaler]
 
@@ -91,7 +93,7 @@ def label_stage(target: Target) -> list:
     ]
 
 
-def estimator(target: Target, model: str, size: Size = SMALL) -> list:
+def estimator(target: Target, model: str, size: Size = Size()) -> list:
     """The stages of one model by name.
 
     ``svm`` is a linear support vector machine on second-degree terms and, for regression, a linear
@@ -138,7 +140,9 @@ def prepare(rows: DataFrame, target: Target, folds: int) -> DataFrame:
     Folds are stratified by class for classifiers and follow a hash of the player for regressors.
     """
     needed = ["player_id", "game_id", *feature_names(target), target.label]
-    base = rows.select(*dict.fromkeys(needed)).na.drop()
+    # Only a row without a label teaches nothing.
+    base = rows.select(*dict.fromkeys(needed)).na.drop(subset=[target.label])
+    base = base.withColumns({c: F.col(c).cast("double") for c in target.numeric if c != target.label})
     if target.kind != "multiclass":
         base = base.withColumn("label", F.col(target.label).cast("double"))
     base = X.hash_split(base, F.col("player_id"))
@@ -181,7 +185,7 @@ def train(
     rows: DataFrame,
     target: Target,
     models: tuple[str, ...] | None = None,
-    size: Size = SMALL,
+    size: Size = Size(),
     balance: bool = False,
     grid: dict[str, dict[str, list]] | None = None,
 ) -> Trained:
@@ -231,7 +235,7 @@ def _grid(stages: list, values: dict[str, list]):
     return builder.build()
 
 
-def fit_one(rows: DataFrame, target: Target, model: str, size: Size = SMALL) -> PipelineModel:
+def fit_one(rows: DataFrame, target: Target, model: str, size: Size = Size()) -> PipelineModel:
     """Fit one model on the training rows without cross-validation."""
     data = prepare(rows, target, size.folds).filter("is_train")
     stages = [*label_stage(target), *feature_stages(target), *estimator(target, model, size)]
@@ -252,7 +256,7 @@ def with_synthetic(ready: DataFrame, target: Target) -> DataFrame:
     copies = large / counts[small] - 1
     if copies == 0:
         return ready
-    keyed = ready.withColumn("row_id", F.xxhash64("player_id", "game_id"))
+    keyed = ready.withColumn("row_id", pair_key(F.col("player_id"), F.col("game_id")))
     minority = keyed.filter(F.col("label") == small)
     made = smote(minority.select("row_id", vector_to_array("features").alias("vec")), "row_id", copies)
     origin = minority.select("row_id", "label", "fold", WEIGHT)
@@ -281,23 +285,46 @@ def class_probability(column: str = "probability", index: int = 1):
     return F.get(vector_to_array(column), F.lit(index))
 
 
-def soft_vote(rows: DataFrame, models: dict[str, PipelineModel], target: Target) -> DataFrame:
-    """Mean class probability over several classifiers of one target, and the winning class.
+def class_shares(out: DataFrame, classes: int):
+    """Probabilities of all classes from a model's output.
+
+    A model without probabilities gives the logistic of its margins, divided by their sum.
+    """
+    if "probability" in out.columns:
+        return F.slice(vector_to_array("probability"), 1, classes)
+    margins = F.slice(vector_to_array("rawPrediction"), 1, classes)
+    odds = F.transform(margins, lambda m: F.lit(1.0) / (F.lit(1.0) + F.exp(-m)))
+    total = F.aggregate(odds, F.lit(0.0), lambda a, x: a + x)
+    return F.transform(odds, lambda x: x / total)
+
+
+def soft_vote(
+    rows: DataFrame, models: dict[str, PipelineModel], target: Target, labels: list[str] | None = None
+) -> DataFrame:
+    """Mean probability of every class over several classifiers of one target, and the winner.
 
-    A model without probabilities contributes the logistic of its margin.
+    ``labels`` names the classes of a target with more than two, in code order. ``probability`` is
+    that of class 1 for two classes, that of the winning class otherwise; the first of equals wins.
     """
-    current = rows.select("player_id", "game_id", *feature_names(target), target.label)
+    classes = len(labels) if labels else 2
+    current = rows.select("player_id", "game_id", *dict.fromkeys([*feature_names(target), target.label]))
+    kept = list(current.columns)
     parts = []
     for name, model in sorted(models.items()):
         out = model.transform(current)
-        if "probability" in out.columns:
-            p = class_probability()
-        else:
-            p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.get(vector_to_array("rawPrediction"), F.lit(1))))
-        kept = [c for c in current.columns]
-        current = out.select(*kept, p.alias(f"p_{name}"))
         parts.append(f"p_{name}")
-    mean = sum((F.col(p) for p in parts), F.lit(0.0)) / F.lit(float(len(parts)))
-    return current.withColumn("probability", rounded(mean, 6)).withColumn(
-        "prediction", (F.col("probability") >= 0.5).cast("int")
+        current = out.select(*kept, class_shares(out, classes).alias(parts[-1]))
+        kept = list(current.columns)
+    mean = F.transform(
+        F.sequence(F.lit(0), F.lit(classes - 1)),
+        lambda i: rounded(sum((F.get(F.col(p), i) for p in parts), F.lit(0.0)) / F.lit(float(len(parts))), 6),
+    )
+    voted = current.withColumn("probabilities", mean)
+    winner = (F.array_position("probabilities", F.array_max("probabilities")) - 1).cast("int")
+    if labels is None:
+        return voted.withColumn("probability", F.get("probabilities", F.lit(1))).withColumn(
+            "prediction", (F.col("probability") >= 0.5).cast("int")
+        )
+    return voted.withColumn("probability", F.array_max("probabilities")).withColumn(
+        "prediction", F.get(F.array(*[F.lit(x) for x in labels]), winner)
     )

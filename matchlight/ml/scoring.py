@@ -19,7 +19,7 @@ HELPERS = (
 
 
 def _clean(df: DataFrame) -> DataFrame:
-    return df.drop(*HELPERS)
+    return df.drop(*HELPERS, *[c for c in df.columns if c.endswith("_filled")])
 
 
 def score_churn(rows: DataFrame, model: PipelineModel) -> DataFrame:

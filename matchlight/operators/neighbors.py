@@ -1,6 +1,6 @@
 """Exact k nearest neighbours between two tables, without forming all pairs.
 
-The base rows are divided into cells around a fixed number of pivots. For a query row the pivots
+The base rows are divided into cells around pivots, whose number grows with the root of the rows. For a query row the pivots
 alone give an upper bound on its k-th distance; by the triangle inequality every cell further
 away than that bound can be left out. Query rows go only to the cells that remain. Cells are cut
 into blocks of bounded size on both sides, and each pair of blocks returns at most k rows per
@@ -22,7 +22,8 @@ from matchlight.session import stored
 # Ship the helpers below with the tasks, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-PIVOTS = 64
+PIVOTS = (16, 1024)  # least and most pivots, which is what the driver sees
+ROWS_PER_PIVOT = 16  # per pivot for few rows; the number of pivots grows with the root of the rows
 BASE_BLOCK = 20_000
 QUERY_BLOCK = 20_000
 SLACK = 1e-9
@@ -47,7 +48,7 @@ def nearest(
     k: int,
     payload: str | None = None,
     exclude_self: bool = False,
-    pivots: int = PIVOTS,
+    pivots: int | None = None,
     base_block: int = BASE_BLOCK,
     query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
@@ -66,6 +67,9 @@ def nearest(
         base.groupBy("vec", label.alias("payload")).agg(F.count("*").alias("copies")), "base-rows"
     )
 
+    if pivots is None:
+        low, high = PIVOTS
+        pivots = int(min(high, max(low, distinct.count() ** 0.5 * 4 / ROWS_PER_PIVOT**0.5)))
     chosen = distinct.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(pivots).collect()
     centers = np.array([row["vec"] for row in chosen], dtype="float64")
     if not len(centers):

@@ -44,8 +44,9 @@ def orphans(child: DataFrame, name: str, column: str, parent: DataFrame, key: st
 
 
 def foreign_keys(d: Domain) -> DataFrame:
-    """All foreign-key violations of the schema."""
+    """All foreign-key violations of the schema, for the stored and for the derived tables."""
     m, players, games = d.matches, d.players, d.games
+    stats, ratings = d.stats, ratings_of(d)
     return union_all(
         [
             orphans(m, "match.game", "game_id", games, "game_id"),
@@ -54,10 +55,20 @@ def foreign_keys(d: Domain) -> DataFrame:
             orphans(m, "match.winner", "winner_id", players, "player_id"),
             orphans(d.moves, "moves.match", "match_id", m, "match_id"),
             orphans(d.moves, "moves.player", "player_id", players, "player_id"),
+            orphans(stats, "stats.player", "player_id", players, "player_id"),
+            orphans(stats, "stats.game", "game_id", games, "game_id"),
+            orphans(ratings, "ratings.player", "player_id", players, "player_id"),
+            orphans(ratings, "ratings.game", "game_id", games, "game_id"),
         ]
     )
 
 
+def ratings_of(d: Domain) -> DataFrame:
+    """The rating table: the stored one, or the ratings of the current statistics."""
+    stored = getattr(d, "ratings", None)
+    return d.scored.select("player_id", "game_id", "rating") if stored is None else stored
+
+
 def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows and NULLs per required column in one pass."""
     counts = df.agg(
@@ -68,6 +79,25 @@ def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return counts.select("rows", F.inline(F.array(*entries)))
 
 
+# Columns that must not be NULL.
+REQUIRED = {
+    "players": ("player_id", "username", "firstname", "lastname", "email", "birthdate", "gender", "country"),
+    "games": ("game_id", "name", "can_draw"),
+    "match_history": ("match_id", "game_id", "player1_id", "player2_id", "start_time", "end_time", "duration_minutes", "result"),
+    "match_moves": ("match_id", "player_id", "moves_count"),
+}
+
+
+def incomplete(df: DataFrame, table: str) -> DataFrame:
+    """Rows of a table, and those in which a required column is NULL."""
+    gap = F.lit(False)
+    for column in REQUIRED[table]:
+        gap = gap | F.col(column).isNull()
+    return df.agg(
+        F.lit(table).alias("table_name"), F.count("*").alias("rows"), F.count(F.when(gap, 1)).alias("nulls")
+    )
+
+
 def domain_violations(scored: DataFrame, players: DataFrame, matches: DataFrame) -> DataFrame:
     """Rows outside the allowed values, counted per rule."""
     low, high = schemas.RATING_RANGE
@@ -122,7 +152,8 @@ def delete_players(d: Domain, gone: DataFrame) -> dict[str, DataFrame]:
     """The tables after deleting players: their matches, moves and stats go with them.
 
     A winner outside the match's two players is set to NULL if deleted. Moves follow their match:
-    a move row of a deleted player belongs to one of that player's matches.
+    a move row of a deleted player belongs to one of that player's matches. Statistics and ratings of
+    the deleted players go, too; those of their opponents are for ``rollup.refresh_keys`` to renew.
     """
     ids = gone.select("player_id").distinct()
     marked = d.matches
@@ -140,11 +171,13 @@ def delete_players(d: Domain, gone: DataFrame) -> dict[str, DataFrame]:
         "players": d.players.join(ids, "player_id", "left_anti"),
         "match_history": matches,
         "match_moves": moves.select(*d.moves.columns),
+        "player_game_stats": d.stats.join(ids, "player_id", "left_anti"),
+        "player_ratings": ratings_of(d).join(ids, "player_id", "left_anti"),
     }
 
 
 def delete_games(d: Domain, gone: DataFrame) -> dict[str, DataFrame]:
-    """The tables after deleting games with their matches and moves."""
+    """The tables after deleting games with their matches, moves, statistics and ratings."""
     ids = d.per_game(gone.select("game_id").distinct())
     matches = d.matches.join(ids, "game_id", "left_anti").select(*d.matches.columns)
     moves = d.moves.join(matches.select("match_id"), "match_id", "left_semi")
@@ -152,6 +185,8 @@ def delete_games(d: Domain, gone: DataFrame) -> dict[str, DataFrame]:
         "games": d.games.join(ids, "game_id", "left_anti"),
         "match_history": matches,
         "match_moves": moves.select(*d.moves.columns),
+        "player_game_stats": d.stats.join(ids, "game_id", "left_anti"),
+        "player_ratings": ratings_of(d).join(ids, "game_id", "left_anti"),
     }
 
 

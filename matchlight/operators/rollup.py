@@ -114,6 +114,14 @@ def refresh_keys(keys: DataFrame, matches: DataFrame, moves: DataFrame) -> DataF
     return joined.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("bigint") for c in COUNTS})
 
 
+def stats_of_players(ids: DataFrame, matches: DataFrame, moves: DataFrame) -> DataFrame:
+    """The roll-up of some players: their seats and moves are picked before the two meet."""
+    few = ids.select("player_id").distinct()
+    seats = participants(matches).join(few, "player_id", "left_semi")
+    own = moves_per_participant(moves.join(few, "player_id", "left_semi"))
+    return aggregate_participants(seats.join(own, ["match_id", "player_id"], "left"))
+
+
 def stats_from_wide(wide: DataFrame) -> DataFrame:
     """The roll-up from wide matches, where each seat's move count is a column of the match."""
     won = F.col("winner_id") == F.col("player_id")

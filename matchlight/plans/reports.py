@@ -85,7 +85,8 @@ def player_search(d: Domain, term: str, collation: str | None = None) -> DataFra
     """Stats of players whose full name contains the term, see :func:`matches_text`."""
     found = d.people.filter(matches_text(F.col("player_name"), term, collation))
     return (
-        d.scored.join(found, "player_id")
+        d.scored_of_players(found)
+        .join(found, "player_id")
         .join(d.game_names, "game_id")
         .orderBy(F.desc("win_ratio"), F.desc("total_games_played"), *PK)
         .select(*PLAYER_COLUMNS)
@@ -544,10 +545,8 @@ def seat_balance(d: Domain) -> DataFrame:
         F.count(F.when(F.col("seat") == 1, 1)).alias("s1"),
         F.count(F.when(F.col("seat") == 2, 1)).alias("s2"),
     )
-    catalogue = d.games.agg(F.collect_list(F.struct("game_id", "name"))).scalar()
-    grid = d.players.select("player_id", "username", catalogue.alias("g")).select(
-        "player_id", "username", F.inline("g")
-    )
+    # Every player with every game is the result itself.
+    grid = d.players.select("player_id", "username").crossJoin(d.per_game(d.games.select("game_id", "name")))
     zero = F.lit(0)
     return (
         grid.join(counts, ["player_id", "game_id"], "left")

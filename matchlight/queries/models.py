@@ -1,16 +1,14 @@
 """Model training, evaluation and scoring queries. Only the exact ones have check SQL."""
 
 from pyspark.ml import Pipeline
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from matchlight.functions.identifiers import in_train
-from matchlight.functions.numbers import rounded
+from matchlight.functions.identifiers import in_train, pair_key, pair_of
 from matchlight.ml import models as M
 from matchlight.ml import scoring as C
 from matchlight.ml import targets as T
 from matchlight.operators.features import encoder, standard_scale
-from matchlight.operators.neighbors import nearest, smote, vote
+from matchlight.operators.neighbors import nearest, vote
 from matchlight.queries.base import query
 from matchlight.queries.features import HASH
 from matchlight.session import scratch_path, stored
@@ -25,7 +23,7 @@ def scaled_vectors(d):
 
     Whole numbers make squared distances exact, so the order of neighbours is well defined.
     """
-    base = d.star.withColumn("row_key", F.col("player_id") * 100 + F.col("game_id"))
+    base = d.star.withColumn("row_key", pair_key(F.col("player_id"), F.col("game_id")))
     for column, code in KNN_CODES.items():
         base = encoder(base, column, code).transform(base)
     kept = base.select("row_key", "player_id", "game_id", "player_level", *KNN_COLUMNS)
@@ -60,62 +58,66 @@ def _z(c: str) -> str:
 def _(d):
     rows = stored(scaled_vectors(d), "knn")
     train = in_train(F.col("player_id"))
-    near = nearest(
-        rows.filter(~train), rows.filter(train), "row_key", 5, payload="player_level", pivots=16
-    )
-    voted = vote(near, "row_key", 5)
-    return voted.select(
-        F.floor(F.col("row_key") / 100).cast("bigint").alias("player_id"),
-        (F.col("row_key") % 100).cast("int").alias("game_id"),
-        "predicted",
-    )
+    near = nearest(rows.filter(~train), rows.filter(train), "row_key", 5, payload="player_level")
+    player, game = pair_of(F.col("row_key"))
+    return vote(near, "row_key", 5).select(player.alias("player_id"), game.alias("game_id"), "predicted")
 
 
-@query("smote_balance")
+@query(
+    "smote_balance",
+    f"""select case when total_games_played < 10 or total_wins < 0.2 * total_games_played then 1.0::double
+        else 0.0::double end as label, count(*) as rows, true as balanced
+    from star where {HASH} < 800 and total_games_played > 0 and total_time_played_minutes > 0 group by 1""",
+)
 def _(d):
-    """The smaller churn class in scaled space, doubled by synthetic rows."""
+    """The churn classes with synthetic rows of the smaller one, which make them about equal."""
     data = M.prepare(T.training_rows(d), T.CHURN, 2).filter("is_train")
     ready = Pipeline(stages=M.feature_stages(T.CHURN)).fit(data).transform(data)
-    minority = ready.filter("label = 0").select(
-        (F.col("player_id") * 100 + F.col("game_id")).alias("row_key"),
-        vector_to_array("features").alias("vec"),
-    )
-    made = smote(stored(minority, "minority"), "row_key", copies=1, pivots=16)
-    return made.select("row_key", "copy", F.size("vec").alias("dimensions"), rounded(F.get("vec", F.lit(0)), 6).alias("first"))
+    own = ready.groupBy("label").agg(F.count("*").alias("rows"))
+    after = M.with_synthetic(stored(ready.drop("raw_features"), "ready"), T.CHURN)
+    after = after.groupBy("label").agg(F.count("*").alias("all"))
+    largest = after.agg(F.max("all").alias("largest"))
+    near = F.abs(F.col("all") - F.col("largest")) <= F.greatest(F.lit(25), F.col("largest") * 0.1)
+    # The one row of the largest class is the other side.
+    return own.join(after, "label").crossJoin(F.broadcast(largest)).select("label", "rows", near.alias("balanced"))
 
 
 # --- training ---------------------------------------------------------------------------------
 
 
-def trained(key: str, target: T.Target, **options):
+# Full forests and folds; boosting stops earlier than the library's default of 100 rounds, as a round is a chain of jobs.
+JOBS = M.Size(rounds=20)
+
+
+def trained(key: str, target: T.Target, size: M.Size = JOBS, **options):
     @query(key)
     def _(d):
-        return M.train(T.training_rows(d), target, **options).table(d.spark)
+        return M.train(T.training_rows(d), target, size=size, **options).table(d.spark)
 
 
-trained("train_churn", T.CHURN, models=("random_forest", "logistic", "svm"), balance=True)
-trained("train_win", T.WIN, models=("random_forest", "linear"))
+trained("train_churn", T.CHURN, balance=True)
+trained("train_win", T.WIN)
 trained("train_win_binary", T.WIN_BINARY_GAMES)
-trained("train_engagement", T.ENGAGEMENT, models=("random_forest", "linear", "ridge", "lasso", "svm"))
-trained("train_level", T.LEVEL, models=("random_forest", "logistic", "gradient_boosting"))
+trained("train_engagement", T.ENGAGEMENT)
+trained("train_level", T.LEVEL)
 trained(
     "grid_search",
     T.CHURN,
-    models=("logistic",),
-    grid={"logistic": {"regParam": [0.1, 0.01], "elasticNetParam": [0.0, 0.5]}},
+    models=("logistic", "random_forest"),
+    grid={
+        "logistic": {"regParam": [0.1, 0.01, 0.001], "elasticNetParam": [0.0, 0.5]},
+        "random_forest": {"numTrees": [50, 100], "maxDepth": [3, 5]},
+    },
 )
-trained("cv_scores", T.WIN, models=("linear",), size=M.Size(trees=5, rounds=3, depth=3, folds=3, iterations=10))
+trained("cv_scores", T.WIN, models=("linear", "random_forest"))
 
 
 @query("model_comparison")
 def _(d):
     rows = stored(T.training_rows(d), "rows")
     tables = [
-        M.train(rows, target, models=models).table(d.spark)
-        for target, models in (
-            (T.SESSION, ("random_forest", "linear")),
-            (T.FUTURE, ("random_forest", "linear")),
-        )
+        M.train(rows, target, models=(*T.REGRESSORS, "ridge", "lasso"), size=JOBS).table(d.spark)
+        for target in (T.SESSION, T.FUTURE)
     ]
     return tables[0].unionByName(tables[1])
 
@@ -152,12 +154,21 @@ def _(d):
 @query("soft_vote")
 def _(d):
     rows = stored(T.training_rows(d), "rows")
-    models = {n: M.fit_one(rows, T.CHURN, n) for n in T.CLASSIFIERS}
+    models = {n: M.fit_one(rows, T.CHURN, n, JOBS) for n in T.CLASSIFIERS}
     return M.soft_vote(rows, models, T.CHURN).select(
         "player_id", "game_id", "probability", "prediction"
     )
 
 
+@query("soft_vote_level")
+def _(d):
+    """Three classes: the mean of all class probabilities decides."""
+    rows = stored(T.training_rows(d), "rows")
+    models = {n: M.fit_one(rows, T.LEVEL, n, JOBS) for n in ("random_forest", "logistic", "svm")}
+    labels = C.level_labels(models["logistic"])
+    return M.soft_vote(rows, models, T.LEVEL, labels).select("player_id", "game_id", "probability", "prediction")
+
+
 # --- scoring ----------------------------------------------------------------------------------
 
 
@@ -178,7 +189,7 @@ def _(d):
 @query("score_win_binary")
 def _(d):
     rows = stored(T.training_rows(d), "rows")
-    scored = C.score_win_binary(rows, M.fit_one(rows, T.WIN_BINARY, "gradient_boosting"))
+    scored = C.score_win_binary(rows, M.fit_one(rows, T.WIN_BINARY, "gradient_boosting", JOBS))
     return scored.select("player_id", "game_id", "next_win_probability")
 
 
@@ -212,3 +223,40 @@ def _(d):
         "level": M.fit_one(rows, T.LEVEL, "logistic"),
     }
     return C.score_all(rows, models, d.as_of, "v1")
+
+
+@query(
+    "scoring_checks",
+    """select scorer, (select count(*) from star) as rows, cast(0 as bigint) as wrong
+    from (values ('churn'), ('win'), ('win_binary'), ('engagement'), ('level'), ('all'), ('vote')) t(scorer)""",
+)
+def _(d):
+    """Every scorer gives one row for each row it gets, with values in range, though ages and countries are missing."""
+    rows = stored(T.training_rows(d), "rows")
+    models = {t.name: M.fit_one(rows, t, m) for t, m in ((T.CHURN, "logistic"), (T.WIN, "linear"), (T.WIN_BINARY, "logistic"), (T.ENGAGEMENT, "linear"), (T.LEVEL, "logistic"))}
+    labels = C.level_labels(models["level"])
+    gap = F.col("player_id") % 3 == 0
+    holes = stored(
+        rows.withColumns({c: F.when(~gap, F.col(c)) for c in ("age", "country")}), "holes"
+    )
+
+    def share(column: str):
+        return ~F.coalesce(F.col(column).between(0, 1), F.lit(False))
+
+    churn = C.score_churn(holes, models["churn"])
+    level = C.score_level(holes, models["level"], labels)
+    everything = C.score_all(holes, models, d.as_of, "v1").select("predictions.win_probability.*")
+    checks = {
+        "churn": (churn, share("churn_probability") | ((F.col("churn_result") == "Yes") != (F.col("churn_probability") > 0.5))),
+        "win": (C.score_win(holes, models["win"]), share("win_prediction")),
+        "win_binary": (C.score_win_binary(holes, models["win_binary"]), share("next_win_probability")),
+        "engagement": (C.score_engagement(holes, models["engagement"]), F.col("engagement_minutes").isNull()),
+        "level": (level, share("level_confidence") | ~F.col("predicted_level").isin(*labels)),
+        "all": (everything, share("win_prediction")),
+        "vote": (M.soft_vote(holes, {"a": models["churn"]}, T.CHURN), share("probability")),
+    }
+    out = None
+    for name, (scored, bad) in checks.items():
+        one = scored.agg(F.count("*").alias("rows"), F.count(F.when(bad, 1)).alias("wrong")).select(F.lit(name).alias("scorer"), "rows", "wrong")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -45,6 +45,7 @@ class Without:
         self.matches, self.moves = d.matches.filter("match_id % 500 <> 1"), d.moves
         self.players = d.players.filter("player_id % 50 <> 3")
         self.games = d.games.filter("game_id <> 4")
+        self.stats, self.scored = d.stats, d.scored
 
 
 @query(
@@ -63,7 +64,13 @@ class Without:
     union all select 'moves.match', cast(match_id as varchar), count(*) from match_moves
       where match_id not in (select match_id from m) group by all
     union all select 'moves.player', cast(player_id as varchar), count(*) from match_moves
-      where player_id not in (select player_id from p) group by all""",
+      where player_id not in (select player_id from p) group by all
+    union all select r.rule, cast(player_id as varchar), count(*)
+      from pgs cross join (values ('stats.player'), ('ratings.player')) r(rule)
+      where player_id not in (select player_id from p) group by all
+    union all select r.rule, cast(game_id as varchar), count(*)
+      from pgs cross join (values ('stats.game'), ('ratings.game')) r(rule)
+      where game_id not in (select game_id from g) group by all""",
 )
 def _(d):
     return Q.foreign_keys(Without(d))
@@ -100,6 +107,24 @@ def _(d):
     return Q.null_counts(d.matches, required)
 
 
+@query(
+    "dq_required",
+    """select 'players' as table_name, count(*) as rows, count(*) filter (player_id % 19 = 0) as nulls from players
+    union all select 'games', count(*), count(*) filter (game_id = 3) from games
+    union all select 'match_history', count(*), cast(0 as bigint) from match_history
+    union all select 'match_moves', count(*), cast(0 as bigint) from match_moves""",
+)
+def _(d):
+    """Rows that lack a required value, per table, with gaps made on purpose."""
+    holed = {
+        "players": d.players.withColumn("email", F.when(F.col("player_id") % 19 != 0, F.col("email"))),
+        "games": d.games.withColumn("name", F.when(F.col("game_id") != 3, F.col("name"))),
+        "match_history": d.matches,
+        "match_moves": d.moves,
+    }
+    return Q.union_all([Q.incomplete(df, name) for name, df in holed.items()])
+
+
 @query(
     "dq_request_rules",
     """with requests as (select player_id, game_id, total_games_played, total_moves, total_wins,
@@ -158,6 +183,38 @@ def _(d):
     return Q.delete_games(d, d.games.filter("game_id = 2"))["match_moves"]
 
 
+@query(
+    "cascade_counts",
+    """with gone as (select player_id from players where player_id % 40 = 5),
+      m as (select match_id from match_history where player1_id not in (select player_id from gone)
+        and player2_id not in (select player_id from gone)),
+      m2 as (select match_id from match_history where game_id <> 2)
+    select 'player' as deleted, 'players' as remaining, count(*) as rows from players where player_id % 40 <> 5
+    union all select 'player', 'match_history', count(*) from m
+    union all select 'player', 'match_moves', count(*) from match_moves where match_id in (select match_id from m)
+    union all select 'player', r.t, count(*) from pgs cross join (values ('player_game_stats'), ('player_ratings')) r(t)
+      where player_id not in (select player_id from gone) group by all
+    union all select 'game', 'games', count(*) from games where game_id <> 2
+    union all select 'game', 'match_history', count(*) from m2
+    union all select 'game', 'match_moves', count(*) from match_moves where match_id in (select match_id from m2)
+    union all select 'game', r.t, count(*) from pgs cross join (values ('player_game_stats'), ('player_ratings')) r(t)
+      where game_id <> 2 group by all""",
+)
+def _(d):
+    """Rows that remain in every table after either delete."""
+    after = {
+        "player": Q.delete_players(d, d.players.filter(F.col("player_id") % 40 == 5)),
+        "game": Q.delete_games(d, d.games.filter("game_id = 2")),
+    }
+    return Q.union_all(
+        [
+            df.agg(F.lit(kind).alias("deleted"), F.lit(name).alias("remaining"), F.count("*").alias("rows"))
+            for kind, tables in after.items()
+            for name, df in tables.items()
+        ]
+    )
+
+
 @query(
     "reconcile_events",
     """select 'match_history' as target, count(*) as published,

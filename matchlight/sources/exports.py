@@ -31,11 +31,17 @@ def training_extract(d: Domain) -> DataFrame:
 
 
 def feature_export(d: Domain) -> DataFrame:
-    """One row per player and game with dimensions, targets and the best in-game score."""
-    best = d.score_events.groupBy("player_id", "game_id").agg(
-        F.max("score").alias("highest_score")
-    )
-    return d.star.join(best, ["player_id", "game_id"], "left").select(
+    """One row per player and game with dimensions, targets and the best in-game score.
+
+    A domain without ``score_events`` has no scores: the column is NULL.
+    """
+    events = getattr(d, "score_events", None)
+    if events is None:
+        rows = d.star.withColumn("highest_score", F.lit(None).cast("double"))
+    else:
+        best = events.groupBy("player_id", "game_id").agg(F.max("score").alias("highest_score"))
+        rows = d.star.join(best, ["player_id", "game_id"], "left")
+    return rows.select(
         "player_id",
         "game_id",
         "username",

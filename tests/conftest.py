@@ -8,6 +8,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from matchlight import build_session  # noqa: E402
 from matchlight.domain import Domain  # noqa: E402
 from matchlight import schemas  # noqa: E402
+from matchlight.session import drop_scratch  # noqa: E402
 
 AS_OF = "2024-06-30 00:00:00"
 
@@ -22,6 +23,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    drop_scratch(session)
     session.stop()
 
 

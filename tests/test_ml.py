@@ -149,3 +149,25 @@ def test_level_samples_of_the_scoring_requests(spark):
     df = spark.createDataFrame([(130, 96), (123, 39), (4, 1)], "g int, w int")
     got = [r[0] for r in df.select(S.player_level(F.col("g"), F.col("w"))).collect()]
     assert got == ["expert", "intermediate", "novice"]
+
+
+def test_missing_values_lose_no_row(rows):
+    """NULL numbers are filled with the training mean, NULL categories have a code of their own."""
+    holes = rows.withColumns(
+        {"age": F.when(F.col("player_id") % 2 == 0, F.col("age")), "country": F.lit(None).cast("string")}
+    )
+    assert M.prepare(holes, T.CHURN, 2).count() == rows.count()
+    model = M.fit_one(holes, T.CHURN, "logistic", TINY)
+    scored = C.score_churn(holes, model)
+    assert scored.count() == rows.count() and scored.where("churn_probability is null").count() == 0
+    assert not [c for c in scored.columns if c.endswith("_filled")]
+
+
+def test_three_class_vote_takes_the_largest_mean(rows):
+    models = {n: M.fit_one(rows, T.LEVEL, n, TINY) for n in ("random_forest", "svm")}
+    labels = C.level_labels(models["svm"])
+    voted = M.soft_vote(rows, models, T.LEVEL, labels).collect()
+    assert len(voted) == rows.count()
+    for r in voted[:50]:
+        mean = [(a + b) / 2 for a, b in zip(r.p_random_forest, r.p_svm)]
+        assert r.prediction == labels[max(range(len(labels)), key=lambda i: (round(mean[i], 6), -i))]
