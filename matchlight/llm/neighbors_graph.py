@@ -34,34 +34,41 @@ COUNT_BLOCK = 2048
 EDGES = "a long, b long, sim double"
 
 
-def unit(values) -> np.ndarray | None:
-    """The vector in double precision with length 1; None if it links with nothing."""
+def raw(values, dtype: str) -> bytes | None:
+    """The components as bytes; None for a vector that links with nothing."""
     if values is None:
         return None
     x = np.asarray(values, dtype=np.float64)
-    if not len(x) or not np.isfinite(x).all():
+    if not len(x) or not np.isfinite(x).all() or not x.any():
         return None
-    largest = np.abs(x).max()
-    if largest == 0:
-        return None
-    x = x / largest
-    return x / np.sqrt(x @ x) + 0.0
+    return (x + 0.0).astype(dtype).tobytes()  # adding zero makes -0.0 equal to 0.0
 
 
 def valid_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, node, data): node stands for equal vectors; both NULL for vectors without links."""
+    """(vec_id, data, node): node stands for equal vectors; both NULL for vectors without links.
+
+    ``data`` has the components as they are, in single precision if they came so.
+    """
     source = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("vector"))
+    dtype = dtype_of(vectors, vector_col)
 
     def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for values in series:
-            yield pd.Series([None if (x := unit(v)) is None else x.tobytes() for v in values], dtype=object)
+            yield pd.Series([raw(v, dtype) for v in values], dtype=object)
 
     made = source.select("vec_id", F.pandas_udf(run, "binary")("vector").alias("data"))
     return made.withColumn("node", F.when(F.col("data").isNotNull(), F.xxhash64("data")))
 
 
-def _matrix(data) -> np.ndarray:
-    return np.frombuffer(b"".join(data), dtype=np.float64).reshape(len(data), -1)
+def dtype_of(vectors: DataFrame, vector_col: str = "embedding") -> str:
+    return "<f4" if dict(vectors.dtypes)[vector_col] == "array<float>" else "<f8"
+
+
+def _matrix(data, dtype: str) -> np.ndarray:
+    """Rows of length 1 in double precision."""
+    x = np.frombuffer(b"".join(data), dtype=dtype).reshape(len(data), -1).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
 def _edges(node: np.ndarray, sims: np.ndarray, most: int, floor: np.ndarray | None = None) -> pd.DataFrame:
@@ -76,13 +83,13 @@ def _edges(node: np.ndarray, sims: np.ndarray, most: int, floor: np.ndarray | No
     return pd.DataFrame({"a": node[a[keep]], "b": node[b[keep]], "sim": sim[keep]})
 
 
-def first_graph(nodes: DataFrame, bits: int, seed: int) -> DataFrame:
+def first_graph(nodes: DataFrame, bits: int, seed: int, dtype: str) -> DataFrame:
     """Edges between vectors in the same bucket of one of ``TABLES`` hyperplane tables."""
 
     def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for dim, part in frame.groupby("dim"):
-                x = _matrix(part["data"].tolist())
+                x = _matrix(part["data"].tolist(), dtype)
                 for table in range(TABLES):
                     planes = np.random.default_rng([seed, table, int(dim)]).standard_normal((int(dim), bits + 1))
                     side = x @ planes
@@ -96,7 +103,7 @@ def first_graph(nodes: DataFrame, bits: int, seed: int) -> DataFrame:
         for frame in whole_groups(frames, ["bucket"], len, 4000):
             for _, part in frame.groupby(["bucket", "dim"], sort=False):
                 node = part["node"].to_numpy()
-                x = _matrix(part["data"].tolist())
+                x = _matrix(part["data"].tolist(), dtype)
                 for start in range(0, max(1, len(node) - BLOCK // 2), BLOCK // 2):
                     own = x[start : start + BLOCK]
                     if len(own) > 1:
@@ -118,7 +125,7 @@ def best_edges(edges: DataFrame, threshold: float) -> DataFrame:
     return ranked.where(F.col("rank") <= ENLARGED).where((F.col("rank") <= NEIGHBOURS) | (F.col("sim") >= threshold))
 
 
-def descend(graph: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+def descend(graph: DataFrame, nodes: DataFrame, threshold: float, dtype: str) -> DataFrame:
     """One local join: news for the graph from comparing each vector's neighbours with each other."""
     floor = graph.groupBy("a").agg(
         F.when(F.count("*") >= NEIGHBOURS, F.min("sim")).otherwise(-2.0).alias("floor"),
@@ -142,7 +149,7 @@ def descend(graph: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
             out = []
             for _, part in frame.groupby("centre", sort=False):
                 if len(part) > 1:
-                    x = _matrix(part["data"].tolist())
+                    x = _matrix(part["data"].tolist(), dtype)
                     out.append(_edges(part["node"].to_numpy(), x @ x.T, NEIGHBOURS, part["floor"].to_numpy()))
             if out:
                 yield pd.concat(out).drop_duplicates(["a", "b"])
@@ -155,7 +162,7 @@ def descend(graph: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def count_links(labelled: DataFrame, threshold: float) -> DataFrame:
+def count_links(labelled: DataFrame, threshold: float, dtype: str) -> DataFrame:
     """(node, n): rows linked to a row of each node of (node, component, data, rows), exactly.
 
     Components are cut into blocks of about ``COUNT_BLOCK``; each pair of blocks is compared in one task,
@@ -176,7 +183,7 @@ def count_links(labelled: DataFrame, threshold: float) -> DataFrame:
         keys = ["component", "low", "high"]
         for frame in whole_groups(frames, keys, len, 4096):
             for (_, low, high), part in frame.groupby(keys, sort=False):
-                x, weight = _matrix(part["data"].tolist()), part["rows"].to_numpy(dtype=np.int64)
+                x, weight = _matrix(part["data"].tolist(), dtype), part["rows"].to_numpy(dtype=np.int64)
                 in_low = (part["own"] == low).to_numpy()
                 n = np.zeros(len(part), dtype=np.int64)
                 sides = ((in_low, in_low),) if low == high else ((in_low, ~in_low), (~in_low, in_low))
@@ -193,13 +200,13 @@ def count_links(labelled: DataFrame, threshold: float) -> DataFrame:
     return pairs.mapInPandas(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
 
 
-def audit(labelled: DataFrame, threshold: float, rows: int = AUDIT_ROWS) -> float:
+def audit(labelled: DataFrame, threshold: float, dtype: str, rows: int = AUDIT_ROWS) -> float:
     """Share of the true links of at most ``rows`` vectors that lie inside components: the recall."""
     asked = labelled.orderBy(F.hash("node"), "node").limit(rows).select("node", "dim", "data", "component").toPandas()
     if not len(asked):
         return 1.0
     shared = labelled.sparkSession.sparkContext.broadcast(
-        {dim: (_matrix(p["data"].tolist()), p["node"].to_numpy(), p["component"].to_numpy()) for dim, p in asked.groupby("dim")}
+        {dim: (_matrix(p["data"].tolist(), dtype), p["node"].to_numpy(), p["component"].to_numpy()) for dim, p in asked.groupby("dim")}
     )
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -208,7 +215,7 @@ def audit(labelled: DataFrame, threshold: float, rows: int = AUDIT_ROWS) -> floa
             for dim, part in frame.groupby("dim"):
                 if dim in shared.value:
                     q, node, component = shared.value[dim]
-                    link = (q @ _matrix(part["data"].tolist()).T >= threshold) & (node[:, None] != part["node"].to_numpy()[None, :])
+                    link = (q @ _matrix(part["data"].tolist(), dtype).T >= threshold) & (node[:, None] != part["node"].to_numpy()[None, :])
                     true += int(link.sum())
                     found += int((link & (component[:, None] == part["component"].to_numpy()[None, :])).sum())
             yield pd.DataFrame({"true": [true], "found": [found]})
@@ -227,22 +234,23 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, seed: int
     smallest id in their component, if there is one.
     """
     prepare(vectors.sparkSession)
+    dtype = dtype_of(vectors)
     rows = stored(valid_vectors(vectors), "vectors")
     nodes = stored(
         rows.where("node is not null")
         .groupBy("node")
         .agg(F.first("data").alias("data"), F.count("*").alias("rows"), F.min("vec_id").alias("least_id"))
-        .withColumn("dim", (F.length("data") / 8).cast("int")),
+        .withColumn("dim", (F.length("data") / np.dtype(dtype).itemsize).cast("int")),
         "nodes",
     )
     size = nodes.count()
     bits = int(np.clip(np.ceil(np.log2(max(1, size) / BUCKET)), 1, 40))
     graph, recall = None, 0.0
     for turn in range(ROUNDS):
-        start = first_graph(nodes, bits, seed + turn)
+        start = first_graph(nodes, bits, seed + turn, dtype)
         graph = stored(best_edges(start if graph is None else graph.select("a", "b", "sim").unionByName(start), threshold), "graph")
         for _ in range(DESCENTS):
-            news = descend(graph, nodes, threshold)
+            news = descend(graph, nodes, threshold, dtype)
             new = stored(best_edges(graph.select("a", "b", "sim").unionByName(news), threshold), "graph")
             changed = new.join(graph, ["a", "b"], "left_anti").count()
             graph = new
@@ -252,13 +260,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, seed: int
         labelled = stored(
             nodes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled"
         )
-        recall = audit(labelled, threshold)
+        recall = audit(labelled, threshold, dtype)
         if recall >= RECALL:
             break
     smallest = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
     by_node = (
         labelled.join(smallest, "component")
-        .join(count_links(labelled, threshold), "node", "left")
+        .join(count_links(labelled, threshold, dtype), "node", "left")
         .select("node", "component_id", (F.coalesce("n", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
     )
     # A NULL node finds no partner: a vector without links is its own component.
