@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlight.llm.text import prepare, whole_groups
@@ -181,26 +181,37 @@ SHARD_SCHEMA = "route long, w1 long, w2 long, k1 long, k2 long, first long, last
 
 def _shard(frame: pd.DataFrame, length: int) -> pd.DataFrame:
     """Repeated strings of one shard, as runs, and the strings to be merged with other shards."""
-    contexts = frame["context"].tolist()
+    # Equal contexts are one context; all its strings occur again.
+    place: dict[bytes, int] = {}
+    number = [place.setdefault(context, len(place)) for context in frame["context"]]
+    several = np.zeros(len(place), dtype=bool)
+    np.logical_or.at(several, number, frame["several"].to_numpy(dtype=bool))
+    several |= np.bincount(number, minlength=len(place)) > 1
+    contexts = list(place)
     starts, flag, group = repeated(contexts, length)
-    k1, k2, first = (frame[c].to_numpy() for c in ("k1", "k2", "first"))
-    several, parts = frame["several"].to_numpy(), frame["parts"].to_numpy()
-    spans, opened, seen = [], [], set()
-    for i, context in enumerate(contexts):
-        size = len(context) - length + 1
-        at = starts[i]
-        here = np.ones(size, dtype=bool) if several[i] else flag[at : at + size]
-        for a, b in _runs(here):
-            spans.append((k1[i], k2[i], first[i] + a, first[i] + b - 1))
-        if parts[i] > 1:
-            for offset in range(size):
-                own = not here[offset]
-                if own or group[at + offset] not in seen:
-                    seen.add(group[at + offset])
-                    value = xxhash.xxh3_128_intdigest(context[offset : offset + length])
-                    w1, w2 = (value >> 64) - (1 << 63), (value & ((1 << 64) - 1)) - (1 << 63)
-                    opened.append((w1, w2, k1[i], k2[i], first[i] + offset if own else -1))
-    s = np.array(spans, dtype=np.int64).reshape(-1, 4)
+    k1, k2, first, last = (frame[c].to_numpy() for c in ("k1", "k2", "first", "last"))
+    number = np.array(number)
+    whole = np.flatnonzero(several[number])
+    spans = [np.stack([k1[whole], k2[whole], first[whole], last[whole]], axis=1)]
+    # All other contexts have one row. Runs end with their context, as no string starts in its last bytes.
+    row_of = np.zeros(len(contexts), dtype=np.int64)
+    row_of[number] = np.arange(len(number))
+    runs = _runs(flag)
+    which = np.searchsorted(starts, runs[:, 0], "right") - 1
+    runs, which = runs[~several[which]], which[~several[which]]
+    row, base = row_of[which], first[row_of[which]] - starts[which]
+    spans.append(np.stack([k1[row], k2[row], base + runs[:, 0], base + runs[:, 1] - 1], axis=1))
+    opened, seen = [], set()
+    for i in np.flatnonzero(frame["parts"].to_numpy() > 1):
+        context, at = contexts[number[i]], starts[number[i]]
+        for offset in range(len(context) - length + 1):
+            own = not (several[number[i]] or flag[at + offset])
+            if own or group[at + offset] not in seen:
+                seen.add(group[at + offset])
+                value = xxhash.xxh3_128_intdigest(context[offset : offset + length])
+                w1, w2 = (value >> 64) - (1 << 63), (value & ((1 << 64) - 1)) - (1 << 63)
+                opened.append((w1, w2, k1[i], k2[i], first[i] + offset if own else -1))
+    s = np.concatenate(spans)
     o = np.array(opened, dtype=np.int64).reshape(-1, 5)
     none = np.zeros(len(s), dtype=np.int64)
     return pd.DataFrame(
@@ -307,19 +318,19 @@ def remove_repeats(
 
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for k1, k2, value in zip(frame["k1"], frame["k2"], frame["text"]):
-                key, first, last = anchors(np.frombuffer(value.encode(), dtype=np.uint8), length)
-                if len(key):
-                    yield pd.DataFrame({"key": key, "k1": k1, "k2": k2, "first": first, "last": last})
-
-    anchor = (
-        texts.select("k1", "k2", "text")
-        .mapInPandas(find, "key long, k1 long, k2 long, first long, last long")
-        .repartition("key")
+            found = [anchors(np.frombuffer(value.encode(), dtype=np.uint8), length) for value in frame["text"]]
+            each = [len(key) for key, _, _ in found]
+            if sum(each):
+                key, first, last = (np.concatenate(part) for part in zip(*found))
+                k1, k2 = (np.repeat(frame[c].to_numpy(), each) for c in ("k1", "k2"))
+                yield pd.DataFrame({"key": key, "k1": k1, "k2": k2, "first": first, "last": last})
+
+    # A window, not a group and a join: the anchors are made and shuffled once.
+    anchor = texts.mapInPandas(find, "key long, k1 long, k2 long, first long, last long").withColumn(
+        "n", F.count("*").over(Window.partitionBy("key"))
     )
-    again = anchor.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     candidates = (
-        anchor.join(again, "key")
+        anchor.where("n > 1")
         .groupBy("k1", "k2")
         .agg(F.collect_list(F.struct("key", "first", "last", "n")).alias("found"))
     )
@@ -327,8 +338,7 @@ def remove_repeats(
         "key long, part long, parts long, several boolean, k1 long, k2 long, first long, last long, context binary"
     )
     spans = (
-        texts.select("k1", "k2", "text")
-        .join(candidates, ["k1", "k2"])
+        texts.join(candidates, ["k1", "k2"])
         .mapInPandas(lambda frames: _contexts(frames, length, shard_rows), context_schema)
         .repartition("key", "part")
         .sortWithinPartitions("key", "part")
