@@ -30,7 +30,7 @@ from matchlight.llm.text import prepare, whole_groups
 LENGTH = 200
 GRAM = 32
 SHARD_ROWS = 4096
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 17  # the working arrays of a shard fit a processor cache
 
 # Odd multipliers of the rolling hash and its finish (fixed values).
 LEVELS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -71,40 +71,43 @@ def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndar
     return hashes[place[first]].view(np.int64), first, last
 
 
-def suffix_array(data: np.ndarray, left: np.ndarray, depth: int = LENGTH) -> np.ndarray:
-    """Suffixes in the order of at least their first ``depth`` bytes.
+def suffix_array(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
+    """Suffixes in the order of at least their first ``depth`` bytes; the end comes before any byte.
 
-    ``left``: how many bytes the suffix at each place has; a suffix never goes on into the next
-    text. Suffixes equal in their first ``depth`` bytes are neighbours in any order.
+    Texts one after the other need no mark between them: a string of ``depth`` bytes within a text is
+    in order, and suffixes that share one are neighbours.
     """
     n = len(data)
     # Seven bytes of nine bits each (0: past the end) make the first keys.
-    key = np.zeros(n, dtype=np.int64)
-    for j in range(7):
-        part = np.zeros(n, dtype=np.int64)
-        part[: n - j] = np.where(left[: n - j] > j, data[j:].astype(np.int64) + 1, 0)
-        key = (key << 9) | part
+    one = np.zeros(n + 8, dtype=np.int64)
+    one[:n] = data
+    one[:n] += 1
+    two = (one[:-1] << 9) | one[1:]
+    four = (two[:-2] << 18) | two[2:]
+    key = (four[:n] << 27) | (four[4 : n + 4] >> 9)
     order = np.argsort(key)
-    sorted_key = key[order]
-    starts = np.r_[True, sorted_key[1:] != sorted_key[:-1]]
-    at = np.arange(n)
-    rank = np.empty(n, dtype=np.int64)
-    rank[order] = np.maximum.accumulate(np.where(starts, at, 0))
+    key = key[order]
+    starts = np.empty(n, dtype=bool)
+    starts[:1] = True
+    np.not_equal(key[1:], key[:-1], out=starts[1:])
+    rank = np.zeros(n + 2 * depth, dtype=np.int64)  # from 1; 0 past the end
+    rank[order] = np.maximum.accumulate(np.where(starts, np.arange(1, n + 1), 0))
     h = 7
     while h < depth:
-        single = starts & np.r_[starts[1:], True]
-        places = np.flatnonzero(~single)
+        alone = starts.copy()
+        alone[:-1] &= starts[1:]
+        places = np.flatnonzero(~alone)
         if not len(places):
             break
         group = order[places]
-        inside = left[group] > h
-        second = np.where(inside, rank[np.minimum(group + h, n - 1)] + 1, 0)
-        key = rank[group] * (n + 1) + second
+        key = rank[group] * (n + 1) + rank[group + h]
         new = np.argsort(key)
         group, key = group[new], key[new]
         order[places] = group
-        starts[places] = np.r_[True, key[1:] != key[:-1]]
-        rank[group] = np.maximum.accumulate(np.where(starts[places], places, 0))
+        first = np.ones(len(places), dtype=bool)
+        np.not_equal(key[1:], key[:-1], out=first[1:])
+        starts[places] = first
+        rank[group] = np.maximum.accumulate(np.where(first, places + 1, 0))
         h *= 2
     return order
 
@@ -112,39 +115,41 @@ def suffix_array(data: np.ndarray, left: np.ndarray, depth: int = LENGTH) -> np.
 def neighbour_prefixes(data: np.ndarray, left: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Common prefix of every suffix in ``order`` with the one before it (0 for the first).
 
-    Kasai's rule: if the neighbours of two suffixes in a row are in a row, too, the second
-    prefix is one byte shorter. So bytes are compared at the heads of such runs only.
+    ``left``: how many bytes the suffix at each place has before its text ends. ``order`` may hold some
+    of the suffixes only. Kasai's rule: if the neighbours of two suffixes in a row are in a row, too, the
+    second prefix is one byte shorter. So bytes are compared at the heads of such runs only.
     """
-    n = len(order)
-    if not n:
-        return np.zeros(0, dtype=np.int64)
+    n = len(data)
     before = np.full(n, -1, dtype=np.int64)
     before[order[1:]] = order[:-1]
-    goes_on = np.zeros(n, dtype=bool)
+    has = np.flatnonzero(before >= 0)
+    if not len(has):
+        return np.zeros(len(order), dtype=np.int64)
+    other = before[has]
+    goes_on = np.zeros(len(has), dtype=bool)
     goes_on[1:] = (
-        (before[1:] == before[:-1] + 1)
-        & (before[:-1] >= 0)
-        & (left[1:] == left[:-1] - 1)
-        & (left[before[1:]] == left[before[:-1]] - 1)
-        & (data[:-1] == data[before[:-1]])
+        (has[1:] == has[:-1] + 1)
+        & (other[1:] == other[:-1] + 1)
+        & (left[has[1:]] == left[has[:-1]] - 1)
+        & (left[other[1:]] == left[other[:-1]] - 1)
+        & (data[has[:-1]] == data[other[:-1]])
     )
     heads = np.flatnonzero(~goes_on)
-    known = heads[before[heads] >= 0]
-    padded = np.r_[data, np.zeros(8, dtype=np.uint8)]
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)
-    a, b = known, before[known]
+    words = np.lib.stride_tricks.sliding_window_view(np.r_[data, np.zeros(8, dtype=np.uint8)], 8)
+    a, b = has[heads], other[heads]
     most = np.minimum(left[a], left[b])
-    size = np.zeros(len(known), dtype=np.int64)
+    size = np.zeros(len(heads), dtype=np.int64)
     active = np.flatnonzero(most > 0)
     while len(active):
         equal = words[a[active] + size[active]] == words[b[active] + size[active]]
         same = np.where(equal.all(axis=1), 8, np.argmin(equal, axis=1))
         size[active] += same
         active = active[(same == 8) & (size[active] < most[active])]
+    head = np.maximum.accumulate(np.where(goes_on, 0, np.arange(len(has))))
+    of_head = np.zeros(len(has), dtype=np.int64)
+    of_head[heads] = np.minimum(size, most)
     prefix = np.zeros(n, dtype=np.int64)
-    prefix[known] = np.minimum(size, most)
-    head_of = np.maximum.accumulate(np.where(goes_on, 0, np.arange(n)))
-    prefix = np.maximum(prefix[head_of] - (np.arange(n) - head_of), 0)
+    prefix[has] = np.maximum(of_head[head] - (np.arange(len(has)) - head), 0)
     return prefix[order]
 
 
@@ -158,7 +163,8 @@ def repeated(contexts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, n
     starts = np.r_[0, np.cumsum(sizes)]
     data = np.frombuffer(b"".join(contexts), dtype=np.uint8)
     left = np.repeat(starts[1:], sizes) - np.arange(len(data))
-    order = suffix_array(data, left, length)
+    order = suffix_array(data, length)
+    order = order[left[order] >= length]
     same = neighbour_prefixes(data, left, order) >= length
     flag = np.zeros(len(data), dtype=bool)
     flag[order[same]] = True
@@ -166,7 +172,6 @@ def repeated(contexts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, n
     head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order)))) if len(order) else order
     group = np.full(len(data), -1, dtype=np.int64)
     group[order] = order[head]
-    group[left < length] = -1
     return starts[:-1], flag, group
 
 
