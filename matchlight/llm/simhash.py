@@ -234,13 +234,53 @@ def _links(frame: pd.DataFrame, names: list[str], most: int) -> pd.DataFrame:
     return out.iloc[_spanning(out["u"].to_numpy(), out["v"].to_numpy(), out["length"].to_numpy())][["u", "v"]]
 
 
+def _search(start: int, size: int, close) -> np.ndarray:
+    """Links that connect all of a group that ``close`` pairs connect; who is reached is not asked again."""
+    rest = np.arange(start, start + size)
+    links = [np.zeros((0, 2), dtype=np.int64)]
+    while len(rest):
+        queue, rest = [rest[0]], rest[1:]
+        while queue and len(rest):
+            at = np.full(len(rest), queue.pop())
+            hit = close(at, rest)
+            links.append(np.stack([at[hit], rest[hit]], axis=1))
+            queue.extend(rest[hit].tolist())
+            rest = rest[~hit]
+    return np.concatenate(links)
+
+
+def _close_links(frame: pd.DataFrame, close) -> pd.DataFrame:
+    """Links of pairs that pass ``close``, inside runs of equal keys of a sorted frame, as many as connect all that pass.
+
+    ``close`` takes two arrays of places. A pair is tested before anything is thinned out.
+    """
+    group, node = frame["group"].to_numpy(), frame["node"].to_numpy()
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, dtype=np.int64)
+    sizes = np.diff(np.r_[starts, len(group)])
+    pairs = [np.zeros((0, 2), dtype=np.int64)]
+    in_small = np.repeat(sizes <= SMALL_RUN, sizes)
+    for step in range(1, int(min(SMALL_RUN, sizes.max(initial=1)))):
+        a = np.flatnonzero((group[:-step] == group[step:]) & in_small[:-step])
+        a = a[close(a, a + step)]
+        pairs.append(np.stack([a, a + step], axis=1))
+    pairs += [_search(start, size, close) for start, size in zip(starts[sizes > SMALL_RUN], sizes[sizes > SMALL_RUN])]
+    at = np.concatenate(pairs)
+    at = at[node[at[:, 0]] != node[at[:, 1]]]
+    out = pd.DataFrame({"u": node[at].max(axis=1), "v": node[at].min(axis=1)}, dtype="int64").drop_duplicates(ignore_index=True)
+    return out.iloc[_spanning(out["u"].to_numpy(), out["v"].to_numpy(), np.zeros(len(out)))]
+
+
 def link(fps: DataFrame, names: list[str], most: int, plan) -> DataFrame:
     """(u, v): links between distinct fingerprints of (node, *names), enough to connect all linked.
 
     ``fps`` has one row per fingerprint. Two fingerprints that share a key and differ in at most
     ``most`` bits are joined by a chain of links.
     """
-    columns = ", ".join(f"{n} long" for n in names)
+    return _dealt(_spread(fps, names, names, plan), lambda frame: _links(frame, names, most))
+
+
+def _spread(fps: DataFrame, names: list[str], carried: list[str], plan) -> DataFrame:
+    """(cell, node, *carried) for every key of every fingerprint."""
 
     def spread(frames):
         for frame in frames:
@@ -250,11 +290,19 @@ def link(fps: DataFrame, names: list[str], most: int, plan) -> DataFrame:
                 out.insert(0, "cell", cell)
                 yield out
 
+    columns = ", ".join(f"{n} long" for n in carried)
+    return fps.select("node", *carried).mapInPandas(spread, f"cell long, node long, {columns}")
+
+
+def _dealt(cells: DataFrame, links) -> DataFrame:
+    """(u, v): what ``links`` finds in the cells; every pair of rows of a cell meets in a group."""
+    carried = cells.columns[1:]
+
     def compare(frames):
         for frame in whole_groups(frames, ["group"], len, FRAME_ROWS):
-            yield _links(frame, names, most)
+            yield links(frame)
 
-    cells = fps.select("node", *names).mapInPandas(spread, f"cell long, node long, {columns}").repartition("cell")
+    cells = cells.repartition("cell")
     hot = cells.groupBy("cell").count().where(F.col("count") > GROUP_ROWS)
     one = (
         cells.join(hot, "cell", "left_anti")
@@ -269,9 +317,7 @@ def link(fps: DataFrame, names: list[str], most: int, plan) -> DataFrame:
         cells.join(hot, "cell")
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select(
-            F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "node", *names
-        )
+        .select(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("group"), *carried)
         .repartition("group")
         .sortWithinPartitions("group")
         .mapInPandas(compare, "u long, v long")
@@ -279,20 +325,23 @@ def link(fps: DataFrame, names: list[str], most: int, plan) -> DataFrame:
     return one.unionByName(many).distinct()
 
 
-def near_duplicates(fps: DataFrame, lanes: int, most: int, plan, verify=None) -> DataFrame:
+def near_duplicates(fps: DataFrame, lanes: int, most: int, plan) -> DataFrame:
     """Add ``component`` and ``component_id``, the smallest doc_id reachable, to (doc_id, f0, ...).
 
     Equal fingerprints are one node, so a group of copies costs one row. Rows with a NULL
-    doc_id take part; a component of such rows alone has component NULL. ``verify`` may take the
-    links (u, v) and the nodes (node, f0, ...) and return the links to keep.
+    doc_id take part; a component of such rows alone has component NULL.
     """
+    return _classes(fps, lanes, lambda nodes: link(nodes, [f"f{i}" for i in range(lanes)], most, plan))
+
+
+def _classes(fps: DataFrame, lanes: int, links) -> DataFrame:
+    """``near_duplicates`` by the links (u, v) that ``links`` gives for the nodes (node, f0, ...)."""
     names = [f"f{i}" for i in range(lanes)]
     node = F.col("f0") if lanes == 1 else F.xxhash64(*names)
     nodes = stored(
         fps.groupBy(*names).agg(F.min("doc_id").alias("least_id")).withColumn("node", node), "fingerprints"
     )
-    links = link(nodes, names[: max(max(f) for _, f in plan) // 64 + 1], most, plan)
-    label = components(verify(links, nodes) if verify else links)
+    label = components(links(nodes))
     labelled = nodes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = stored(labelled.select("node", "component", "least_id"), "labelled")
     smallest = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
@@ -313,7 +362,7 @@ KEYS, EQUAL, LOOSE = 20, 8, 31
 
 def _similarity(differing, bits: int, a, b):
     """Jaccard similarity from differing bits and shingle counts: the share of bits is an angle."""
-    common = F.cos(differing / bits * np.pi) * F.sqrt(a * b)
+    common = np.cos(differing / bits * np.pi) * np.sqrt(a * b)
     return common / (a + b - common)
 
 
@@ -339,20 +388,22 @@ def similar_documents(docs: DataFrame, similar: float = SIMILAR, slack: float =
     columns = ", ".join(f"{n} long" for n in names)
     fps = stored(with_fields(source, F.col("text"), run, f"shingles long, {columns}").drop("text"), "documents")
 
-    def verify(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    def links(nodes: DataFrame) -> DataFrame:
         sizes = fps.groupBy(*names).agg(F.max("shingles").alias("shingles"))
-        sizes = sizes.select(F.xxhash64(*names).alias("node"), "shingles", F.array(*names).alias("f"))
-        sizes = stored(sizes, "sizes")
-        left = sizes.select(F.col("node").alias("u"), F.col("shingles").alias("a"), F.col("f").alias("fu"))
-        right = sizes.select(F.col("node").alias("v"), F.col("shingles").alias("b"), F.col("f").alias("fv"))
-        differing = F.aggregate(
-            F.zip_with("fu", "fv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x
-        )
-        likely = _similarity(differing, 64 * LANES, F.col("a"), F.col("b")) >= similar - slack
-        return links.join(left, "u").join(right, "v").where(likely).select("u", "v")
+        sized = sizes.select(F.xxhash64(*names).alias("node"), "shingles", *names)
+        return _dealt(_spread(sized, names[:2], ["shingles", *names], random_plan(128, KEYS, EQUAL)), likely)
+
+    def likely(frame: pd.DataFrame) -> pd.DataFrame:
+        values = np.stack([frame[n].to_numpy().view(np.uint64) for n in names], axis=1)
+        n = frame["shingles"].to_numpy()
+
+        def close(a, b):
+            near = _distance(values[a, :2], values[b, :2]) <= LOOSE
+            return near & (_similarity(_distance(values[a], values[b]), 64 * LANES, n[a], n[b]) >= similar - slack)
+
+        return _close_links(frame, close)
 
-    plan = random_plan(128, KEYS, EQUAL)
-    return near_duplicates(fps, LANES, LOOSE, plan, verify)
+    return _classes(fps, LANES, links)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -339,6 +339,25 @@ def test_one_of_each_near_duplicate_class_stays(spark):
     assert kept == {6 * g for g in range(12)} | set(range(len(texts), len(texts) + 40))
 
 
+def test_a_link_that_fails_does_not_displace_one_that_holds(spark):
+    draw = np.random.default_rng(1405)  # on the first 128 bits a and b are farther from each other than from c
+    a = [f"w{i}" for i in draw.integers(0, 10**6, 304)]
+
+    def edited(places):
+        words = list(a)
+        for at in draw.choice(len(words), places, replace=False):
+            words[at] = f"x{draw.integers(0, 10**6)}"
+        return words
+
+    b, c = edited(5), edited(9)
+    c = [x if i % 2 else y for i, (x, y) in enumerate(zip(b, c))]
+    sets = [{tuple(w[i : i + 5]) for i in range(300)} for w in (a, b, c)]
+    jaccard = [len(x & y) / len(x | y) for x, y in ((sets[0], sets[1]), (sets[0], sets[2]), (sets[1], sets[2]))]
+    assert jaccard[0] > 0.86 and max(jaccard[1:]) < 0.74
+    docs = documents(spark, list(enumerate(" ".join(w) for w in (a, b, c))))
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == {0, 2}
+
+
 def test_components(spark):
     draw = np.random.default_rng(5)
     links = [(i, i + 1) for i in range(60)] + [(100, int(x)) for x in draw.integers(101, 160, 80)] + [(7, 7), (300, 301)]
