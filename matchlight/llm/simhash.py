@@ -88,6 +88,21 @@ def _lanes(hashes: np.ndarray, lanes: int) -> list[np.ndarray]:
     return out
 
 
+def _majority(hashes: np.ndarray, lanes: int) -> np.ndarray:
+    """How many hashes have each bit of each lane."""
+    votes = np.zeros(64 * lanes, dtype=np.int64)
+    for start in range(0, len(hashes), SHINGLES_AT_ONCE):
+        for lane, values in enumerate(_lanes(hashes[start : start + SHINGLES_AT_ONCE], lanes)):
+            bits = np.unpackbits(values.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            votes[64 * lane : 64 * lane + 64] += bits.sum(axis=0, dtype=np.int64)
+    return votes
+
+
+def of_set(hashes: np.ndarray, lanes: int) -> np.ndarray:
+    """The fingerprint of a set of shingle hashes, as ``fingerprint`` gives it for texts without repeats."""
+    return np.packbits(_majority(hashes, lanes) * 2 > len(hashes)).view(">u8").astype(np.uint64)
+
+
 def fingerprint(words: list[bytes], shingle: int, lanes: int = 1) -> np.ndarray:
     """``lanes`` 64-bit words of the fingerprint; no words give zero."""
     if not words:
@@ -353,11 +368,68 @@ def hex_text(name: str):
     return F.lpad(F.lower(F.hex(F.col(name))), 16, "0")
 
 
-# Near-duplicate documents: 5-word shingles, Jaccard similarity estimated from fingerprints.
+# Near-duplicate documents: Jaccard similarity of the sets of 5-word shingles.
 SHINGLE = 5
 SIMILAR = 0.8
-LANES = 8  # fingerprints of 512 bits decide, their first 128 bits give the keys
-KEYS, EQUAL, LOOSE = 20, 8, 31
+LANES = 8  # fingerprints of 512 bits are a loose filter: what passes is compared exactly
+LOOSE = 0.11  # three standard errors of the similarity that 512 bits estimate
+BANDS, BAND = 16, 4  # keys: a pair at similarity s shares one with probability 1 - (1 - s ** 4) ** 16
+BLOCK_SHINGLES = 1 << 20
+VERIFY_SHINGLES = 1 << 21  # of a frame compared at once
+
+
+@lru_cache(maxsize=1)
+def _band_constants() -> tuple[np.ndarray, np.ndarray]:
+    draw = np.random.default_rng(7)
+    salt = draw.integers(0, 1 << 64, BANDS * BAND, dtype=np.uint64)
+    return salt[:, None], (draw.integers(0, 1 << 64, BANDS * BAND, dtype=np.uint64) | np.uint64(1))[:, None]
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """The distinct hashes of the shingles of a text, sorted; fewer words than a shingle are one."""
+    words = byte_words(text)
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    n = max(1, len(words) - SHINGLE + 1)
+    hashes = (xxhash.xxh64_intdigest(b" ".join(words[i : i + SHINGLE]), 42) for i in range(n))
+    return np.unique(np.fromiter(hashes, dtype=np.uint64, count=n))
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """The keys of a set: ``BAND`` least hashes each."""
+    salt, odd = _band_constants()
+    least = np.full(BANDS * BAND, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for start in range(0, len(hashes), 8192):
+        mixed = (hashes[None, start : start + 8192] ^ salt) * odd
+        mixed ^= mixed >> np.uint64(32)
+        least = np.minimum(least, (mixed * np.uint64(MIX[1])).min(axis=1))
+    key = np.arange(BANDS, dtype=np.uint64) * np.uint64(MIX[0])
+    for part in least.reshape(BANDS, BAND).T:
+        key = (key ^ part) * np.uint64(MIX[2])
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+def exact_links(node: np.ndarray, sets: list[np.ndarray], similar: float) -> np.ndarray:
+    """Pairs of nodes that connect all that are connected by pairs of at least that similarity."""
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    pool, at = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    own = np.split(at, ends[:-1])
+    mark = np.zeros(len(pool), dtype=bool)
+
+    def close(a, b):
+        # ``a`` is one place, repeated.
+        pivot = own[a[0]]
+        mark[pivot] = True
+        common = np.zeros(len(b), dtype=np.int64)
+        able = np.minimum(sizes[a], sizes[b]) >= similar * np.maximum(sizes[a], sizes[b]) - 1e-9
+        for i in np.flatnonzero(able):
+            common[i] = np.count_nonzero(mark[own[b[i]]])
+        mark[pivot] = False
+        return able & (common >= similar * (sizes[a] + sizes[b] - common) - 1e-9)
+
+    return node[_search(0, len(sets), close)]
 
 
 def _similarity(differing, bits: int, a, b):
@@ -366,44 +438,80 @@ def _similarity(differing, bits: int, a, b):
     return common / (a + b - common)
 
 
-def similar_documents(docs: DataFrame, similar: float = SIMILAR, slack: float = 0.02) -> DataFrame:
+def similar_documents(docs: DataFrame, similar: float = SIMILAR, slack: float = LOOSE) -> DataFrame:
     """(doc_id, text_key, shingles, component_id, f0, ...): near-duplicate classes of documents.
 
-    Candidates share a key of their first 128 bits and differ there in at most ``LOOSE``; a link needs an
-    estimated similarity of ``similar`` less ``slack`` (about half the standard error) from all
-    512 bits. At similarity 0.8 a pair shares one of the keys with probability 0.9, at 0.9 nearly
-    always.
+    Candidates share a key and have an estimated similarity of ``similar`` less ``slack`` from 512
+    bits (and less 1 / shingles, as the estimate is biased for short texts). They make loose classes; inside
+    those the shingle sets are compared exactly. At similarity 0.8 a pair shares a key with probability 0.9998.
     """
     prepare(docs.sparkSession)
     names = [f"f{i}" for i in range(LANES)]
-    source = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    source = docs.select("doc_id", key.alias("text_key"), "text")
 
     def run(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in series:
-            words = [byte_words(t) for t in texts]
-            out = _frame([fingerprint(w, SHINGLE, LANES) for w in words], names)
-            out.insert(0, "shingles", [max(1, len(w) - SHINGLE + 1) for w in words])
+            sets = [shingle_set(t) for t in texts]
+            out = _frame([of_set(x, LANES) for x in sets], names)
+            out.insert(0, "shingles", [len(x) for x in sets])
+            out["cells"] = [bands(x) for x in sets]
             yield out
 
     columns = ", ".join(f"{n} long" for n in names)
-    fps = stored(with_fields(source, F.col("text"), run, f"shingles long, {columns}").drop("text"), "documents")
-
-    def links(nodes: DataFrame) -> DataFrame:
-        sizes = fps.groupBy(*names).agg(F.max("shingles").alias("shingles"))
-        sized = sizes.select(F.xxhash64(*names).alias("node"), "shingles", *names)
-        return _dealt(_spread(sized, names[:2], ["shingles", *names], random_plan(128, KEYS, EQUAL)), likely)
+    fields = f"shingles long, {columns}, cells array<long>"
+    made = stored(with_fields(source, F.col("text"), run, fields).drop("text"), "documents")
 
     def likely(frame: pd.DataFrame) -> pd.DataFrame:
         values = np.stack([frame[n].to_numpy().view(np.uint64) for n in names], axis=1)
         n = frame["shingles"].to_numpy()
 
         def close(a, b):
-            near = _distance(values[a, :2], values[b, :2]) <= LOOSE
-            return near & (_similarity(_distance(values[a], values[b]), 64 * LANES, n[a], n[b]) >= similar - slack)
+            least = similar - slack - 1 / np.maximum(1, np.minimum(n[a], n[b]))
+            return _similarity(_distance(values[a], values[b]), 64 * LANES, n[a], n[b]) >= least
 
         return _close_links(frame, close)
 
-    return _classes(fps, LANES, links)
+    def verified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in whole_groups(frames, ["group"], lambda f: int(f["hashes"].map(len).sum()) // 8, VERIFY_SHINGLES):
+            for _, part in frame.groupby("group", sort=False):
+                sets = [np.frombuffer(x, dtype=np.uint64) for x in part["hashes"]]
+                found = exact_links(part["node"].to_numpy(), sets, similar)
+                yield pd.DataFrame({"u": found[:, 0], "v": found[:, 1]}, dtype="int64")
+
+    def hashes(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in series:
+            yield pd.Series([shingle_set(t).tobytes() for t in texts], dtype=object)
+
+    def links(nodes: DataFrame) -> DataFrame:
+        # A node's sets come from one of its rows.
+        row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "shingles", "cells")
+        one = stored(
+            made.groupBy(*names).agg(F.min(row).alias("row")).select(F.xxhash64(*names).alias("node"), *names, "row.*"),
+            "sets",
+        ).where("shingles > 0")
+        cells = one.select(F.explode("cells").alias("cell"), "node", "shingles", *names)
+        loose = components(_dealt(cells, likely))
+        asked = stored(one.select("node", "doc_id", "text_key", "shingles").join(loose, "node"), "candidates")
+        sizes = asked.groupBy("component").agg(F.ceil(F.sum("shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+        wanted = asked.join(sizes, "component").select(
+            "node", "component", "blocks", F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_key")
+        )
+        same = source["doc_id"].eqNullSafe(wanted["k_id"]) & (source["text_key"] == wanted["k_key"])
+        texts = source.join(wanted, same).select("node", "component", "blocks", "text")
+        pairs = (
+            texts.select("node", "component", "blocks", F.pandas_udf(hashes, "binary")("text").alias("hashes"))
+            .withColumn("own", F.pmod(F.hash("node"), F.col("blocks")))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select(
+                F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "node", "hashes"
+            )
+            .repartition("group")
+            .sortWithinPartitions("group")
+        )
+        return pairs.mapInPandas(verified, "u long, v long").where("u <> v")
+
+    return _classes(made.drop("cells"), LANES, links)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

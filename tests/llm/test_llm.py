@@ -358,6 +358,37 @@ def test_a_link_that_fails_does_not_displace_one_that_holds(spark):
     assert {r.doc_id for r in simhash.keep_one(docs).collect()} == {0, 2}
 
 
+def test_near_duplicates_around_the_limit(spark):
+    """Pairs at similarities 0.72 to 0.85 against brute force."""
+    draw = np.random.default_rng(31)
+    texts = []
+    for g in range(200):
+        words = [f"w{i}" for i in draw.integers(0, 10**6, int(draw.integers(60, 304)))]
+        near = list(words)
+        for at in draw.choice(len(near) - 10, max(1, round(len(near) * draw.uniform(0.016, 0.034))), replace=False):
+            near[at + 5] = "x"
+        texts += [words, near]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    jaccard = [len(x & y) / len(x | y) for x, y in zip(sets[::2], sets[1::2])]
+    assert sum(0.8 <= j < 0.85 for j in jaccard) > 30 and sum(0.72 <= j < 0.8 for j in jaccard) > 30
+    docs = documents(spark, list(enumerate(" ".join(w) for w in texts)))
+    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    assert kept == set(range(0, 400, 2)) | {2 * g + 1 for g, j in enumerate(jaccard) if j < 0.8}
+
+
+def test_large_classes_are_compared_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", 2000)
+    draw = np.random.default_rng(32)
+    base = prose(33, 100).split()
+    texts = []
+    for i in range(150):
+        near = list(base)
+        near[10 + int(draw.integers(0, 80))] = f"changed{i}"
+        texts.append(" ".join(near))
+    docs = documents(spark, list(enumerate([*texts, prose(34, 100)])))
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == {0, 150}
+
+
 def test_components(spark):
     draw = np.random.default_rng(5)
     links = [(i, i + 1) for i in range(60)] + [(100, int(x)) for x in draw.integers(101, 160, 80)] + [(7, 7), (300, 301)]
