@@ -5,7 +5,7 @@ neighbours of a vector, in either direction, are compared with each other, and e
 A list that is saturated, all of it over the threshold, is enlarged. Edges over the threshold make
 components. Lists of a component that outgrow any bound are not stored: links inside
 a component are counted by comparing its blocks pairwise, so dense groups are exact. A brute-force audit of a bounded
-sample measures the recall, and rounds go on until it is reached.
+sample measures the recall, and rounds go on, between the components found so far, until it is reached.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ ENLARGED = 32  # for one whose list is saturated
 TABLES = 8  # random hyperplane tables of a round
 BUCKET = 16  # vectors of a bucket aimed at
 BLOCK = 256  # vectors of a bucket compared at a time; the next block overlaps by half
-ROUNDS, DESCENTS = 4, 3
+DESCENTS = 3
 QUIET = 0.01  # descents end when this share of the lists' places changes at most
 AUDIT_ROWS, RECALL = 1000, 0.98
 COUNT_BLOCK = 2048
@@ -71,9 +71,11 @@ def _matrix(data, dtype: str) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def _edges(node: np.ndarray, sims: np.ndarray, most: int, floor: np.ndarray | None = None) -> pd.DataFrame:
-    """For every row its ``most`` best columns, as edges; below ``floor`` they are no news."""
-    np.fill_diagonal(sims, -2.0)
+def _edges(
+    node: np.ndarray, component: np.ndarray, sims: np.ndarray, most: int, floor: np.ndarray | None = None
+) -> pd.DataFrame:
+    """For every row its ``most`` best columns in other components, as edges; below ``floor`` they are no news."""
+    sims[component[:, None] == component[None, :]] = -2.0
     most = min(most, len(node) - 1)
     best = np.argpartition(-sims, most - 1, axis=1)[:, :most]
     a = np.repeat(np.arange(len(node)), most)
@@ -96,22 +98,22 @@ def first_graph(nodes: DataFrame, bits: int, seed: int, dtype: str) -> DataFrame
                     code = (side[:, :bits] > 0) @ (1 << np.arange(bits, dtype=np.int64))
                     bucket = (code * TABLES + table) * 100_003 + int(dim)
                     yield pd.DataFrame(
-                        {"bucket": bucket, "along": side[:, bits], "node": part["node"], "dim": part["dim"], "data": part["data"]}
+                        {"bucket": bucket, "along": side[:, bits], "node": part["node"], "component": part["component"], "dim": part["dim"], "data": part["data"]}
                     )
 
     def linked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in whole_groups(frames, ["bucket"], len, 4000):
             for _, part in frame.groupby(["bucket", "dim"], sort=False):
-                node = part["node"].to_numpy()
+                node, component = part["node"].to_numpy(), part["component"].to_numpy()
                 x = _matrix(part["data"].tolist(), dtype)
                 for start in range(0, max(1, len(node) - BLOCK // 2), BLOCK // 2):
                     own = x[start : start + BLOCK]
                     if len(own) > 1:
-                        yield _edges(node[start : start + BLOCK], own @ own.T, NEIGHBOURS)
+                        yield _edges(node[start : start + BLOCK], component[start : start + BLOCK], own @ own.T, NEIGHBOURS)
 
     return (
-        nodes.select("node", "dim", "data")
-        .mapInPandas(hashed, "bucket long, along double, node long, dim int, data binary")
+        nodes.select("node", "component", "dim", "data")
+        .mapInPandas(hashed, "bucket long, along double, node long, component long, dim int, data binary")
         .repartition("bucket")
         .sortWithinPartitions("bucket", "along")
         .mapInPandas(linked, EDGES)
@@ -142,7 +144,7 @@ def descend(graph: DataFrame, nodes: DataFrame, threshold: float, dtype: str) ->
     )
     # A saturated list has room for more.
     limit = F.when(F.col("saturated"), F.least("floor", F.lit(threshold))).otherwise(F.col("floor"))
-    carried = nodes.join(floor, F.col("node") == F.col("a")).select("node", "data", limit.alias("floor"))
+    carried = nodes.join(floor, F.col("node") == F.col("a")).select("node", "component", "data", limit.alias("floor"))
 
     def compared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in whole_groups(frames, ["centre"], len, 2000):
@@ -150,7 +152,8 @@ def descend(graph: DataFrame, nodes: DataFrame, threshold: float, dtype: str) ->
             for _, part in frame.groupby("centre", sort=False):
                 if len(part) > 1:
                     x = _matrix(part["data"].tolist(), dtype)
-                    out.append(_edges(part["node"].to_numpy(), x @ x.T, NEIGHBOURS, part["floor"].to_numpy()))
+                    sides = (part[c].to_numpy() for c in ("node", "component"))
+                    out.append(_edges(*sides, x @ x.T, NEIGHBOURS, part["floor"].to_numpy()))
             if out:
                 yield pd.concat(out).drop_duplicates(["a", "b"])
 
@@ -200,6 +203,14 @@ def count_links(labelled: DataFrame, threshold: float, dtype: str) -> DataFrame:
     return pairs.mapInPandas(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
 
 
+def across(graph: DataFrame, labelled: DataFrame) -> DataFrame:
+    """The edges between different components."""
+    of = labelled.select("node", "component")
+    a = of.select(F.col("node").alias("a"), F.col("component").alias("of_a"))
+    b = of.select(F.col("node").alias("b"), F.col("component").alias("of_b"))
+    return graph.join(a, "a").join(b, "b").where("of_a <> of_b").select("a", "b", "sim")
+
+
 def audit(labelled: DataFrame, threshold: float, dtype: str, rows: int = AUDIT_ROWS) -> float:
     """Share of the true links of at most ``rows`` vectors that lie inside components: the recall."""
     asked = labelled.orderBy(F.hash("node"), "node").limit(rows).select("node", "dim", "data", "component").toPandas()
@@ -245,23 +256,30 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, seed: int
     )
     size = nodes.count()
     bits = int(np.clip(np.ceil(np.log2(max(1, size) / BUCKET)), 1, 40))
-    graph, recall = None, 0.0
-    for turn in range(ROUNDS):
-        start = first_graph(nodes, bits, seed + turn, dtype)
-        graph = stored(best_edges(start if graph is None else graph.select("a", "b", "sim").unionByName(start), threshold), "graph")
+    # Each turn looks for links between the components of the turn before, so that a list
+    # full of links within a component hides none to another.
+    labelled = nodes.withColumn("component", F.col("node"))
+    graph, turn = None, 0
+    while True:
+        start = first_graph(labelled, bits, seed + turn, dtype)
+        kept = start if graph is None else across(graph, labelled).unionByName(start)
+        graph = stored(best_edges(kept, threshold), "graph")
         for _ in range(DESCENTS):
-            news = descend(graph, nodes, threshold, dtype)
+            news = descend(graph, labelled, threshold, dtype)
             new = stored(best_edges(graph.select("a", "b", "sim").unionByName(news), threshold), "graph")
             changed = new.join(graph, ["a", "b"], "left_anti").count()
             graph = new
             if changed <= QUIET * NEIGHBOURS * size:
                 break
-        label = components(graph.where(F.col("sim") >= threshold).select(F.col("a").alias("u"), F.col("b").alias("v")))
+        fresh = graph.where(F.col("sim") >= threshold).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        known = labelled.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+        label = components(known.unionByName(fresh))
         labelled = stored(
             nodes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled"
         )
         recall = audit(labelled, threshold, dtype)
-        if recall >= RECALL:
+        turn += 1
+        if recall >= RECALL and fresh.count() <= QUIET * size:
             break
     smallest = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
     by_node = (

@@ -448,6 +448,18 @@ def test_vector_links(spark, monkeypatch):
     assert neighbors_graph.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_full_lists_hide_no_links_to_another_cluster(spark):
+    draw = np.random.default_rng(41)
+    centre, aside = np.linalg.qr(draw.standard_normal((16, 2)))[0].T
+    clusters = [centre, 0.962 * centre + np.sqrt(1 - 0.962**2) * aside]
+    x = np.vstack([c + 0.001 * draw.standard_normal((40, 16)) for c in clusters])
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    assert (u @ u.T).min() > 0.951
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbors_graph.near_duplicates(table).collect()
+    assert {(r.n_links, r.component_id) for r in got} == {(79, 0)}
+
+
 # 8: toxicity
 
 
