@@ -460,6 +460,16 @@ def test_full_lists_hide_no_links_to_another_cluster(spark):
     assert {(r.n_links, r.component_id) for r in got} == {(79, 0)}
 
 
+def test_audit_counts_every_vector_alike(spark):
+    draw = np.random.default_rng(42)
+    hot = np.eye(16)[0] + 0.01 * draw.standard_normal((200, 16))
+    lone = draw.standard_normal((40, 16))
+    x = np.vstack([hot, lone, lone + 0.001])
+    rows = [(i, 16, v.astype("<f8").tobytes(), 0 if i < 200 else i) for i, v in enumerate(x)]
+    labelled = spark.createDataFrame(rows, "node long, dim int, data binary, component long")
+    assert neighbors_graph.audit(labelled, 0.95, "<f8") == pytest.approx(200 / 280)
+
+
 # 8: toxicity
 
 
