@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlight.llm import decontaminate, licenses, lm, neighbors_graph, packing, secrets, simhash, suffixes, tokens, toxicity
+from matchlight.llm import (
+    decontaminate,
+    licenses,
+    lm,
+    negatives,
+    neighbors_graph,
+    packing,
+    secrets,
+    simhash,
+    suffixes,
+    tokens,
+    toxicity,
+    whitening,
+)
 from matchlight.session import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +102,35 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @named("op10_licenses")
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.find_licenses(table(spark, sf_dir, "documents"))
+
+
+@named("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@named(
+    "op13_hard_negatives",
+    """with v as (
+      select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding, lambda c: floor(cast(c as double) * 256)) as x
+      from embeddings
+      where vec_id is not null and label is not null and len(embedding) > 0
+        and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+    pairs as (
+      select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same,
+        cast(list_dot_product(a.x, b.x) as bigint) as score
+      from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id and len(a.x) = len(b.x)),
+    positives as (
+      select anchor_id, other_id as positive_id, score as positive_score from pairs where same
+      qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5),
+    ranked as (
+      select p.anchor_id, positive_id, positive_score, n.other_id as negative_id, n.score as negative_score,
+        cast(row_number() over (partition by p.anchor_id, positive_id order by n.score desc, n.other_id) as int) as rank
+      from positives p join pairs n on n.anchor_id = p.anchor_id and not n.same
+        and 100 * n.score between 80 * positive_score and 100 * positive_score)
+    select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from ranked where rank <= 5""",
+)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 100 == 0)
