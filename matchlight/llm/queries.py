@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchlight.llm import (
+    chat,
     decontaminate,
     licenses,
     lm,
@@ -104,6 +105,33 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.find_licenses(table(spark, sf_dir, "documents"))
 
 
+@named(
+    "op11_chat_trees",
+    r"""with chats as (
+      select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+      union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+      union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+    lengths as (
+      select *, length(replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>')) as text_chars,
+        length(replace(replace(replace(replace(role, '\', '\\'), '###', '\###'), '</turn>', '\</turn>'), ':', '\:')) as role_chars
+      from chats),
+    told as (
+      select conv_id, count(*) as n_turns,
+        string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text) as turns,
+        coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '') as loss,
+        cast(sum(14 + role_chars + text_chars) as bigint) as formatted_chars
+      from lengths group by conv_id)
+    select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256,
+      formatted_chars
+    from told""",
+)
+def op11_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", marks), (-7, 1, "assistant", marks)], "conv_id long, turn long, role string, text string")
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_back(chat.format_chats(chats))
+
+
 @named("op12_whitening")
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
