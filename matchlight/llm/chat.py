@@ -34,6 +34,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 LEARNT = "assistant"  # the role under the loss mask
 HASH = 16  # bytes of a node
 LONG_RUN = 1024  # encoding takes time with the square of a run without (or of) spaces: longer ones are cut
+HOT_ROWS = 1_000_000  # a node or path met by more rows than this is split in joins
 CELL = 256  # tokens of a cell of the sequence, for finding the nodes in a stretch
 
 # The template. A backslash before a mark, a colon in a role or a backslash makes it plain text.
@@ -201,7 +202,7 @@ def format_chats(
     # Where the nodes of each path are: stretches by the path that brought them.
     spots = placed.select("node", F.col("rank").alias("by"), "start", "end")
     stretches = stored(
-        skew_join(along.select("rank", "node"), spots, "node", "rank", keys_from=along.select("node"))
+        skew_join(along.select("rank", "node"), spots, "node", "rank", rows_per_task=HOT_ROWS)
         .groupBy("rank", "by")
         .agg(F.min("start").alias("start"), F.max("end").alias("end")),
         "stretches",
@@ -277,7 +278,7 @@ def read_back(trees: ChatTrees, vocabulary: str = VOCABULARY) -> DataFrame:
     there = trees.nodes.withColumn("cell", F.floor(F.col("start") / CELL)).withColumn("place", key)
     there = there.select("place", "tree", "start", "tokens", "loss_start", "loss_end")
     inside = (F.col("tree") == F.col("of_tree")) & (F.col("start") >= F.col("low")) & (F.col("start") < F.col("high"))
-    found = skew_join(wanted, there, "place", "path", keys_from=wanted.select("place")).where(inside)
+    found = skew_join(wanted, there, "place", "path", rows_per_task=HOT_ROWS).where(inside)
     shared = spark.sparkContext.broadcast(load_ranks(vocabulary))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -301,7 +302,7 @@ def read_back(trees: ChatTrees, vocabulary: str = VOCABULARY) -> DataFrame:
         .mapInPandas(run, "path string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
     )
     digests = stored(digests, "digests")
-    return skew_join(trees.members, digests, "path", "conv_id").drop("path")
+    return skew_join(trees.members, digests, "path", "conv_id", rows_per_task=HOT_ROWS).drop("path")
 
 
 class Reader:
