@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -29,8 +29,17 @@ def changed_matches(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def insert_if_absent(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """The incoming rows whose key is not there yet, one per key."""
-    fresh = incoming.join(existing.select(*keys), keys, "left_anti")
-    return fresh.dropDuplicates(keys)
+    return one_of(incoming.join(existing.select(*keys), keys, "left_anti"), keys)
+
+
+def one_of(rows: DataFrame, keys: list[str], order: list[Column] | None = None, last: bool = False) -> DataFrame:
+    """The first (or last) row of each key by ``order`` and then a hash of the row.
+
+    So a task that is run again picks the same row. Rows combine before their shuffle.
+    """
+    rank = F.struct(*(order or []), F.xxhash64(*rows.columns))
+    pick = F.max_by if last else F.min_by
+    return rows.groupBy(*keys).agg(pick(F.struct(*rows.columns), rank).alias("_row")).select("_row.*")
 
 
 def rating_history(scored: DataFrame, as_of, batch_id: int) -> DataFrame:

@@ -237,6 +237,62 @@ def _(d):
     return run_match_stream(d).stats()
 
 
+CORRECTED = f"""{GOOD}, {MOVES},
+    now as (select match_id, game_id, player1_id, player2_id,
+        case when match_id % 77 = 0 then null when match_id % 50 = 0 then player1_id else winner_id end as winner_id,
+        start_time - case when moved then interval 1 day else interval 0 day end as start_time,
+        end_time - case when moved then interval 1 day else interval 0 day end
+          + case when moved then interval 7 minute else interval 0 minute end as end_time,
+        duration_minutes + case when moved then 7 else 0 end as duration_minutes
+      from (select *, match_id % 50 = 0 and match_id % 77 <> 0 as moved from good where reason is null)),
+    now_seats as (select *, player1_id as player_id from now
+      union all select *, player2_id from now where player2_id <> player1_id)"""
+CORRECTED_STATS = """select s.player_id, s.game_id, count(*) as total_games_played,
+      count(*) filter (s.winner_id = s.player_id) as total_wins,
+      count(*) filter (s.winner_id <> s.player_id) as total_losses,
+      count(*) filter (s.winner_id is null) as total_draws,
+      cast(coalesce(sum(n), 0) as bigint) as total_moves,
+      cast(sum(s.duration_minutes) as bigint) as total_time_played_minutes,
+      min(s.start_time) as first_played, max(s.end_time) as last_played
+    from now_seats s left join mv on mv.match_id = s.match_id and mv.player_id = s.player_id"""
+
+
+def run_changes(d, *messages):
+    """The messages of matches through a stream, then more messages through the same stream."""
+    root = scratch_path(d.spark, "match-changes")
+    store = I.EventStore(d.spark, f"{root}/tables")
+    for part in (d.match_messages, *messages):
+        part.coalesce(2).write.mode("append").json(f"{root}/inbox")
+        stream = I.message_stream(d.spark, f"{root}/inbox")
+        I.start_match_ingest(stream, store, d.game_names, d.players, f"{root}/checkpoint", d.as_of).awaitTermination()
+    return store
+
+
+@query("stream_corrections", f"with {CORRECTED} {CORRECTED_STATS} group by s.player_id, s.game_id")
+def _(d):
+    """Statistics after corrections went through the stream, some of them twice."""
+    again = d.correction_messages.filter(F.xxhash64("body") % 3 == 0)
+    return run_changes(d, d.correction_messages, again).stats()
+
+
+@query(
+    "stream_deletes",
+    f"with {CORRECTED} {CORRECTED_STATS} where s.match_id % 101 <> 0 group by s.player_id, s.game_id",
+)
+def _(d):
+    """Statistics after corrections and deletions went through the stream in one batch."""
+    return run_changes(d, d.correction_messages.unionByName(d.deletion_messages)).stats()
+
+
+@query(
+    "corrected_matches",
+    f"with {CORRECTED} select * from now where match_id % 101 <> 0",
+)
+def _(d):
+    """The match table after corrections and deletions, applied while reading."""
+    return run_changes(d, d.correction_messages, d.deletion_messages).matches().drop("result")
+
+
 @query(
     "ingest_signups",
     """select player_id, username, firstname, lastname,

@@ -32,7 +32,7 @@ FEATURE_CSV = (
 MATCH_EVENT = (
     "matchId string, gameId string, game string, player1Id string, player2Id string, "
     "startTime string, endTime string, player1MoveCounts int, player2MoveCounts int, "
-    "winnerId string"
+    "winnerId string, changedAt string"
 )
 EVENT_HEADER = "eventID string, eventType string"
 MESSAGE = "routing_key string, body string"

@@ -175,34 +175,58 @@ class SampleTables(Domain):
         A few are broken on purpose, picked by divisors of the id: 83 cuts the JSON text, 89 spoils
         the start time, 97 names an unknown game, 79 an unknown player, 71 drops the end time.
         """
-        w, match_id = self.wide, F.col("match_id")
+        body = self._match_body(F.col("winner_id"))
+        header = F.struct(F.col("match_id").cast("string").alias("eventID"), F.lit("game.over").alias("eventType"))
+        envelope = F.to_json(F.struct(header.alias("eventHeader"), body.alias("eventBody")))
+        return self.wide.select(
+            F.lit("game.over").alias("routing_key"),
+            F.when(F.col("match_id") % 2 == 1, envelope).otherwise(body).alias("body"),
+        )
 
-        def text(name):
-            return F.col(name).cast("string")
+    def _match_body(self, winner, days: int = 0, minutes: int = 0, changed_at: str | None = None):
+        """The JSON text of a match, ``days`` earlier and ``minutes`` longer than it was."""
+        match_id = F.col("match_id")
 
-        def iso(name):
-            return F.date_format(name, "yyyy-MM-dd'T'HH:mm:ss'.123456'")
+        def text(column):
+            return column.cast("string")
 
+        def iso(name, shift):
+            return F.date_format(F.col(name) + shift, "yyyy-MM-dd'T'HH:mm:ss'.123456'")
+
+        earlier = F.make_dt_interval(days=F.lit(-days))
         event = F.struct(
-            text("match_id").alias("matchId"),
-            text("game_id").alias("gameId"),
+            text(match_id).alias("matchId"),
+            text(F.col("game_id")).alias("gameId"),
             F.when(match_id % 97 == 0, "mahjong").otherwise(F.col("game_name")).alias("game"),
-            F.when(match_id % 79 == 0, "-1").otherwise(text("player1_id")).alias("player1Id"),
-            text("player2_id").alias("player2Id"),
-            F.when(match_id % 89 == 0, "soon").otherwise(iso("start_time")).alias("startTime"),
-            F.when(match_id % 71 != 0, iso("end_time")).alias("endTime"),
+            F.when(match_id % 79 == 0, "-1").otherwise(text(F.col("player1_id"))).alias("player1Id"),
+            text(F.col("player2_id")).alias("player2Id"),
+            F.when(match_id % 89 == 0, "soon").otherwise(iso("start_time", earlier)).alias("startTime"),
+            F.when(match_id % 71 != 0, iso("end_time", earlier + F.make_dt_interval(mins=F.lit(minutes)))).alias("endTime"),
             F.coalesce("player1_moves", F.lit(0)).cast("int").alias("player1MoveCounts"),
             F.coalesce("player2_moves", F.lit(0)).cast("int").alias("player2MoveCounts"),
-            text("winner_id").alias("winnerId"),
+            text(winner).alias("winnerId"),
+            *([F.lit(changed_at).alias("changedAt")] if changed_at else []),
         )
         whole = F.to_json(event)
-        body = F.when(match_id % 83 == 0, F.left(whole, F.lit(25))).otherwise(whole)
-        header = F.struct(text("match_id").alias("eventID"), F.lit("game.over").alias("eventType"))
-        envelope = F.to_json(F.struct(header.alias("eventHeader"), body.alias("eventBody")))
-        return w.select(
-            F.lit("game.over").alias("routing_key"),
-            F.when(match_id % 2 == 1, envelope).otherwise(body).alias("body"),
-        )
+        return F.when(match_id % 83 == 0, F.left(whole, F.lit(25))).otherwise(whole)
+
+    @cached_property
+    def correction_messages(self) -> DataFrame:
+        """Corrections: ids divisible by 77 lose their winner; of the others, those divisible by 50 were won by the
+        first player, a day earlier and seven minutes longer."""
+        annulled = F.col("match_id") % 77 == 0
+        key = F.lit("game.corrected").alias("routing_key")
+        lost = self.wide.filter(annulled).select(key, self._match_body(F.lit(None), changed_at="2001-08-01T00:00:00").alias("body"))
+        moved = self.wide.filter(~annulled & (F.col("match_id") % 50 == 0))
+        return lost.unionByName(moved.select(key, self._match_body(F.col("player1_id"), 1, 7, "2001-08-01T00:00:00").alias("body")))
+
+    @cached_property
+    def deletion_messages(self) -> DataFrame:
+        """Deletions of the ids divisible by 101, and of ids that never were."""
+        gone = self.wide.filter(F.col("match_id") % 101 == 0).select("match_id")
+        never = self.wide.filter(F.col("match_id") % 500 == 0).select((-F.col("match_id")).alias("match_id"))
+        body = F.to_json(F.struct(F.col("match_id").cast("string").alias("matchId")))
+        return gone.unionByName(never).select(F.lit("game.deleted").alias("routing_key"), body.alias("body"))
 
     @cached_property
     def signup_messages(self) -> DataFrame:

@@ -135,7 +135,7 @@ def check_match_events(
     return named.withColumn("reject_reason", reason)
 
 
-def good_matches(checked: DataFrame) -> DataFrame:
+def good_matches(checked: DataFrame, *also: str) -> DataFrame:
     """Match rows of the accepted events: a result is a win or, without a winner, a draw."""
     return checked.filter(F.col("reject_reason").isNull()).select(
         "match_id",
@@ -149,9 +149,21 @@ def good_matches(checked: DataFrame) -> DataFrame:
         F.when(F.col("winner_id").isNull(), "draw").otherwise("win").alias("result"),
         F.col("player1MoveCounts").cast("bigint").alias("player1_moves"),
         F.col("player2MoveCounts").cast("bigint").alias("player2_moves"),
+        *also,
     )
 
 
+def check_deletions(decoded: DataFrame, match_id_type: str = "bigint") -> DataFrame:
+    """The match id of deletion messages plus ``reject_reason``, NULL for a good one."""
+    match_id = typed_id(F.col("matchId"), match_id_type)
+    reason = (
+        F.when(F.col("bad_json"), "bad_json")
+        .when(F.col("matchId").isNull(), "missing_field")
+        .when(match_id.isNull(), "bad_id")
+    )
+    return decoded.withColumn("match_id", match_id).withColumn("reject_reason", reason)
+
+
 def quarantine(checked: DataFrame) -> DataFrame:
     return checked.filter(F.col("reject_reason").isNotNull()).select("body", "reject_reason")
 

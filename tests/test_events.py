@@ -4,6 +4,7 @@ import pytest
 from conftest import AS_OF, rows
 from pyspark.sql import functions as F
 
+from matchlight.domain import Domain
 from matchlight.operators import quality as Q
 from matchlight.operators import rollup
 from matchlight.streaming import events as E
@@ -126,15 +127,20 @@ def test_signup_stream_adds_each_player_once(spark, tmp_path):
 
 
 def test_orphans_and_duplicates(small):
-    class Broken:
-        games, moves, matches = small.games.filter("game_id <> 2"), small.moves, small.matches
-        players = small.players.filter("player_id <> 3")
-
-    got = {(r.rule, r.key): r.n for r in Q.foreign_keys(Broken).collect()}
-    assert got == {
+    broken = Domain(
+        small.spark, AS_OF, games=small.games.filter("game_id <> 2"), moves=small.moves, matches=small.matches,
+        players=small.players.filter("player_id <> 3"),
+    )
+    got = {(r.rule, r.key): r.n for r in Q.foreign_keys(broken).collect()}
+    stated = {k: n for k, n in got.items() if k[0].startswith(("match.", "moves."))}
+    assert stated == {
         ("match.game", "2"): 2, ("match.player1", "3"): 2, ("match.player2", "3"): 2,
         ("match.winner", "3"): 1, ("moves.player", "3"): 3,
     }
+    # Player 3 has played games 1 and 2, so has two rows of statistics; game 2 has three players.
+    assert {k: n for k, n in got.items() if k not in stated} == {
+        ("stats.player", "3"): 2, ("stats.game", "2"): 3, ("ratings.player", "3"): 2, ("ratings.game", "2"): 3,
+    }
     twice = small.players.unionByName(small.players.limit(1))
     assert Q.duplicates(twice, "id", ["player_id"]).count() == 1
 
