@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS = 5  # set per key
-# Words of a filter made to be broadcast: 2^16 rows of 16 bytes, whatever the number of keys. More keys
+# Words of a filter made to be broadcast: 2^18 rows of 16 bytes at most, whatever the number of keys. More keys
 # than it can tell apart let more rows through; none is lost.
-SMALL_WORDS = 16
+SMALL_WORDS = 18
 
 
 def word_of(key: Column, log_words) -> Column:

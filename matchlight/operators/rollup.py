@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from matchlight.functions import scoring as S
 from matchlight.functions.numbers import ratio, rounded
+from matchlight.operators import bloom
 from matchlight.operators.participants import (
     moves_per_participant,
     participants,
@@ -92,8 +93,9 @@ def affected_keys(changed_matches: DataFrame) -> DataFrame:
 def refresh_keys(keys: DataFrame, matches: DataFrame, moves: DataFrame) -> DataFrame:
     """Recompute the stats of the given keys; a key without matches left comes back with zeros.
 
-    The keys filter participants and moves before the two meet. A small key set is broadcast by
-    adaptive execution, so a refresh reads the tables once and shuffles only touched rows.
+    A Bloom filter of the players, of fixed size, is broadcast to the scans: matches with neither
+    seat in it and moves of others end in the task that reads them, before a match becomes two
+    seats and whatever the number of keys. What is left is compared with the keys exactly.
     """
     slim = matches.select(
         "match_id",
@@ -105,8 +107,9 @@ def refresh_keys(keys: DataFrame, matches: DataFrame, moves: DataFrame) -> DataF
         "end_time",
         "duration_minutes",
     )
-    touched = participants(slim).join(keys, ["player_id", "game_id"], "left_semi")
-    touched_moves = moves.join(keys.select("player_id").distinct(), "player_id", "left_semi")
+    near = bloom.may_match(slim, ["player1_id", "player2_id"], keys, "player_id")
+    touched = participants(near).join(keys, ["player_id", "game_id"], "left_semi")
+    touched_moves = bloom.may_match(moves, ["player_id"], keys, "player_id")
     fresh = aggregate_participants(
         touched.join(moves_per_participant(touched_moves), ["match_id", "player_id"], "left")
     )
@@ -117,8 +120,9 @@ def refresh_keys(keys: DataFrame, matches: DataFrame, moves: DataFrame) -> DataF
 def stats_of_players(ids: DataFrame, matches: DataFrame, moves: DataFrame) -> DataFrame:
     """The roll-up of some players: their seats and moves are picked before the two meet."""
     few = ids.select("player_id").distinct()
-    seats = participants(matches).join(few, "player_id", "left_semi")
-    own = moves_per_participant(moves.join(few, "player_id", "left_semi"))
+    near = bloom.may_match(matches, ["player1_id", "player2_id"], few, "player_id")
+    seats = participants(near).join(few, "player_id", "left_semi")
+    own = moves_per_participant(bloom.may_match(moves, ["player_id"], few, "player_id"))
     return aggregate_participants(seats.join(own, ["match_id", "player_id"], "left"))
 
 

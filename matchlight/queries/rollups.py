@@ -14,10 +14,10 @@ from matchlight.operators import changes, participants, rollup
 from matchlight.sources.generate import uniform
 from matchlight.queries.base import AS_OF, query, r
 from matchlight.schemas import RATINGS
-from matchlight.session import scratch_path
+from matchlight.session import scratch_path, stored
 from matchlight.sources import exports
+from matchlight.sources.buckets import BucketTable
 from matchlight.sources.tables import (
-    VersionedTable,
     append,
     append_ratings,
     read_stats_csv,
@@ -163,12 +163,10 @@ def _(d):
 @query("stats_upsert", f"select {COUNTS} from pgs")
 def _(d):
     late = F.col("match_id") % 10 == 0
-    table = VersionedTable(d.spark, scratch_path(d.spark, "stats-versions"))
-    early = d.matches.filter(~late)
-    table.write(rollup.player_game_stats(early, d.moves), 0)
+    table = BucketTable(d.spark, scratch_path(d.spark, "stats-buckets"), ["player_id", "game_id"], ["player_id"], buckets=8)
+    table.create(rollup.player_game_stats(d.matches.filter(~late), d.moves), 0)
     keys = rollup.affected_keys(d.matches.filter(late))
-    fresh = rollup.refresh_keys(keys, d.matches, d.moves)
-    table.write(changes.upsert(table.read(before=1), fresh, ["player_id", "game_id"]), 1)
+    table.upsert(stored(rollup.refresh_keys(keys, d.matches, d.moves), "fresh-stats"), 1)
     return table.read()
 
 
