@@ -13,6 +13,7 @@ BITS = 5  # set per key
 # Words of a filter made to be broadcast: 2^18 rows of 16 bytes at most, whatever the number of keys. More keys
 # than it can tell apart let more rows through; none is lost.
 SMALL_WORDS = 18
+LISTED = 1000  # keys that may stand in a plan
 
 
 def word_of(key: Column, log_words) -> Column:
@@ -42,6 +43,26 @@ def holds(bits: Column, key: Column) -> Column:
     return F.coalesce(bits.bitwiseAND(mask) == mask, F.lit(False))
 
 
+def listed(keys: DataFrame, key: str, most: int = LISTED) -> list | None:
+    """The distinct values of a column if there are at most ``most``, else None; reads no more of them."""
+    values = [r[0] for r in keys.where(F.col(key).isNotNull()).select(key).distinct().limit(most + 1).collect()]
+    return values if len(values) <= most else None
+
+
+def narrowed(df: DataFrame, columns: list[str], keys: DataFrame, key: str, values: list | None) -> DataFrame:
+    """The rows of which one of ``columns`` may be among the keys.
+
+    A short list of values (see :func:`listed`) goes into the scan, where footers of row groups are compared with it; beyond that a
+    filter is broadcast.
+    """
+    if values is None:
+        return may_match(df, columns, keys, key)
+    kept = F.lit(False)
+    for column in columns:
+        kept = kept | F.col(column).isin(values)
+    return df.where(kept)
+
+
 def may_match(df: DataFrame, columns: list[str], keys: DataFrame, key: str, log_words: int = SMALL_WORDS) -> DataFrame:
     """The rows of which one of ``columns`` may be among the keys; a few others stay, too.
 

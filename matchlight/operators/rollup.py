@@ -13,6 +13,7 @@ from matchlight.operators.participants import (
     participants,
     participants_with_moves,
 )
+from matchlight.session import stored
 
 COUNTS = (
     "total_games_played",
@@ -93,10 +94,13 @@ def affected_keys(changed_matches: DataFrame) -> DataFrame:
 def refresh_keys(keys: DataFrame, matches: DataFrame, moves: DataFrame) -> DataFrame:
     """Recompute the stats of the given keys; a key without matches left comes back with zeros.
 
-    A Bloom filter of the players, of fixed size, is broadcast to the scans: matches with neither
-    seat in it and moves of others end in the task that reads them, before a match becomes two
-    seats and whatever the number of keys. What is left is compared with the keys exactly.
+    The players go to the scans, a few as values, many as a Bloom filter of fixed size: matches with neither
+    seat among them and moves of others end in the task that reads them, before a match becomes two
+    seats and whatever the number of keys. What is left is compared with the keys exactly. The keys are stored first,
+    as every step reads them.
     """
+    keys = stored(keys, "changed-keys")
+    players = bloom.listed(keys, "player_id")
     slim = matches.select(
         "match_id",
         "game_id",
@@ -107,9 +111,9 @@ def refresh_keys(keys: DataFrame, matches: DataFrame, moves: DataFrame) -> DataF
         "end_time",
         "duration_minutes",
     )
-    near = bloom.may_match(slim, ["player1_id", "player2_id"], keys, "player_id")
+    near = bloom.narrowed(slim, ["player1_id", "player2_id"], keys, "player_id", players)
     touched = participants(near).join(keys, ["player_id", "game_id"], "left_semi")
-    touched_moves = bloom.may_match(moves, ["player_id"], keys, "player_id")
+    touched_moves = bloom.narrowed(moves, ["player_id"], keys, "player_id", players)
     fresh = aggregate_participants(
         touched.join(moves_per_participant(touched_moves), ["match_id", "player_id"], "left")
     )
@@ -119,10 +123,11 @@ def refresh_keys(keys: DataFrame, matches: DataFrame, moves: DataFrame) -> DataF
 
 def stats_of_players(ids: DataFrame, matches: DataFrame, moves: DataFrame) -> DataFrame:
     """The roll-up of some players: their seats and moves are picked before the two meet."""
-    few = ids.select("player_id").distinct()
-    near = bloom.may_match(matches, ["player1_id", "player2_id"], few, "player_id")
+    few = stored(ids.select("player_id").distinct(), "players")
+    players = bloom.listed(few, "player_id")
+    near = bloom.narrowed(matches, ["player1_id", "player2_id"], few, "player_id", players)
     seats = participants(near).join(few, "player_id", "left_semi")
-    own = moves_per_participant(bloom.may_match(moves, ["player_id"], few, "player_id"))
+    own = moves_per_participant(bloom.narrowed(moves, ["player_id"], few, "player_id", players))
     return aggregate_participants(seats.join(own, ["match_id", "player_id"], "left"))
 
 
