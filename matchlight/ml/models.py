@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    GBTClassifier,
     LinearSVC,
     LogisticRegression,
     OneVsRest,
@@ -26,13 +26,14 @@ from pyspark.ml.feature import (
     VectorAssembler,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchlight.functions.identifiers import key_hash, pair_key
 from matchlight.functions.numbers import rounded
+from matchlight.ml.boosting import Boosting
 from matchlight.ml.targets import Target
 from matchlight.operators import features as X
 from matchlight.operators.neighbors import smote
@@ -116,11 +117,10 @@ def estimator(target: Target, model: str, size: Size = Size()) -> list:
         if model == "random_forest":
             return [RandomForestRegressor(**common, **tree, numTrees=size.trees)]
         if model == "gradient_boosting":
-            return [GBTRegressor(**common, **tree, maxIter=size.rounds)]
+            return [Boosting(**common, loss="squared", rounds=size.rounds, depth=size.depth)]
         if model == "svm":
             return [squares, LinearRegression(**on_squares, **steps, loss="huber", regParam=0.01)]
     else:
-        boosted = GBTClassifier(**common, **weighted, **tree, maxIter=size.rounds)
         margin = LinearSVC(**on_squares, **weighted, **steps, regParam=0.01)
         many = target.kind == "multiclass"
         if model == "random_forest":
@@ -128,7 +128,8 @@ def estimator(target: Target, model: str, size: Size = Size()) -> list:
         if model == "logistic":
             return [LogisticRegression(**common, **weighted, **steps, regParam=0.01)]
         if model == "gradient_boosting":
-            return [OneVsRest(classifier=boosted, **common, **weighted) if many else boosted]
+            loss = "softmax" if many else "logistic"
+            return [Boosting(**common, **weighted, loss=loss, rounds=size.rounds, depth=size.depth)]
         if model == "svm":
             return [squares, OneVsRest(classifier=margin, **on_squares, **weighted) if many else margin]
     raise ValueError(f"no model {model} for a {target.kind} target")
@@ -202,32 +203,38 @@ def train(
     judge = evaluator(target)
     fitted, scores = {}, []
     for name in models or target.models:
-        stages = estimator(target, name, size)
-        validated = CrossValidator(
-            estimator=Pipeline(stages=stages),
-            estimatorParamMaps=_grid(stages, (grid or {}).get(name, {})),
-            evaluator=judge,
-            numFolds=size.folds,
-            foldCol="fold",
-            parallelism=size.parallelism,
-            seed=SEED,
-        ).fit(ready)
-        best = max(range(len(validated.avgMetrics)), key=validated.avgMetrics.__getitem__)
-        whole = PipelineModel(stages=[*shared.stages, *validated.bestModel.stages])
-        holdout = judge.evaluate(whole.transform(test_rows))
+        fit_stages, mean, spread = validate(ready, estimator(target, name, size), (grid or {}).get(name, {}), judge, size)
+        whole = PipelineModel(stages=[*shared.stages, *fit_stages])
         fitted[name] = whole
-        scores.append(
-            (
-                name,
-                float(validated.avgMetrics[best]),
-                2 * float(validated.stdMetrics[best]),
-                float(holdout),
-            )
-        )
+        scores.append((name, mean, 2 * spread, float(judge.evaluate(whole.transform(test_rows)))))
     winner = max(scores, key=lambda row: row[1])[0]
     return Trained(target, winner, fitted[winner], fitted, scores)
 
 
+def validate(ready: DataFrame, stages: list, grid: dict[str, list], judge, size: Size) -> tuple[list, float, float]:
+    """The stages fitted to all rows with the best point of a grid, and the mean and deviation of its fold scores."""
+    if isinstance(stages[-1], Boosting):
+        # Its folds grow beside the whole model, so each point of the grid is one run.
+        best = None
+        for point in _grid(stages, grid):
+            model, scores = stages[-1].copy(point).cross_validate(ready, size.folds)
+            mean, spread = float(np.mean(scores)), float(np.std(scores))
+            if best is None or mean > best[1]:
+                best = [model], mean, spread
+        return best
+    validated = CrossValidator(
+        estimator=Pipeline(stages=stages),
+        estimatorParamMaps=_grid(stages, grid),
+        evaluator=judge,
+        numFolds=size.folds,
+        foldCol="fold",
+        parallelism=size.parallelism,
+        seed=SEED,
+    ).fit(ready)
+    best = max(range(len(validated.avgMetrics)), key=validated.avgMetrics.__getitem__)
+    return validated.bestModel.stages, float(validated.avgMetrics[best]), float(validated.stdMetrics[best])
+
+
 def _grid(stages: list, values: dict[str, list]):
     builder = ParamGridBuilder()
     for name, options in values.items():

@@ -85,14 +85,10 @@ def _(d):
 # --- training ---------------------------------------------------------------------------------
 
 
-# Full forests and folds; boosting stops earlier than the library's default of 100 rounds, as a round is a chain of jobs.
-JOBS = M.Size(rounds=20)
-
-
-def trained(key: str, target: T.Target, size: M.Size = JOBS, **options):
+def trained(key: str, target: T.Target, **options):
     @query(key)
     def _(d):
-        return M.train(T.training_rows(d), target, size=size, **options).table(d.spark)
+        return M.train(T.training_rows(d), target, **options).table(d.spark)
 
 
 trained("train_churn", T.CHURN, balance=True)
@@ -116,7 +112,7 @@ trained("cv_scores", T.WIN, models=("linear", "random_forest"))
 def _(d):
     rows = stored(T.training_rows(d), "rows")
     tables = [
-        M.train(rows, target, models=(*T.REGRESSORS, "ridge", "lasso"), size=JOBS).table(d.spark)
+        M.train(rows, target, models=(*T.REGRESSORS, "ridge", "lasso")).table(d.spark)
         for target in (T.SESSION, T.FUTURE)
     ]
     return tables[0].unionByName(tables[1])
@@ -154,7 +150,7 @@ def _(d):
 @query("soft_vote")
 def _(d):
     rows = stored(T.training_rows(d), "rows")
-    models = {n: M.fit_one(rows, T.CHURN, n, JOBS) for n in T.CLASSIFIERS}
+    models = {n: M.fit_one(rows, T.CHURN, n) for n in T.CLASSIFIERS}
     return M.soft_vote(rows, models, T.CHURN).select(
         "player_id", "game_id", "probability", "prediction"
     )
@@ -164,7 +160,7 @@ def _(d):
 def _(d):
     """Three classes: the mean of all class probabilities decides."""
     rows = stored(T.training_rows(d), "rows")
-    models = {n: M.fit_one(rows, T.LEVEL, n, JOBS) for n in ("random_forest", "logistic", "svm")}
+    models = {n: M.fit_one(rows, T.LEVEL, n) for n in ("random_forest", "logistic", "svm")}
     labels = C.level_labels(models["logistic"])
     return M.soft_vote(rows, models, T.LEVEL, labels).select("player_id", "game_id", "probability", "prediction")
 
@@ -189,7 +185,7 @@ def _(d):
 @query("score_win_binary")
 def _(d):
     rows = stored(T.training_rows(d), "rows")
-    scored = C.score_win_binary(rows, M.fit_one(rows, T.WIN_BINARY, "gradient_boosting", JOBS))
+    scored = C.score_win_binary(rows, M.fit_one(rows, T.WIN_BINARY, "gradient_boosting"))
     return scored.select("player_id", "game_id", "next_win_probability")
 
 

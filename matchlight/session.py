@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -79,6 +81,24 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{_scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_SHIPPED: set[str] = set()  # applications whose workers have the code
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the workers once, for functions that run there."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="matchlight-package-")) / "matchlight_package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted((root / "matchlight").rglob("*.py")):
+            if "llm" not in file.parts:
+                out.write(file, file.relative_to(root))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete what this application stored with :func:`stored` and :func:`scratch_path`."""
     context = spark.sparkContext
