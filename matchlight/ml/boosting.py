@@ -46,16 +46,24 @@ class Tree:
         self.leaf = np.zeros(2**depth)
 
     def nodes(self, bins: np.ndarray, levels: int) -> np.ndarray:
-        """The node of every row at a level."""
-        node = np.zeros(len(bins), dtype=np.int64)
-        rows = np.arange(len(bins))
-        for level in range(levels):
-            at = 2**level - 1 + node
-            node = 2 * node + (bins[rows, self.feature[at]] > self.cut[at])
-        return node
+        return walk([self], bins, levels)[0]
 
-    def values(self, bins: np.ndarray) -> np.ndarray:
-        return self.leaf[self.nodes(bins, int(np.log2(len(self.leaf))))]
+
+def walk(trees: list[Tree], bins: np.ndarray, levels: int) -> np.ndarray:
+    """The node at a level of every row (columns) in every tree (rows)."""
+    feature, cut = (np.stack([getattr(t, name) for t in trees]) for name in ("feature", "cut"))
+    node = np.zeros((len(trees), len(bins)), dtype=np.int64)
+    rows, of = np.arange(len(bins))[None, :], np.arange(len(trees))[:, None]
+    for level in range(levels):
+        at = 2**level - 1 + node
+        node = 2 * node + (bins[rows, feature[of, at]] > cut[of, at])
+    return node
+
+
+def values(trees: list[Tree], bins: np.ndarray) -> np.ndarray:
+    """What every row (rows) gets from every tree (columns)."""
+    leaf = np.stack([t.leaf for t in trees])
+    return leaf[np.arange(len(trees))[:, None], walk(trees, bins, int(np.log2(leaf.shape[1])))].T
 
 
 def derivatives(loss: str, margin: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,39 +129,50 @@ class Growing:
         self.rounds: list[list[list[Tree]]] = []
         self.models = models
 
-    def margins(self, frame: pd.DataFrame, bins: np.ndarray, since: int) -> np.ndarray:
-        """rows x models x classes, from the stored margins and the rounds since."""
-        if since:
+    def recent(self, since: int) -> Growing:
+        """What tasks need when the margins of all rounds before ``since`` are stored."""
+        out = Growing(self.loss, self.classes, self.models, self.depth, self.base)
+        out.rounds = self.rounds[since:]
+        return out
+
+    def margins(self, frame: pd.DataFrame, bins: np.ndarray) -> np.ndarray:
+        """rows x models x classes, from the stored margins, if there are any, and the rounds here."""
+        if frame["margins"].iloc[0] is not None:
             out = np.frombuffer(b"".join(frame["margins"])).reshape(len(frame), self.models, self.classes).copy()
         else:
             out = np.repeat(self.base[None], len(frame), axis=0)
-        for trees in self.rounds[since:]:
-            for m, of_model in enumerate(trees):
-                for k, tree in enumerate(of_model):
-                    out[:, m, k] += tree.values(bins)
+        for trees in self.rounds:
+            out += values([t for of_model in trees for t in of_model], bins).reshape(out.shape)
         return out
 
-    def best_splits(self, rows: DataFrame, trees: list[list[Tree]], level: int, since: int) -> DataFrame:
-        """One pass: the best split of every open node."""
-        grown, models, classes, loss, nodes = self, self.models, self.classes, self.loss, 2**level
+    def best_splits(self, rows: DataFrame, trees: list[list[Tree]], level: int, since: int, tasks: int) -> DataFrame:
+        """One pass: the best split of every open node. The sums of a single task need no adding up."""
+        grown, models, classes, loss, nodes = self.recent(since), self.models, self.classes, self.loss, 2**level
         folds = models - 1
 
+        def told(found: list[tuple]) -> pd.DataFrame:
+            names = [f.split()[0] for f in SPLITS.split(", ")]
+            return pd.DataFrame(found, columns=names).astype({c: "int32" for c in names[:5]})
+
         def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total: dict[tuple[int, int], np.ndarray] = {}
             for frame in frames:
                 if not len(frame):
                     continue
                 bins = np.frombuffer(b"".join(frame["bins"]), dtype=np.uint8).reshape(len(frame), -1).astype(np.int64)
-                margin = grown.margins(frame, bins, since)
+                margin = grown.margins(frame, bins)
+                at = walk([t for of_model in trees for t in of_model], bins, level)
                 label, weight, fold = (frame[c].to_numpy() for c in ("label", "weight", "fold"))
                 for m in range(models):
                     mine = np.flatnonzero(fold != m) if m < folds else np.arange(len(frame))
                     g, h = derivatives(loss, margin[mine, m], label[mine])
                     for k in range(classes):
-                        node = trees[m][k].nodes(bins[mine], level)
-                        part = histogram(bins[mine], node, nodes, g[:, k] * weight[mine], h[:, k] * weight[mine])
+                        part = histogram(bins[mine], at[m * classes + k, mine], nodes, g[:, k] * weight[mine], h[:, k] * weight[mine])
                         total[m, k] = total[m, k] + part if (m, k) in total else part
             keys = [(m, k, n) for (m, k), s in total.items() for n in range(nodes) if s[n, 0, :, 1].any()]
+            if tasks == 1:
+                yield told([(m, k, n, *best_split(total[m, k][n])) for m, k, n in keys])
+                return
             yield pd.DataFrame(
                 [(m, k, n, total[m, k][n].tobytes()) for m, k, n in keys], columns=["model", "class", "node", "data"]
             ).astype({"model": "int32", "class": "int32", "node": "int32"})
@@ -164,17 +183,17 @@ class Growing:
                 for m, k, n, data in zip(frame["model"], frame["class"], frame["node"], frame["data"]):
                     part = np.frombuffer(data).reshape(-1, BINS, 2)
                     total[m, k, n] = total[m, k, n] + part if (m, k, n) in total else part
-            rows_ = [(*key, *best_split(s)) for key, s in total.items()]
-            names = [f.split()[0] for f in SPLITS.split(", ")]
-            yield pd.DataFrame(rows_, columns=names).astype({c: "int32" for c in names[:5]})
+            yield told([(*key, *best_split(s)) for key, s in total.items()])
 
+        if tasks == 1:
+            return rows.mapInPandas(sums, SPLITS)
         parts = rows.mapInPandas(sums, "model int, class int, node int, data binary")
         return parts.repartition("model", "class", "node").mapInPandas(added, SPLITS)
 
-    def grow_round(self, rows: DataFrame, since: int) -> None:
+    def grow_round(self, rows: DataFrame, since: int, tasks: int) -> None:
         trees = [[Tree(self.depth) for _ in range(self.classes)] for _ in range(self.models)]
         for level in range(self.depth):
-            for s in self.best_splits(rows, trees, level, since).collect():
+            for s in self.best_splits(rows, trees, level, since, tasks).collect():
                 tree = trees[s["model"]][s["class"]]
                 at = 2**level - 1 + s["node"]
                 tree.feature[at], tree.cut[at] = s["feature"], s["cut"]
@@ -185,13 +204,13 @@ class Growing:
         self.rounds.append(trees)
 
     def with_margins(self, rows: DataFrame, since: int) -> DataFrame:
-        grown = self
+        grown = self.recent(since)
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 if len(frame):
                     bins = np.frombuffer(b"".join(frame["bins"]), dtype=np.uint8).reshape(len(frame), -1).astype(np.int64)
-                    yield frame.assign(margins=[m.tobytes() for m in grown.margins(frame, bins, since)])
+                    yield frame.assign(margins=[m.tobytes() for m in grown.margins(frame, bins)])
 
         return rows.mapInPandas(run, rows.schema)
 
@@ -219,11 +238,12 @@ def grow(rows: DataFrame, loss: str, folds: int, rounds: int, depth: int) -> tup
     )
     base, classes = _base(table, loss, folds)
     grown = Growing(loss, classes, folds + 1, depth, base)
-    since = 0
+    since, tasks = 0, table.rdd.getNumPartitions()
     for turn in range(rounds):
         if turn - since == STORE_EVERY:
             table, since = stored(grown.with_margins(table, since), "margins"), turn
-        grown.grow_round(table, since)
+            tasks = table.rdd.getNumPartitions()
+        grown.grow_round(table, since, tasks)
     return grown, cuts, table, since
 
 
@@ -287,13 +307,14 @@ class Boosting(Estimator, _BoostingParams, HasLabelCol, HasWeightCol):
     def cross_validate(self, dataset: DataFrame, folds: int) -> tuple[BoostingModel, list[float]]:
         """The model of all rows, and for each fold (column ``fold``) the accuracy or R2 on its rows of the model without it."""
         grown, cuts, table, since = self._grow(dataset, folds)
+        recent = grown.recent(since)
 
         def judged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 if len(frame):
                     bins = np.frombuffer(b"".join(frame["bins"]), dtype=np.uint8).reshape(len(frame), -1).astype(np.int64)
-                    margin = grown.margins(frame, bins, since)[np.arange(len(frame)), frame["fold"].to_numpy()]
-                    guess = margin[:, 0] if grown.loss == "squared" else shares(grown.loss, margin).argmax(axis=1).astype(float)
+                    margin = recent.margins(frame, bins)[np.arange(len(frame)), frame["fold"].to_numpy()]
+                    guess = margin[:, 0] if recent.loss == "squared" else shares(recent.loss, margin).argmax(axis=1).astype(float)
                     yield pd.DataFrame({"fold": frame["fold"], "label": frame["label"], "guess": guess})
 
         told = table.mapInPandas(judged, "fold int, label double, guess double").groupBy("fold")
@@ -316,16 +337,17 @@ class BoostingModel(Model, _BoostingParams, DefaultParamsReadable, DefaultParams
             base = np.array(forest["base"])
             trees = []
             for of in forest["trees"]:
-                for k, (feature, cut, leaf) in enumerate(of):
+                trees.append([])
+                for feature, cut, leaf in of:
                     tree = object.__new__(Tree)
                     tree.feature, tree.cut, tree.leaf = np.array(feature), np.array(cut), np.array(leaf)
-                    trees.append((k, tree))
+                    trees[-1].append(tree)
             for x in series:
                 out = np.repeat(base[None], len(x), axis=0)
                 if len(x):
                     bins = binned(np.stack(x), forest["cuts"])
-                    for k, tree in trees:
-                        out[:, k] += tree.values(bins)
+                    for of in trees:
+                        out += values(of, bins)
                 yield pd.Series(list(out), dtype=object)
 
         margin = F.pandas_udf(margins, "array<double>")(vector_to_array(self.getFeaturesCol()))

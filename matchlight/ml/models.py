@@ -131,7 +131,7 @@ def estimator(target: Target, model: str, size: Size = Size()) -> list:
             loss = "softmax" if many else "logistic"
             return [Boosting(**common, **weighted, loss=loss, rounds=size.rounds, depth=size.depth)]
         if model == "svm":
-            return [squares, OneVsRest(classifier=margin, **on_squares, **weighted) if many else margin]
+            return [squares, OneVsRest(classifier=margin, parallelism=3, **on_squares, **weighted) if many else margin]
     raise ValueError(f"no model {model} for a {target.kind} target")
 
 
