@@ -11,16 +11,10 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    LinearSVC,
-    LogisticRegression,
-    OneVsRest,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import (
     Imputer,
-    PolynomialExpansion,
     StandardScaler,
     StringIndexer,
     VectorAssembler,
@@ -34,6 +28,7 @@ from pyspark.sql import functions as F
 from matchlight.functions.identifiers import key_hash, pair_key
 from matchlight.functions.numbers import rounded
 from matchlight.ml.boosting import Boosting
+from matchlight.ml.kernels import CalibratedSVC, FourierFeatures
 from matchlight.ml.targets import Target
 from matchlight.operators import features as X
 from matchlight.operators.neighbors import smote
@@ -97,15 +92,16 @@ def label_stage(target: Target) -> list:
 def estimator(target: Target, model: str, size: Size = Size()) -> list:
     """The stages of one model by name.
 
-    ``svm`` is a linear support vector machine on second-degree terms and, for regression, a linear
-    model with the robust Huber loss on them: approximations of the kernel machines.
+    ``svm`` works on random Fourier features: a linear support vector machine with calibrated probabilities for two
+    classes, multinomial logistic regression for more (a kernel machine of one loss for all classes), and
+    for regression a linear model with the robust Huber loss.
     """
     common = {"featuresCol": "features", "labelCol": "label"}
     weighted = {"weightCol": WEIGHT} if target.kind != "regression" else {}
     tree = {"maxDepth": size.depth, "seed": SEED, "maxBins": 512}
     steps = {"maxIter": size.iterations}
-    squares = PolynomialExpansion(degree=2, inputCol="features", outputCol="squares")
-    on_squares = {"featuresCol": "squares", "labelCol": "label"}
+    fourier = FourierFeatures(inputCol="features", outputCol="fourier", seed=SEED)
+    on_fourier = {"featuresCol": "fourier", "labelCol": "label"}
     if target.kind == "regression":
         linear = {
             "linear": {},
@@ -119,9 +115,8 @@ def estimator(target: Target, model: str, size: Size = Size()) -> list:
         if model == "gradient_boosting":
             return [Boosting(**common, loss="squared", rounds=size.rounds, depth=size.depth)]
         if model == "svm":
-            return [squares, LinearRegression(**on_squares, **steps, loss="huber", regParam=0.01)]
+            return [fourier, LinearRegression(**on_fourier, **steps, loss="huber", regParam=0.01)]
     else:
-        margin = LinearSVC(**on_squares, **weighted, **steps, regParam=0.01)
         many = target.kind == "multiclass"
         if model == "random_forest":
             return [RandomForestClassifier(**common, **weighted, **tree, numTrees=size.trees)]
@@ -131,7 +126,9 @@ def estimator(target: Target, model: str, size: Size = Size()) -> list:
             loss = "softmax" if many else "logistic"
             return [Boosting(**common, **weighted, loss=loss, rounds=size.rounds, depth=size.depth)]
         if model == "svm":
-            return [squares, OneVsRest(classifier=margin, parallelism=3, **on_squares, **weighted) if many else margin]
+            if many:
+                return [fourier, LogisticRegression(**on_fourier, **weighted, **steps, regParam=0.001)]
+            return [fourier, CalibratedSVC(**on_fourier, **weighted, **steps)]
     raise ValueError(f"no model {model} for a {target.kind} target")
 
 
@@ -172,13 +169,14 @@ class Trained:
     best: str
     model: PipelineModel
     models: dict[str, PipelineModel]
-    scores: list[tuple[str, float, float, float]]
+    scores: list[tuple[str, float, float, float, float | None, float | None]]
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """Model, mean and spread of the fold scores, hold-out score."""
+        """Model, mean and spread of the fold scores, hold-out score, and RMSE and MAE where the label is a number."""
         return spark.createDataFrame(
             [(self.target.name, *row, row[0] == self.best) for row in self.scores],
-            "target string, model string, cv_mean double, cv_2std double, holdout double, best boolean",
+            "target string, model string, cv_mean double, cv_2std double, holdout double, holdout_rmse double, "
+            "holdout_mae double, best boolean",
         )
 
 
@@ -206,11 +204,22 @@ def train(
         fit_stages, mean, spread = validate(ready, estimator(target, name, size), (grid or {}).get(name, {}), judge, size)
         whole = PipelineModel(stages=[*shared.stages, *fit_stages])
         fitted[name] = whole
-        scores.append((name, mean, 2 * spread, float(judge.evaluate(whole.transform(test_rows)))))
+        scores.append((name, mean, 2 * spread, *holdout(whole.transform(test_rows), judge, target)))
     winner = max(scores, key=lambda row: row[1])[0]
     return Trained(target, winner, fitted[winner], fitted, scores)
 
 
+def holdout(scored: DataFrame, judge, target: Target) -> tuple[float, float | None, float | None]:
+    """The target's metric on hold-out rows and, for regression, RMSE and MAE from the same pass."""
+    if target.kind != "regression":
+        return float(judge.evaluate(scored)), None, None
+    error = F.col("prediction") - F.col("label")
+    n, squares, absolute, spread = scored.agg(F.count("*"), F.sum(error * error), F.sum(F.abs(error)), F.var_pop("label")).first()
+    if not n or not spread:
+        return float("nan"), None, None
+    return 1 - squares / (n * spread), float(np.sqrt(squares / n)), absolute / n
+
+
 def validate(ready: DataFrame, stages: list, grid: dict[str, list], judge, size: Size) -> tuple[list, float, float]:
     """The stages fitted to all rows with the best point of a grid, and the mean and deviation of its fold scores."""
     if isinstance(stages[-1], Boosting):

@@ -13,7 +13,7 @@ from matchlight.functions.numbers import clamp, rounded
 from matchlight.ml.models import class_probability
 
 HELPERS = (
-    "label", "raw_features", "features", "squares", "rawPrediction", "probability", "prediction",
+    "label", "raw_features", "features", "fourier", "rawPrediction", "probability", "prediction",
     "gender_code", "country_code", "game_name_code", "player_level_code",
 )
 

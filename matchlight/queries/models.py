@@ -4,6 +4,7 @@ from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from matchlight.functions.identifiers import in_train, pair_key, pair_of
+from matchlight.ml import linear as L
 from matchlight.ml import models as M
 from matchlight.ml import scoring as C
 from matchlight.ml import targets as T
@@ -108,6 +109,23 @@ trained(
 trained("cv_scores", T.WIN, models=("linear", "random_forest"))
 
 
+@query("linear_grids")
+def _(d):
+    """Ridge and lasso points for three numeric targets, each target's folds solved from one pass over its rows."""
+    rows = stored(T.training_rows(d), "rows")
+    points = [(0.0, 0.0), *[(reg, elastic) for elastic in (0.0, 1.0) for reg in (0.1, 1.0, 10.0)]]
+    found = []
+    for target in (T.ENGAGEMENT, T.SESSION, T.FUTURE):
+        data = M.prepare(rows, target, 5).filter("is_train")
+        ready = Pipeline(stages=M.feature_stages(target)).fit(data).transform(data)
+        table = L.grid(ready, points)
+        best = max(range(len(table)), key=lambda i: table[i].r2)
+        found += [(target.name, p.reg, p.elastic, p.r2, 2 * p.r2_spread, p.rmse, i == best) for i, p in enumerate(table)]
+    return d.spark.createDataFrame(
+        found, "target string, reg double, elastic double, cv_r2 double, cv_2std double, cv_rmse double, best boolean"
+    )
+
+
 @query("model_comparison")
 def _(d):
     rows = stored(T.training_rows(d), "rows")

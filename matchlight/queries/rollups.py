@@ -279,6 +279,18 @@ def _(d):
     )
 
 
+@query(
+    "propagate_game_name_to_stats",
+    """select player_id, game_id, case when game_id = 3 then 'weiqi' else game_name end as game_name,
+      total_games_played, total_wins from star""",
+)
+def _(d):
+    """A rename reaches the denormalised statistics, too."""
+    facts = d.star.select("player_id", "game_id", "game_name", "total_games_played", "total_wins")
+    renamed = d.games.filter("name = 'go'").select("game_id", F.lit("weiqi").alias("game_name"))
+    return changes.propagate(facts, d.per_game(renamed), "game_id", ["game_name"])
+
+
 @query(
     "propagate_player_dims",
     """select player_id, game_id,
@@ -326,6 +338,19 @@ def _(d):
     return read_table(d.spark, path, exports.PREDICTION_LOG)
 
 
+@query(
+    "predictions_of_player",
+    f"""with {LOG}
+    select id, player_id, game_id, engagement_duration, {AS_OF} as prediction_timestamp,
+      cast(null as bigint) as actual_duration, cast(null as double) as accuracy from log_ids where player_id = 7""",
+)
+def _(d):
+    """The log read back for one player; the player's id reaches the scan."""
+    path = scratch_path(d.spark, "prediction-log")
+    append(exports.prediction_log(exports.mean_forecast(d), d.as_of), path)
+    return exports.predictions_of(read_table(d.spark, path, exports.PREDICTION_LOG), 7)
+
+
 @query(
     "prediction_error",
     f"""with {LOG}

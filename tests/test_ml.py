@@ -41,7 +41,8 @@ def test_training_is_repeatable_and_better_than_chance(rows):
 
 def test_best_model_has_the_highest_mean(rows, spark):
     done = M.train(rows, T.ENGAGEMENT, models=("linear", "ridge"), size=TINY)
-    means = {name: mean for name, mean, _, _ in done.scores}
+    means = {name: mean for name, mean, *_ in done.scores}
+    assert all(rmse >= mae > 0 for *_, rmse, mae in done.scores)
     assert done.best == max(means, key=means.get)
     assert done.table(spark).filter("best").count() == 1
 
