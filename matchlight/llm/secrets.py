@@ -34,7 +34,7 @@ ENDPOINT = (
 WEAK = (
     r"""(?i:\b(?:pwd|pass|auth|credential|private_?key|signature))["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=!@#$%^&*-]{8,}"""
     r"""|(?<![A-Za-z0-9+/])(?=[a-z+/]*[0-9A-Z][^\x00-\x20]*)(?=[A-Za-z+/]*[0-9])(?=[a-z0-9+/]*[A-Z])(?=[A-Z0-9+/]*[a-z])"""
-    r"""[A-Za-z0-9+/]{32,88}={0,2}(?![A-Za-z0-9+/])"""
+    r"""[A-Za-z0-9+/]{32,}={0,2}(?![A-Za-z0-9+/])"""
 )
 PARTS = (("identifier", IDENTIFIER), ("endpoint", ENDPOINT), ("weak", WEAK))
 

@@ -545,12 +545,25 @@ def test_secret_spans(spark):
     assert masked[2].startswith("\U0001F600é [REDACTED] and [REDACTED]Z")
 
 
+def test_long_candidates_are_found_and_masked(spark):
+    draw = np.random.default_rng(5)
+    letters = list("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789+/")
+    runs = ["".join(draw.choice(letters, n)) for n in (89, 500, 100_000)]
+    texts = [f"client_id: build-bot\n{run}\nend" for run in runs]
+    docs = documents(spark, list(enumerate(texts)))
+    found = {r.doc_id: r.added for r in secrets.find_secrets(docs).collect()}
+    for i, run in enumerate(runs):
+        start = texts[i].index(run)
+        assert (start, start + len(run)) in {(s.start, s.end) for s in found[i]}
+    assert all(run not in r.text for run, r in zip(runs, secrets.mask(docs).orderBy("doc_id").collect()))
+
+
 # 10: licenses
 
 
 def test_licenses(spark):
     mit = licenses.TEXTS["MIT"][0]
-    half = " ".join(mit.split()[:60])
+    half = " ".join(mit.split()[:55])
     texts = [
         f"{prose(1, 30)}\nReleased under the MIT License.\n{prose(2, 20)}",
         "Licensed under CC BY-NC 4.0.",
