@@ -132,10 +132,11 @@ class Scanner:
                     data = " ".join(words).encode()
                     self.templates.append((kind, name, words, compressor(data), len(self.plain.compress(data))))
 
-    def best(self, words: list[str], long: bool) -> tuple | None:
-        """(license, gain, covered, missing, extra) of the best confirmed template, or None.
+    def confirmed(self, words: list[str], long: bool) -> list[tuple]:
+        """(license, gain, covered, missing, extra) of every template that has words of its own in a block.
 
-        Templates are tried in order of gain; ties go to the first name.
+        The template with the fewest wording differences takes the words it matches; the others are
+        compared with what is left, until none is confirmed. Ties go to the longer template, then the first name.
         """
         data = " ".join(words).encode()
         alone = len(self.plain.compress(data))
@@ -145,30 +146,56 @@ class Scanner:
                 gain = (alone - len(compressor.compress(data))) / size
                 if gain >= GAIN:
                     ranked.append((-gain, name, template))
-        found = None
-        for gain, name, template in sorted(ranked):
-            matcher = SequenceMatcher(None, template, words, autojunk=False)
-            parts = [m for m in matcher.get_matching_blocks() if m.size]
-            common = sum(m.size for m in parts)
-            covered = common / len(template)
-            if covered >= COVERED:
-                extra = parts[-1].b + parts[-1].size - parts[0].b - common
-                new = (name, -gain, covered, len(template) - common, extra)
-                # The exact wording decides among those that compression puts forward.
-                if found is None or (new[3] + new[4], -len(template)) < found[1]:
-                    found = (new, (new[3] + new[4], -len(template)))
-        return found[0] if found else None
+        ranked.sort()
+        words, out = list(words), []
+        while ranked:
+            found = None
+            for gain, name, template in ranked:
+                matcher = SequenceMatcher(None, template, words, autojunk=False)
+                parts = [m for m in matcher.get_matching_blocks() if m.size]
+                common = sum(m.size for m in parts)
+                covered = common / len(template)
+                if covered >= COVERED:
+                    extra = parts[-1].b + parts[-1].size - parts[0].b - common
+                    missing = len(template) - common
+                    # The exact wording decides among those that compression puts forward.
+                    rank = (missing + extra, -len(template))
+                    if found is None or rank < found[0]:
+                        found = rank, (name, -gain, covered, missing, extra), parts
+            if found is None:
+                break
+            _, hit, parts = found
+            out.append(hit)
+            ranked = [r for r in ranked if r[1] != hit[0]]
+            for m in parts:
+                words[m.b : m.b + m.size] = [""] * m.size
+        return out
 
     def scan(self, text: str | None) -> list[tuple]:
         """(line, license, gain, covered, missing, extra), one per line and license."""
         out: dict[tuple[int, str], tuple] = {}
+
+        def keep(line: int, hit: tuple) -> None:
+            key = (line, hit[0])
+            if key not in out or hit[1:] > out[key][1:]:
+                out[key] = hit
+
+        single: dict[int, str] = {}
         for line, block, long in blocks(text or ""):
+            if not long:
+                single[line] = block
             for window in _windows(words_of(block)):
-                hit = self.best(window, long) if window else None
-                if hit:
-                    key = (line, hit[0])
-                    if key not in out or hit[1:] > out[key][1:]:
-                        out[key] = hit
+                for hit in self.confirmed(window, long) if window else []:
+                    keep(line, hit)
+        # A notice may be wrapped: a line with a cue and the one after it, for what neither has alone.
+        lines = (text or "").split("\n") if single else []
+        for line in single:
+            for first in (line - 1, line):
+                if 0 <= first < len(lines) - 1 and (first == line or first not in single):
+                    for window in _windows(words_of(lines[first] + " " + lines[first + 1])):
+                        for hit in self.confirmed(window, False) if window else []:
+                            if (first, hit[0]) not in out and (first + 1, hit[0]) not in out:
+                                keep(first, hit)
         return [(line, *hit) for (line, _), hit in sorted(out.items())]
 
 

@@ -581,3 +581,19 @@ def test_licenses(spark):
     }
     assert (found[0]["MIT"].missing, found[0]["MIT"].extra, found[0]["MIT"].line) == (0, 0, 1)
     assert found[2]["MIT"].missing > 0 and found[2]["MIT"].covered > 0.9
+
+
+def test_all_licenses_of_a_block_are_found(spark):
+    bodies = [licenses.TEXTS[n][0] for n in ("MIT", "ISC", "BSD-2-Clause")]
+    texts = [
+        "\n".join(bodies),
+        "Licensed under the Apache License, Version 2.0. Released under the MIT License.",
+        f"{prose(1, 8)}\nLicensed under the Apache\nLicense, Version 2.0\n{prose(2, 8)}",
+        f"Licensed under the Apache License, Version 2.0\n{prose(3, 8)}",
+    ]
+    found = collections.defaultdict(list)
+    for r in licenses.find_licenses(documents(spark, list(enumerate(texts)))).collect():
+        found[r.doc_id].append((r.line, r.license))
+    assert {n for _, n in found[0]} == {"MIT", "ISC", "BSD-2-Clause"}
+    assert {n for _, n in found[1]} == {"Apache-2.0", "MIT"}
+    assert found[2] == [(1, "Apache-2.0")] and found[3] == [(0, "Apache-2.0")]
