@@ -1,6 +1,6 @@
 """Second-order gradient boosting over binned features, with all classes and all folds in one pass.
 
-Every level of every tree is one pass over the rows: a task sums gradients and second derivatives per (model, class, node,
+Every level of every tree is one pass over the rows (over a table of one partition, every tree): a task sums gradients and second derivatives per (model, class, node,
 feature, bin), sums of tasks are added by node, and the best split of each node, one row, goes to the driver. The
 models of all folds and the one of all rows grow side by side, so cross-validation costs no passes of its own. Margins are
 stored every few rounds; between, they follow from the trees grown since.
@@ -121,6 +121,21 @@ def binned(x: np.ndarray, cuts: list[list[float]]) -> np.ndarray:
     return np.stack([np.searchsorted(c, x[:, i], side="left") for i, c in enumerate(cuts)], axis=1)
 
 
+def bins_of(frame: pd.DataFrame) -> np.ndarray:
+    return np.frombuffer(b"".join(frame["bins"]), dtype=np.uint8).reshape(len(frame), -1).astype(np.int64)
+
+
+def open_nodes(sums: np.ndarray) -> list[int]:
+    """The nodes of a histogram that have rows."""
+    return [n for n in range(len(sums)) if sums[n, 0, :, 1].any()]
+
+
+def told(rows: list[tuple], schema: str) -> pd.DataFrame:
+    names = [f.split() for f in schema.split(", ")]
+    frame = pd.DataFrame(rows, columns=[n for n, _ in names])
+    return frame.astype({n: "int32" for n, kind in names if kind == "int"})
+
+
 class Growing:
     """Trees of several models, grown together. Model m leaves out fold m; the last one leaves out none."""
 
@@ -145,34 +160,44 @@ class Growing:
             out += values([t for of_model in trees for t in of_model], bins).reshape(out.shape)
         return out
 
-    def best_splits(self, rows: DataFrame, trees: list[list[Tree]], level: int, since: int, tasks: int) -> DataFrame:
-        """One pass: the best split of every open node. The sums of a single task need no adding up."""
-        grown, models, classes, loss, nodes = self.recent(since), self.models, self.classes, self.loss, 2**level
-        folds = models - 1
+    def new_trees(self) -> list[list[Tree]]:
+        return [[Tree(self.depth) for _ in range(self.classes)] for _ in range(self.models)]
+
+    def place(self, trees: list[list[Tree]], level: int, splits) -> None:
+        """Put splits (as in ``SPLITS``) of a level into the trees; those of the last level give the leaves."""
+        for model, class_, node, feature, cut, g_left, h_left, g, h in splits:
+            tree = trees[model][class_]
+            at = 2**level - 1 + node
+            tree.feature[at], tree.cut[at] = feature, cut
+            if level == self.depth - 1:
+                for side, (gs, hs) in enumerate(((g_left, h_left), (g - g_left, h - h_left))):
+                    tree.leaf[2 * node + side] = -RATE * gs / (hs + RIDGE) if hs > 0 else 0.0
+
+    def sums(self, frame: pd.DataFrame, bins: np.ndarray, margin: np.ndarray, trees: list[list[Tree]], level: int) -> dict:
+        """The histograms of some rows, by (model, class)."""
+        out = {}
+        at = walk([t for of_model in trees for t in of_model], bins, level)
+        label, weight, fold = (frame[c].to_numpy() for c in ("label", "weight", "fold"))
+        for m in range(self.models):
+            mine = np.flatnonzero(fold != m) if m < self.models - 1 else np.arange(len(frame))
+            g, h = derivatives(self.loss, margin[mine, m], label[mine])
+            for k in range(self.classes):
+                node = at[m * self.classes + k, mine]
+                out[m, k] = histogram(bins[mine], node, 2**level, g[:, k] * weight[mine], h[:, k] * weight[mine])
+        return out
 
-        def told(found: list[tuple]) -> pd.DataFrame:
-            names = [f.split()[0] for f in SPLITS.split(", ")]
-            return pd.DataFrame(found, columns=names).astype({c: "int32" for c in names[:5]})
+    def best_splits(self, rows: DataFrame, trees: list[list[Tree]], level: int, since: int) -> DataFrame:
+        """One pass: the best split of every open node of a level."""
+        grown = self.recent(since)
 
-        def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def summed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total: dict[tuple[int, int], np.ndarray] = {}
             for frame in frames:
-                if not len(frame):
-                    continue
-                bins = np.frombuffer(b"".join(frame["bins"]), dtype=np.uint8).reshape(len(frame), -1).astype(np.int64)
-                margin = grown.margins(frame, bins)
-                at = walk([t for of_model in trees for t in of_model], bins, level)
-                label, weight, fold = (frame[c].to_numpy() for c in ("label", "weight", "fold"))
-                for m in range(models):
-                    mine = np.flatnonzero(fold != m) if m < folds else np.arange(len(frame))
-                    g, h = derivatives(loss, margin[mine, m], label[mine])
-                    for k in range(classes):
-                        part = histogram(bins[mine], at[m * classes + k, mine], nodes, g[:, k] * weight[mine], h[:, k] * weight[mine])
-                        total[m, k] = total[m, k] + part if (m, k) in total else part
-            keys = [(m, k, n) for (m, k), s in total.items() for n in range(nodes) if s[n, 0, :, 1].any()]
-            if tasks == 1:
-                yield told([(m, k, n, *best_split(total[m, k][n])) for m, k, n in keys])
-                return
+                if len(frame):
+                    bins = bins_of(frame)
+                    for key, part in grown.sums(frame, bins, grown.margins(frame, bins), trees, level).items():
+                        total[key] = total[key] + part if key in total else part
+            keys = [(m, k, n) for (m, k), s in total.items() for n in open_nodes(s)]
             yield pd.DataFrame(
                 [(m, k, n, total[m, k][n].tobytes()) for m, k, n in keys], columns=["model", "class", "node", "data"]
             ).astype({"model": "int32", "class": "int32", "node": "int32"})
@@ -183,24 +208,37 @@ class Growing:
                 for m, k, n, data in zip(frame["model"], frame["class"], frame["node"], frame["data"]):
                     part = np.frombuffer(data).reshape(-1, BINS, 2)
                     total[m, k, n] = total[m, k, n] + part if (m, k, n) in total else part
-            yield told([(*key, *best_split(s)) for key, s in total.items()])
+            yield told([(*key, *best_split(s)) for key, s in total.items()], SPLITS)
 
-        if tasks == 1:
-            return rows.mapInPandas(sums, SPLITS)
-        parts = rows.mapInPandas(sums, "model int, class int, node int, data binary")
+        parts = rows.mapInPandas(summed, "model int, class int, node int, data binary")
         return parts.repartition("model", "class", "node").mapInPandas(added, SPLITS)
 
+    def whole_round(self, rows: DataFrame, since: int) -> DataFrame:
+        """The splits of all levels, from a table that is one partition: its task has all sums already."""
+        grown = self.recent(since)
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            frame = pd.concat(list(frames), ignore_index=True)
+            bins, trees = bins_of(frame), grown.new_trees()
+            margin = grown.margins(frame, bins)
+            for level in range(grown.depth):
+                total = grown.sums(frame, bins, margin, trees, level)
+                splits = [(m, k, n, *best_split(s[n])) for (m, k), s in total.items() for n in open_nodes(s)]
+                grown.place(trees, level, splits)
+                yield told([(*s, level) for s in splits], f"{SPLITS}, level int")
+
+        return rows.mapInPandas(run, f"{SPLITS}, level int")
+
     def grow_round(self, rows: DataFrame, since: int, tasks: int) -> None:
-        trees = [[Tree(self.depth) for _ in range(self.classes)] for _ in range(self.models)]
-        for level in range(self.depth):
-            for s in self.best_splits(rows, trees, level, since, tasks).collect():
-                tree = trees[s["model"]][s["class"]]
-                at = 2**level - 1 + s["node"]
-                tree.feature[at], tree.cut[at] = s["feature"], s["cut"]
-                if level == self.depth - 1:
-                    sides = ((s["g_left"], s["h_left"]), (s["g"] - s["g_left"], s["h"] - s["h_left"]))
-                    for side, (g, h) in enumerate(sides):
-                        tree.leaf[2 * s["node"] + side] = -RATE * g / (h + RIDGE) if h > 0 else 0.0
+        """One more tree per model and class. A level is a pass; a table of a single partition needs one job a round."""
+        trees = self.new_trees()
+        if tasks == 1:
+            splits = self.whole_round(rows, since).collect()
+            for level in range(self.depth):
+                self.place(trees, level, [tuple(s)[:-1] for s in splits if s["level"] == level])
+        else:
+            for level in range(self.depth):
+                self.place(trees, level, map(tuple, self.best_splits(rows, trees, level, since).collect()))
         self.rounds.append(trees)
 
     def with_margins(self, rows: DataFrame, since: int) -> DataFrame:
@@ -209,7 +247,7 @@ class Growing:
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 if len(frame):
-                    bins = np.frombuffer(b"".join(frame["bins"]), dtype=np.uint8).reshape(len(frame), -1).astype(np.int64)
+                    bins = bins_of(frame)
                     yield frame.assign(margins=[m.tobytes() for m in grown.margins(frame, bins)])
 
         return rows.mapInPandas(run, rows.schema)
@@ -312,17 +350,17 @@ class Boosting(Estimator, _BoostingParams, HasLabelCol, HasWeightCol):
         def judged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 if len(frame):
-                    bins = np.frombuffer(b"".join(frame["bins"]), dtype=np.uint8).reshape(len(frame), -1).astype(np.int64)
+                    bins = bins_of(frame)
                     margin = recent.margins(frame, bins)[np.arange(len(frame)), frame["fold"].to_numpy()]
                     guess = margin[:, 0] if recent.loss == "squared" else shares(recent.loss, margin).argmax(axis=1).astype(float)
                     yield pd.DataFrame({"fold": frame["fold"], "label": frame["label"], "guess": guess})
 
-        told = table.mapInPandas(judged, "fold int, label double, guess double").groupBy("fold")
+        guesses = table.mapInPandas(judged, "fold int, label double, guess double").groupBy("fold")
         if grown.loss == "squared":
             score = 1 - F.sum((F.col("label") - F.col("guess")) ** 2) / (F.var_pop("label") * F.count("*"))
         else:
             score = F.avg((F.col("label") == F.col("guess")).cast("double"))
-        return self._model(grown, cuts), [r[1] for r in told.agg(score.alias("score")).orderBy("fold").collect()]
+        return self._model(grown, cuts), [r[1] for r in guesses.agg(score.alias("score")).orderBy("fold").collect()]
 
 
 class BoostingModel(Model, _BoostingParams, DefaultParamsReadable, DefaultParamsWritable):
@@ -330,10 +368,10 @@ class BoostingModel(Model, _BoostingParams, DefaultParamsReadable, DefaultParams
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         ship_code(dataset.sparkSession)
-        told, loss = self.getOrDefault(self.forest), self.getOrDefault(self.loss)
+        text, loss = self.getOrDefault(self.forest), self.getOrDefault(self.loss)
 
         def margins(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            forest = json.loads(told)
+            forest = json.loads(text)
             base = np.array(forest["base"])
             trees = []
             for of in forest["trees"]:

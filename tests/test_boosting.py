@@ -54,6 +54,22 @@ def test_first_round_equals_plain_sums_and_splits(spark):
                 assert tree.leaf[leaf] == pytest.approx(want, abs=1e-9)
 
 
+@pytest.mark.parametrize("loss", ["softmax", "squared"])
+def test_one_partition_gives_the_same_trees_as_many(spark, loss):
+    x, y = three_classes(300)
+    rows = table(spark, x, y)
+    first, _, stored, _ = B.grow(rows, loss, 2, 0, 3)  # the binned rows, no round yet
+    found = []
+    for df, tasks in ((stored.repartition(3), 3), (stored.coalesce(1), 1)):
+        grown = B.Growing(loss, first.classes, 3, 3, first.base)
+        grown.grow_round(df, 0, tasks)
+        grown.grow_round(df, 0, tasks)
+        found.append([t for r in grown.rounds for of in r for t in of])
+    for a, b in zip(*found):
+        assert a.feature.tolist() == b.feature.tolist() and a.cut.tolist() == b.cut.tolist()
+        assert np.allclose(a.leaf, b.leaf)
+
+
 def test_histograms_equal_brute_force():
     draw = np.random.default_rng(2)
     bins, node, g, h = draw.integers(0, 8, (50, 3)), draw.integers(0, 4, 50), draw.random(50), draw.random(50)
