@@ -192,17 +192,40 @@ def test_base_score_is_exact_and_model_helps(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_filter_levels(spark):
-    rows = [(k, int(x), 2 ** (i % 12) + (k == 1)) for k in (0, 1) for i, x in enumerate(np.random.default_rng(k).integers(-(2**62), 2**62, 3000))]
-    counts = spark.createDataFrame(rows, "kind int, key long, n long")
-    for size, exact in ((1 << 20, True), (1 << 10, False)):
-        f = lm.build_filter(counts, size)
-        assert len(f.bits) <= max(size, 8 * lm.SEGMENTS)
-        if exact:
-            keys, n = (np.array([r[j] for r in rows if r[0] == 0]) for j in (1, 2))
-            ratio = f.counts(keys, 0) / n
-            assert (ratio > 0.6).all() and np.mean(ratio < 1.6) > 0.95  # probes err upwards only
-            assert np.mean(f.counts(np.arange(5000, dtype=np.int64), 0) > 0) < 0.05
+def test_filter_levels():
+    draw = np.random.default_rng(5)
+    keys, n = draw.integers(-(2**62), 2**62, 3000), 2 ** (np.arange(3000) % 12)
+    bits = np.frombuffer(lm.fill([(lm.PAIRS, keys, lm.level_of(n, 2.0))]), np.uint8)
+    block = lm.Block(bits, {lm.PAIRS: np.zeros(1, np.uint64)}, {lm.PAIRS: np.array([len(bits) * 8], np.uint64)})
+    found = block.levels(keys, lm.PAIRS)
+    assert (found >= lm.level_of(n, 2.0)).all() and np.mean(found == lm.level_of(n, 2.0)) > 0.97  # probes err upwards only
+    assert np.mean(block.levels(np.arange(5000), lm.PAIRS) > 0) < 0.02
+
+
+def test_blocks_do_not_change_scores(spark):
+    docs = documents(spark, [(i, f"{prose(i % 9, 40)} {prose(i, 15)}") for i in range(60)] + [(90, None), (91, "")])
+    whole, cut = ({r.doc_id: r.score for r in lm.score_documents(docs, block_bytes=b).collect()} for b in (1 << 20, 500))
+    assert whole == cut
+
+
+def test_probabilities_add_up(spark):
+    texts = [f"{prose(i % 9, 40)} {prose(i, 15)}" for i in range(200)]
+    model = lm.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    block = next(iter(model.blocks()))
+    known = lm.WordKeys()
+    _, key, _ = lm._flat(texts, known)
+    vocabulary = np.unique(key)
+    assert len(vocabulary) == model.v and len(key) == model.n
+    seen = {p for t in texts for p in (lambda k, b: lm.pair_keys(b, k).tolist())(*lm._flat([t], known)[1:])}
+    given, exact = [], []
+    for c in [lm.START, *np.unique(key[key != lm.END])[:60]]:
+        before = np.full(len(vocabulary), c)
+        levels = block.token_levels(vocabulary, before)
+        given.append(model.probability(levels).sum())
+        levels[[p not in seen for p in lm.pair_keys(before, vocabulary).tolist()], lm.PAIRS] = 0
+        exact.append(model.probability(levels).sum())
+    assert abs(np.mean(given) - 1) < 0.02  # a false positive moves the sum of a rare word
+    assert np.mean(np.abs(np.array(exact) - 1) < 0.02) > 0.95  # a sum may be read one level too high
 
 
 # 3: tokens
