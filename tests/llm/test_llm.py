@@ -195,8 +195,8 @@ def test_base_score_is_exact_and_model_helps(spark):
 def test_filter_levels():
     draw = np.random.default_rng(5)
     keys, n = draw.integers(-(2**62), 2**62, 3000), 2 ** (np.arange(3000) % 12)
-    bits = np.frombuffer(lm.fill([(lm.PAIRS, keys, lm.level_of(n, 2.0))]), np.uint8)
-    block = lm.Block(bits, {lm.PAIRS: np.zeros(1, np.uint64)}, {lm.PAIRS: np.array([len(bits) * 8], np.uint64)})
+    bits = np.frombuffer(lm.fill([(lm.PAIRS, keys, lm.level_of(n, 2.0))]), np.uint64)
+    block = lm.Block(bits, {lm.PAIRS: np.zeros(1, np.uint64)}, {lm.PAIRS: np.array([len(bits)], np.uint64)})
     found = block.levels(keys, lm.PAIRS)
     assert (found >= lm.level_of(n, 2.0)).all() and np.mean(found == lm.level_of(n, 2.0)) > 0.97  # probes err upwards only
     assert np.mean(block.levels(np.arange(5000), lm.PAIRS) > 0) < 0.02
