@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import itertools
 import math
+import random
 import re
 import zlib
 
@@ -447,6 +449,58 @@ def test_passages_with_substitutions_are_found(spark, benchmark):
     assert {r.doc_id for r in decontaminate.decontaminate(docs, benchmark).collect()} == {3, 4, 5}
 
 
+def test_every_permitted_placement_keeps_a_seed():
+    for length in range(1, 21):
+        changes = length // 5 if length >= decontaminate.SHORT else 0
+        reads = [
+            {at + start + k for start in mask or (0,) for k in range(2 if mask else 1)}
+            for mask in decontaminate.masks_of(length)
+            for at in range(length - decontaminate._span(mask) + 1)
+        ]
+        for lost in itertools.combinations(range(length), changes):
+            assert any(not r & set(lost) for r in reads), (length, lost)
+
+
+def brute_overlaps(docs, items):
+    """Every item over every place of every document, all windows."""
+    words = lambda text: [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
+    out = {}
+    for doc_id, text in docs:
+        have = words(text)
+        for item_id, item in items:
+            want = words(item)
+            span = min(len(want), decontaminate.WINDOW)
+            for at in range(-len(want) + 1, len(have)) if want else ():
+                equal = [0 <= at + i < len(have) and have[at + i] == w for i, w in enumerate(want)]
+                share = max(sum(equal[s : s + span]) for s in range(len(want) - span + 1)) / span
+                if share >= (1.0 if len(want) < decontaminate.SHORT else decontaminate.MATCHED):
+                    out[doc_id, item_id] = max(out.get((doc_id, item_id), 0), share)
+    return out
+
+
+def test_items_of_every_length_are_found_as_by_brute_force(spark):
+    draw = random.Random(3)
+    items, texts = [(100, ""), (101, None)], []
+    for length in [*range(1, 24), 41, 60]:
+        item = [f"w{length}x{i}" for i in range(length)]
+        items.append((length, " ".join(item)))
+        for changes in range(0, 6):
+            for _ in range(3):
+                changed = list(item)
+                for i in draw.sample(range(length), min(changes, length)):
+                    changed[i] = "other"
+                texts.append(f"{prose(len(texts), 9)} {' '.join(changed)} {prose(7, 3)}")
+    texts += ["", None, " ".join(["w3x0 w3x1"] * 5000), "w1x0", "W1X0 w1x0 w2x0, w2x1"]
+    docs = list(enumerate(texts))
+    frame = spark.createDataFrame(items, "item_id long, text string").union(
+        spark.createDataFrame(items[:4], "item_id long, text string")
+    )
+    got = decontaminate.overlaps(documents(spark, docs), frame).collect()
+    want = brute_overlaps(docs, items)
+    assert {(r.doc_id, r.item_id): r.matched for r in got} == want and len(got) == len(want)
+    assert decontaminate.overlaps(documents(spark, docs), frame.where("item_id >= 100")).count() == 0
+
+
 # 7: vectors
 
 
