@@ -1,6 +1,7 @@
 """Named queries over the domain, each with independent check SQL where SQL can express it."""
 
 from matchlight.queries import (  # noqa: F401
+    activity,
     events,
     features,
     frames,
