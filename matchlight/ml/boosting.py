@@ -270,6 +270,7 @@ def grow(rows: DataFrame, loss: str, folds: int, rounds: int, depth: int) -> tup
             F.col("label").cast("double").alias("label"),
             F.col("weight").cast("double").alias("weight"),
             fold.alias("fold"),
+            (F.col("real") if "real" in rows.columns else F.lit(1.0)).alias("real"),
             F.lit(None).cast("binary").alias("margins"),
         ),
         "binned",
@@ -327,6 +328,7 @@ class Boosting(Estimator, _BoostingParams, HasLabelCol, HasWeightCol):
         rows = dataset.select(
             F.col(self.getFeaturesCol()).alias("features"), F.col(self.getLabelCol()).alias("label"), weight.alias("weight"),
             *(["fold"] if folds else []),
+            *(["real"] if "real" in dataset.columns else []),
         )
         get = self.getOrDefault
         return grow(rows, get(self.loss), folds, get(self.rounds), get(self.depth))
@@ -343,12 +345,16 @@ class Boosting(Estimator, _BoostingParams, HasLabelCol, HasWeightCol):
         return self._model(grown, cuts)
 
     def cross_validate(self, dataset: DataFrame, folds: int) -> tuple[BoostingModel, list[float]]:
-        """The model of all rows, and for each fold (column ``fold``) the accuracy or R2 on its rows of the model without it."""
+        """The model of all rows, and for each fold (column ``fold``) the accuracy or R2 on its rows of the model without it.
+
+        Rows with 0 in a column ``real`` take part in training and are not judged.
+        """
         grown, cuts, table, since = self._grow(dataset, folds)
         recent = grown.recent(since)
 
         def judged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
+                frame = frame[frame["real"] > 0]
                 if len(frame):
                     bins = bins_of(frame)
                     margin = recent.margins(frame, bins)[np.arange(len(frame)), frame["fold"].to_numpy()]

@@ -196,12 +196,13 @@ def train(
     ready = shared.transform(train_rows)
     if balance:
         ready = with_synthetic(ready, target)
-    keep = ["label", "features", "fold"] + ([WEIGHT] if target.kind != "regression" else [])
+    keep = ["label", "features", "fold"] + ([WEIGHT] if target.kind != "regression" else []) + (["real"] if balance else [])
     ready = stored(ready.select(*keep), f"ready-{target.name}")
     judge = evaluator(target)
+    fold_judge = judge.copy({judge.weightCol: "real"}) if balance else judge
     fitted, scores = {}, []
     for name in models or target.models:
-        fit_stages, mean, spread = validate(ready, estimator(target, name, size), (grid or {}).get(name, {}), judge, size)
+        fit_stages, mean, spread = validate(ready, estimator(target, name, size), (grid or {}).get(name, {}), fold_judge, size)
         whole = PipelineModel(stages=[*shared.stages, *fit_stages])
         fitted[name] = whole
         scores.append((name, mean, 2 * spread, *holdout(whole.transform(test_rows), judge, target)))
@@ -261,25 +262,35 @@ def fit_one(rows: DataFrame, target: Target, model: str, size: Size = Size()) ->
 def with_synthetic(ready: DataFrame, target: Target) -> DataFrame:
     """Add synthetic rows of the smaller class until both are about equal.
 
-    The fold of a synthetic row is the fold of its origin.
+    A synthetic row lies between two rows of one fold and belongs to it, so a fold's training rows do not depend on
+    the rows held out from it. The fold, times more than the spread of the features, is one more coordinate of the
+    neighbour search, which therefore looks into the own fold first. Where that holds fewer rows than neighbours are
+    asked for, a neighbour of another fold is passed over and the row itself is repeated. ``real`` is 1 for
+    given and 0 for synthetic rows; only given rows are judged.
     """
+    given = ready.withColumn("real", F.lit(1.0))
     sizes = ready.groupBy("label").agg(F.count("*").alias("n")).collect()
     counts = {row["label"]: row["n"] for row in sizes}
     if len(counts) != 2:
-        return ready
+        return given
     small = min(counts, key=lambda c: (counts[c], c))
     large = max(counts.values())
     copies = large / counts[small] - 1
     if copies == 0:
-        return ready
+        return given
     keyed = ready.withColumn("row_id", pair_key(F.col("player_id"), F.col("game_id")))
-    minority = keyed.filter(F.col("label") == small)
-    made = smote(minority.select("row_id", vector_to_array("features").alias("vec")), "row_id", copies)
-    origin = minority.select("row_id", "label", "fold", WEIGHT)
+    minority = keyed.filter(F.col("label") == small).withColumn("own", vector_to_array("features"))
+    square = F.aggregate("own", F.lit(0.0), lambda a, x: a + x * x)
+    apart = 1.0 + 4.0 * float(np.sqrt(minority.agg(F.max(square)).first()[0]))  # over twice what lies between two rows
+    side = F.col("fold") * F.lit(apart)
+    made = smote(minority.select("row_id", F.array_append("own", side).alias("vec")), "row_id", copies)
+    origin = minority.select("row_id", "label", "fold", WEIGHT, "own")
+    inside = F.element_at("vec", -1) == side
+    between = F.when(inside, F.slice("vec", F.lit(1), F.size("own"))).otherwise(F.col("own"))
     synthetic = made.join(origin, "row_id").select(
-        "label", array_to_vector("vec").alias("features"), "fold", WEIGHT
+        "label", array_to_vector(between).alias("features"), "fold", WEIGHT, F.lit(0.0).alias("real")
     )
-    both = ready.select("label", "features", "fold", WEIGHT).unionByName(synthetic)
+    both = given.select("label", "features", "fold", WEIGHT, "real").unionByName(synthetic)
     return both.withColumn(WEIGHT, F.lit(1.0))  # balanced rows need no class weight
 
 

@@ -84,6 +84,46 @@ def test_synthetic_rows_balance_the_classes(rows):
     assert min(after.values()) > 0.8 * max(after.values())
 
 
+def made_features(spark, moved=None):
+    """Forty rows of two classes in two folds; class 1 of a fold may be moved far away. Fold 2 has two rows of class 1."""
+    from pyspark.ml.functions import array_to_vector
+
+    def row(i):
+        label, fold = float(i % 4 == 0), i // 4 % 2 if i < 72 else 2
+        shift = 1000.0 if moved == fold and label else 0.0
+        return (i, i % 3, label, fold, 1.0, [shift + (i * 37 % 11) / 3, shift + (i * 53 % 7) / 5])
+
+    df = spark.createDataFrame([row(i) for i in range(80)], "player_id long, game_id long, label double, fold int, weight double, x array<double>")
+    return df.withColumn("features", array_to_vector("x")).withColumnRenamed("weight", M.WEIGHT).drop("x")
+
+
+def test_synthetic_rows_depend_on_their_own_fold_only(spark):
+    def by_fold(moved):
+        out = M.with_synthetic(made_features(spark, moved), T.CHURN).filter("real = 0").collect()
+        return {f: sorted(tuple(round(x, 9) for x in r.features) for r in out if r.fold == f) for f in (0, 1, 2)}
+
+    plain, moved = by_fold(None), by_fold(1)
+    assert plain[0] == moved[0] and plain[2] == moved[2] and all(plain.values())
+    assert all(x[0] >= 1000 for x in moved[1]) and len(moved[1]) == len(plain[1])
+
+
+def test_folds_are_judged_on_given_rows(spark):
+    from matchlight.ml.boosting import Boosting
+
+    both = M.with_synthetic(made_features(spark).filter("fold < 2"), T.CHURN)
+    # Every synthetic row gets a label the features speak against; it would be judged wrong.
+    judged = both.filter("real = 1").unionByName(both.filter("real = 1").withColumn("label", 1 - F.col("label")).withColumn(M.WEIGHT, F.lit(1e-9)).withColumn("real", F.lit(0.0)))
+    booster = Boosting(featuresCol="features", labelCol="label", weightCol=M.WEIGHT, loss="logistic", rounds=2, depth=2)
+    with_them = booster.cross_validate(judged, 2)[1]
+    without = booster.cross_validate(both.filter("real = 1"), 2)[1]
+    assert with_them == pytest.approx(without, abs=1e-6) and len(with_them) == 2
+
+
+def test_training_with_synthetic_rows(rows):
+    out = M.train(rows, T.CHURN, models=("logistic", "gradient_boosting"), size=TINY, balance=True)
+    assert all(0.5 < mean <= 1 for _, mean, *_ in out.scores)
+
+
 def test_unknown_model_is_refused():
     with pytest.raises(ValueError):
         M.estimator(T.CHURN, "magic")
