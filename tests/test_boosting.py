@@ -118,3 +118,24 @@ def test_saved_model_gives_the_same(spark, tmp_path):
     assert get(model) == get(again)
     out = model.transform(rows).first()
     assert abs(sum(out.probability) - 1) < 1e-12 and len(out.rawPrediction) == 3
+
+
+def test_a_pass_holds_bytes_and_equals_lookups_by_row():
+    draw = np.random.default_rng(3)
+    import pandas as pd
+
+    plain = draw.integers(0, 64, (400, 5)).astype(np.uint8)
+    bins = B.bins_of(pd.DataFrame({"bins": [b.tobytes() for b in plain]}))
+    assert bins.dtype == np.uint8 and bins.flags.f_contiguous and (bins == plain).all()
+    tree = B.Tree(4)
+    tree.feature[:], tree.cut[:] = draw.integers(0, 5, 15), draw.integers(0, 63, 15)
+    tree.cut[2] = B.LEFT
+    want = []
+    for row in plain.astype(int):
+        node = 0
+        for level in range(4):
+            at = 2**level - 1 + node
+            node = 2 * node + int(row[tree.feature[at]] > tree.cut[at])
+        want.append(node)
+    assert tree.nodes(bins, 4).tolist() == want
+    assert B.walk([tree], bins, 4).nbytes == 400

@@ -212,3 +212,17 @@ def test_three_class_vote_takes_the_largest_mean(rows):
     for r in voted[:50]:
         mean = [(a + b) / 2 for a, b in zip(r.p_random_forest, r.p_svm)]
         assert r.prediction == labels[max(range(len(labels)), key=lambda i: (round(mean[i], 6), -i))]
+
+
+def test_tasks_side_by_side_run_at_the_same_time_and_keep_their_order(spark):
+    import threading
+
+    from matchlight.session import side_by_side
+
+    meet = threading.Barrier(2, timeout=60)
+
+    def task(n):
+        meet.wait()
+        return spark.range(n).count()
+
+    assert side_by_side(spark, [lambda: task(3), lambda: task(5)], 2) == [3, 5]
