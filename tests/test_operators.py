@@ -198,3 +198,21 @@ def test_nearest_without_self_and_smote(spark):
     assert all(low[j] <= r["vec"][j] <= high[j] for r in made for j in (0, 1))
     again = smote(df.repartition(7), "id", copies=3, k=4, pivots=5).collect()
     assert sorted((r["id"], r["copy"], r["vec"]) for r in made) == sorted((r["id"], r["copy"], r["vec"]) for r in again)
+
+
+def test_cells_within_reach_take_bounded_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    from matchlight.operators.neighbors import _cells_within_reach
+
+    draw = np.random.default_rng(5)
+    vecs, centers = draw.random((10_000, 4)), draw.random((300, 4))
+    cell, reach = np.repeat(np.arange(300), 5), draw.random(1500) * 0.1
+    tracemalloc.start()
+    near = _cells_within_reach(vecs, centers, np.full(300, 0.1), cell, reach, np.ones(1500, dtype=int), 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert near.shape == (10_000, 300) and near.any(axis=1).all()
+    assert peak < 80 << 20  # a matrix of all rows takes 120 MB, and five of them were held
