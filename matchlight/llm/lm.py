@@ -40,7 +40,6 @@ BITS_AT_ONCE = 5  # bits set in one 64-bit cell, so that a probe reads one cell
 HEAD = 200_000
 BASE = 1.5  # a level of words and of first words is one factor of this
 FINE = 10  # steps within a level of first words
-PAIR_LEAST = 2  # pairs seen once tell nothing that the smoothing does not; levels of pairs are factors of 2
 SMOOTHING = 20.0
 BUFFER = 1_500_000
 KNOWN_KEYS = 60_000
@@ -132,9 +131,15 @@ def level_of(n: np.ndarray, base: float) -> np.ndarray:
     return np.minimum(np.floor(np.log(n) / np.log(base) + 1e-9), MOST - 1).astype(np.int64)
 
 
+def pair_levels(n: np.ndarray) -> np.ndarray:
+    """Levels of pairs are factors of 2: pairs seen once have level 1, and no pair has 0."""
+    return level_of(n, 2.0) + 1
+
+
 def pair_value(level: np.ndarray) -> np.ndarray:
     """The count that a level of pairs stands for; 0 outside."""
-    return np.where(level > 0, 1.25 * 2.0 ** level.astype(np.float64), 0.0)
+    level = level.astype(np.float64)
+    return np.where(level > 1, 1.25 * 2.0 ** (level - 1), level)
 
 
 def context_value(level: np.ndarray, step: np.ndarray) -> np.ndarray:
@@ -160,7 +165,9 @@ def _cells(keys: np.ndarray, kind: int, level: int) -> Iterator[tuple[np.ndarray
 
 def fill(entries: list[tuple[int, np.ndarray, np.ndarray]]) -> bytes:
     """A Bloom filter sized for (kind, keys, level): each key once with every number up to its level."""
-    cells = max(1, -(-int(sum(level.sum() for _, _, level in entries)) * BITS_EACH // 64))
+    # The first level of a pair sets the bits of two cells.
+    insertions = sum(level.sum() + (np.count_nonzero(level) if kind == PAIRS else 0) for kind, _, level in entries)
+    cells = max(1, -(-int(insertions) * BITS_EACH // 64))
     bits = np.zeros(cells, dtype=np.uint64)
     for kind, keys, level in entries:
         step = 1
@@ -309,7 +316,7 @@ def train(texts: DataFrame, segment_chars: int = SEGMENT_CHARS) -> Model:
                 bits = fill([(WORDS, keys, level_of(n, BASE) + 1)])
                 rows.append({"kind": WORDS, "segment": group[0], "keys": keys.tobytes(), "n": n.tobytes(), "bits": bits})
                 continue
-            keys, level = keys[n >= PAIR_LEAST], level_of(n[n >= PAIR_LEAST], 2.0)
+            level = pair_levels(n)
             rows.append({"kind": PAIRS, "segment": group[0], "keys": b"", "n": b"", "bits": fill([(PAIRS, keys, level)])})
             first, mass = _summed(context_keys(keys), pair_value(level))
             rows += [r | {"bits": b""} for r in _packed(CONTEXTS, first, mass, context_segments)]

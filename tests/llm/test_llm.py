@@ -674,3 +674,11 @@ def test_all_licenses_of_a_block_are_found(spark):
     assert {n for _, n in found[0]} == {"MIT", "ISC", "BSD-2-Clause"}
     assert {n for _, n in found[1]} == {"Apache-2.0", "MIT"}
     assert found[2] == [(1, "Apache-2.0")] and found[3] == [(0, "Apache-2.0")]
+
+
+def test_pairs_seen_once_are_in_the_filter(spark):
+    model = lm.train(spark.createDataFrame([("alpha beta gamma",), ("delta beta",)], "text string"))
+    block = next(iter(model.blocks()))
+    _, key, before = lm._flat(["alpha beta gamma", "delta beta"], lm.WordKeys())
+    levels = block.levels(lm.pair_keys(before, key), lm.PAIRS)
+    assert (levels >= 1).all() and lm.pair_value(lm.pair_levels(np.array([1, 2, 3]))).tolist() == [1.0, 2.5, 2.5]
