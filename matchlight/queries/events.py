@@ -197,12 +197,19 @@ def _(d):
 # --- streams ----------------------------------------------------------------------------------
 
 
+MESSAGES_PER_FILE = 500_000
+
+
 def run_match_stream(d, parts: int = 3):
-    """Write the messages as JSON files, ingest them as a stream and return the store."""
+    """Write the messages as JSON files, ingest them as a stream, two files of three at a time, and return the store.
+
+    A compressed file is read by one task, so the number of files follows the number of messages.
+    """
     root = scratch_path(d.spark, "match-ingest")
-    d.match_messages.repartition(parts).write.json(f"{root}/inbox")
+    parts = max(parts, -(-d.matches.count() // MESSAGES_PER_FILE))
+    d.match_messages.repartition(parts).write.option("compression", "gzip").json(f"{root}/inbox")
     store = I.EventStore(d.spark, f"{root}/tables")
-    stream = I.message_stream(d.spark, f"{root}/inbox", files_per_batch=2)
+    stream = I.message_stream(d.spark, f"{root}/inbox", files_per_batch=-(-2 * parts // 3))
     I.start_match_ingest(
         stream, store, d.game_names, d.players, f"{root}/checkpoint", d.as_of
     ).awaitTermination()
@@ -262,7 +269,8 @@ def run_changes(d, *messages):
     root = scratch_path(d.spark, "match-changes")
     store = I.EventStore(d.spark, f"{root}/tables")
     for part in (d.match_messages, *messages):
-        part.coalesce(2).write.mode("append").json(f"{root}/inbox")
+        # No fewer tasks than the tables have: one that works off many partitions adds up their memory.
+        part.write.mode("append").json(f"{root}/inbox")
         stream = I.message_stream(d.spark, f"{root}/inbox")
         I.start_match_ingest(stream, store, d.game_names, d.players, f"{root}/checkpoint", d.as_of).awaitTermination()
     return store

@@ -192,3 +192,25 @@ def test_rejected_signups_are_kept(spark, tmp_path):
     assert sorted(r.reject_reason for r in store.rejected_signups().collect()) == ["bad_id", "bad_json", "bad_json", "missing_field"]
     as_text = E.decode_signups(spark.createDataFrame([(b,) for b in bodies], "body string"), "string")
     assert sorted(r.player_id for r in as_text.collect()) == ["5", "x1"]
+
+
+def test_message_files_follow_the_rows_and_no_task_works_off_many_partitions(spark, monkeypatch):
+    from pathlib import Path
+    from types import SimpleNamespace
+
+    from matchlight.queries import events as queries
+
+    monkeypatch.setattr(queries.I, "start_match_ingest", lambda *_: SimpleNamespace(awaitTermination=lambda: None))
+    monkeypatch.setattr(queries, "MESSAGES_PER_FILE", 10, raising=False)
+    messages = spark.range(0, 95, 1, 6).selectExpr("'game.over' as routing_key", "cast(id as string) as body")
+    d = SimpleNamespace(spark=spark, match_messages=messages, matches=messages, game_names=None, players=None, as_of=None)
+
+    def files(store):
+        inbox = Path(store.root.removeprefix("file:")).parent / "inbox"
+        found = [f.name for f in inbox.iterdir() if f.name.startswith("part-")]
+        assert spark.read.json(str(inbox)).count() == 95
+        return found
+
+    assert len(files(queries.run_changes(d))) == 6
+    written = files(queries.run_match_stream(d))
+    assert len(written) == 10 and all(name.endswith(".gz") for name in written)
