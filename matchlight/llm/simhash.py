@@ -9,7 +9,8 @@ key joins such a codeword with some bits that must be equal.
 For 64 bits and at most 3 differing bits the keys miss nothing: of four 16-bit quarters at least
 one has no error; of the two halves of the other 48 bits at least one has at most one. For longer
 fingerprints and larger distances the keys are drawn at random (seeded) and the recall is
-a matter of how many there are.
+a matter of how many there are. ``keep_one`` takes its candidates from the former; pairs at the limit of
+similarity, whose fingerprints differ in more bits, come from MinHash keys beside them.
 
 Fingerprints that share a key are compared. What leaves a group is a spanning forest of its links,
 never all its pairs; groups over ``GROUP_ROWS`` are cut into blocks and every pair of blocks is
@@ -373,7 +374,8 @@ SHINGLE = 5
 SIMILAR = 0.8
 LANES = 8  # fingerprints of 512 bits are a loose filter: what passes is compared exactly
 LOOSE = 0.11  # three standard errors of the similarity that 512 bits estimate
-BANDS, BAND = 16, 4  # keys: a pair at similarity s shares one with probability 1 - (1 - s ** 4) ** 16
+CLOSE = 3  # differing bits of the first 64 at which the Golay keys miss no pair
+BANDS, BAND = 16, 4  # keys of pairs beyond: a pair at similarity s shares one with probability 1 - (1 - s ** 4) ** 16
 BLOCK_SHINGLES = 1 << 20
 VERIFY_SHINGLES = 1 << 21  # of a frame compared at once
 
@@ -441,9 +443,10 @@ def _similarity(differing, bits: int, a, b):
 def similar_documents(docs: DataFrame, similar: float = SIMILAR, slack: float = LOOSE) -> DataFrame:
     """(doc_id, text_key, shingles, component_id, f0, ...): near-duplicate classes of documents.
 
-    Candidates share a key and have an estimated similarity of ``similar`` less ``slack`` from 512
-    bits (and less 1 / shingles, as the estimate is biased for short texts). They make loose classes; inside
-    those the shingle sets are compared exactly. At similarity 0.8 a pair shares a key with probability 0.9998.
+    Candidates are all pairs within ``CLOSE`` of the first 64 bits, found by their Golay keys, and pairs that share
+    a MinHash key and have an estimated similarity of ``similar`` less ``slack`` from 512 bits (and less 1 / shingles,
+    as the estimate is biased for short texts). They make loose classes; inside those the shingle sets are compared
+    exactly. At similarity 0.8 a pair shares a MinHash key with probability 0.9998.
     """
     prepare(docs.sparkSession)
     names = [f"f{i}" for i in range(LANES)]
@@ -490,8 +493,12 @@ def similar_documents(docs: DataFrame, similar: float = SIMILAR, slack: float =
             made.groupBy(*names).agg(F.min(row).alias("row")).select(F.xxhash64(*names).alias("node"), *names, "row.*"),
             "sets",
         ).where("shingles > 0")
-        cells = one.select(F.explode("cells").alias("cell"), "node", "shingles", *names)
-        loose = components(_dealt(cells, likely))
+        near = link(one.select("node", names[0]), names[:1], CLOSE, exact_plan())
+        # Fingerprints travel only to keys that two nodes share.
+        cells = one.select(F.explode("cells").alias("cell"), "node").repartition("cell")
+        shared = cells.join(cells.groupBy("cell").count().where("count > 1"), "cell", "left_semi")
+        cells = shared.join(one.select("node", "shingles", *names), "node").select("cell", "node", "shingles", *names)
+        loose = components(stored(near.unionByName(_dealt(cells, likely)), "candidate-links"))
         asked = stored(one.select("node", "doc_id", "text_key", "shingles").join(loose, "node"), "candidates")
         sizes = asked.groupBy("component").agg(F.ceil(F.sum("shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
         wanted = asked.join(sizes, "component").select(

@@ -364,6 +364,21 @@ def test_one_of_each_near_duplicate_class_stays(spark):
     assert kept == {6 * g for g in range(12)} | set(range(len(texts), len(texts) + 40))
 
 
+def test_fingerprints_within_three_bits_are_candidates(spark, monkeypatch):
+    """Near copies that share no MinHash key are found by the Golay keys of their fingerprints."""
+    monkeypatch.setattr(simhash, "bands", lambda hashes: np.arange(16) + int(hashes.sum() >> np.uint64(8)) * 32)
+    texts = []
+    for g in range(12):
+        words = prose(70 + g, 1500).split()
+        pair = [" ".join(words), " ".join([*words[:700], "changed", *words[701:]])]
+        first, second = (int(simhash.of_set(simhash.shingle_set(t), 1)[0]) for t in pair)
+        if 0 < (first ^ second).bit_count() <= 3:
+            texts += pair
+    assert len(texts) > 8
+    docs = documents(spark, list(enumerate(texts)))
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(range(0, len(texts), 2))
+
+
 def test_a_link_that_fails_does_not_displace_one_that_holds(spark):
     draw = np.random.default_rng(1405)  # on the first 128 bits a and b are farther from each other than from c
     a = [f"w{i}" for i in draw.integers(0, 10**6, 304)]
