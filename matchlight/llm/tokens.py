@@ -3,7 +3,8 @@
 The best segmentation of a pre-token into vocabulary pieces is found by forward scores: the best score of
 a prefix needs the best scores of shorter prefixes only. So a trie over the distinct pre-tokens of
 a task holds one score per node, computed once for all pre-tokens that share the prefix, and the
-number of pieces at the nodes where a pre-token ends.
+number of pieces at the nodes where a pre-token ends. The pieces that end at a place are found from the shortest
+to the longest; where no piece ends like that, no longer one does.
 """
 
 from __future__ import annotations
@@ -45,51 +46,59 @@ class Trie:
     """Distinct pre-tokens with forward scores; at most about ``TRIE_NODES`` nodes, then it starts anew."""
 
     def __init__(self, vocabulary: dict[str, float], nodes: int = TRIE_NODES):
-        self.vocabulary = vocabulary
-        self.longest = max(map(len, vocabulary), default=1)
+        # Every ending of a piece, with the piece's score if it is one itself.
+        self.endings: dict[str, float | None] = {}
+        for piece in vocabulary:
+            for start in range(len(piece) - 1, 0, -1):
+                self.endings.setdefault(piece[start:])
+        self.endings.update(vocabulary)
         self.nodes = nodes
         self._clear()
 
     def _clear(self) -> None:
-        self.child: dict[tuple[int, str], int] = {}
+        self.node: dict[str, int] = {}  # of every prefix met
+        self.parent = [0]
         self.score = [0.0]
         self.pieces = [0]
         self.unknown = [0]
-        self.terminal: dict[str, tuple[int, int]] = {}
 
     def count(self, token: str) -> tuple[int, int]:
         """(pieces, bytes outside the vocabulary) of the best segmentation.
 
         Of segmentations with equal scores the one with fewer pieces counts.
         """
-        known = self.terminal.get(token)
-        if known is None:
+        node = self.node.get(token)
+        if node is None:
             if len(self.score) > self.nodes:
                 self._clear()
-            known = self.terminal[token] = self._insert(token)
-        return known
+            node = self._insert(token)
+        return self.pieces[node], self.unknown[node]
 
-    def _insert(self, token: str) -> tuple[int, int]:
-        path, child, vocabulary = [0], self.child, self.vocabulary
+    def _insert(self, token: str) -> int:
+        nodes, endings, parent = self.node, self.endings.get, self.parent
         score, pieces, unknown = self.score, self.pieces, self.unknown
-        for end in range(1, len(token) + 1):
-            key = (path[-1], token[end - 1])
-            node = child.get(key)
-            if node is None:
-                width = len(token[end - 1].encode())
-                before = path[end - 1]
-                best = (score[before] + UNKNOWN * width, -pieces[before] - width, -unknown[before] - width)
-                for start in range(max(0, end - self.longest), end):
-                    gain = vocabulary.get(token[start:end])
-                    if gain is not None:
-                        at = path[start]
-                        best = max(best, (score[at] + gain, -pieces[at] - 1, -unknown[at]))
-                node = child[key] = len(score)
-                score.append(best[0])
-                pieces.append(-best[1])
-                unknown.append(-best[2])
-            path.append(node)
-        return pieces[path[-1]], unknown[path[-1]]
+        known, node = len(token), 0
+        while known and (node := nodes.get(token[:known], 0)) == 0:
+            known -= 1
+        for end in range(known + 1, len(token) + 1):
+            width = len(token[end - 1].encode())
+            best, most, outside = score[node] + UNKNOWN * width, pieces[node] + width, unknown[node] + width
+            at = node  # the prefix before the piece
+            for start in range(end - 1, -1, -1):
+                gain = endings(token[start:end], False)
+                if gain is False:
+                    break
+                if gain is not None:
+                    total = score[at] + gain
+                    if total > best or total == best and (pieces[at] + 1, unknown[at]) < (most, outside):
+                        best, most, outside = total, pieces[at] + 1, unknown[at]
+                at = parent[at]
+            parent.append(node)
+            node = nodes[token[:end]] = len(score)
+            score.append(best)
+            pieces.append(most)
+            unknown.append(outside)
+        return node
 
 
 def token_counts(

@@ -255,6 +255,22 @@ def test_trie_counts_equal_plain_segmentation(spark):
     assert tuple(got[1]) == (2, 0, 0, 0)
 
 
+def test_trie_looks_no_further_back_than_pieces_end():
+    cuts = []
+
+    class Word(str):
+        def __getitem__(self, at):
+            cuts.append(at)
+            return str.__getitem__(self, at)
+
+    trie = tokens.Trie({"a": -1.0, "b": -1.0, "ab": -1.5, "z" * 60: -1.0})
+    assert trie.count(Word("ab" * 50)) == (50, 0)
+    assert len(cuts) < 100 * 6
+    cuts.clear()
+    assert trie.count(Word("ab" * 50 + "a")) == (51, 0)
+    assert len(cuts) < 8  # the known prefix is not walked again
+
+
 # 4: packing
 
 
