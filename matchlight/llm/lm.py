@@ -10,10 +10,10 @@ first word, the sum of the (quantised) counts of its pairs, so that a probabilit
 and the probabilities after any word add up to one, up to the steps of that sum (within 2 %) and false positives: over a
 vocabulary of V words some V / 2,000 pairs appear that were never seen.
 
-Keys travel packed: a row holds all keys of a task's buffer that belong to one segment. The number of segments
+Keys travel packed: a row holds all keys of a block of texts that belong to one segment. The number of segments
 follows the length of the training texts, each segment is a filter sized by what it holds, and nothing that was
-counted stays outside. Segments are broadcast in blocks of at most ``BLOCK_BYTES``, a pass over the texts per block;
-between passes a text carries the levels found so far, four bytes a token.
+counted stays outside. Texts are read twice, whatever their number: keys of all texts go to their segments once, a segment
+fills its filter with those of training texts, probes it with all of them, and sends a byte a key back to the block.
 
 The base score is exact: the ``HEAD`` most frequent words are looked up in the task, all others by a join.
 """
@@ -25,14 +25,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from matchlight.llm.text import byte_words, prepare, remainder, with_fields
+from matchlight.llm.text import byte_words, prepare, remainder
 from matchlight.session import stored
 
-BLOCK_BYTES = 40 << 20
+BLOCK_BYTES = 40 << 20  # of the filter, for a reader who holds it in blocks
+TEXT_BYTES = 9 << 20  # of texts whose keys travel together
 SEGMENT_CHARS = 1 << 23  # training text per segment
 CONTEXT_SHARE = 8  # segments of pairs per segment of first words
 BITS_EACH = 14  # bits per insertion
@@ -41,9 +45,9 @@ HEAD = 200_000
 BASE = 1.5  # a level of words and of first words is one factor of this
 FINE = 10  # steps within a level of first words
 SMOOTHING = 20.0
-BUFFER = 1_500_000
 KNOWN_KEYS = 60_000
 WORDS, PAIRS, CONTEXTS, STEPS = 0, 1, 2, 3  # steps live in the segments of the first words
+ASKED = 4  # first words that a block asks for
 MOST = 255
 
 # Not words, as words hold no white space.
@@ -110,21 +114,48 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[at], np.add.reduceat(n, at)
 
 
-def _packed(kind: int, keys: np.ndarray, n: np.ndarray, segments: int) -> list[dict]:
-    """A row per segment with its keys and numbers."""
+def _dealt(keys: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """Segments of some keys, and the order that brings keys of a segment together."""
     segment = segment_of(keys, segments)
-    order = np.argsort(segment.astype(np.uint16) if segments <= 1 << 16 else segment, kind="stable")
+    return segment, np.argsort(segment.astype(np.uint16) if segments <= 1 << 16 else segment, kind="stable")
+
+
+def _packed(kind: int, keys: np.ndarray, n: np.ndarray, segments: int) -> list[dict]:
+    """A row per segment with its keys and numbers; those of first words have 32 bits."""
+    width = np.int32 if kind in (CONTEXTS, ASKED) else np.int64
+    segment, order = _dealt(keys, segments)
     segment, keys, n = segment[order], keys[order], n[order]
     cuts = np.r_[np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]]), len(keys)] if len(keys) else np.zeros(1, int)
     return [
-        {"kind": kind, "segment": int(segment[a]), "keys": keys[a:b].tobytes(), "n": n[a:b].tobytes()}
+        {"kind": kind, "segment": int(segment[a]), "keys": keys[a:b].astype(width).tobytes(), "n": n[a:b].tobytes()}
         for a, b in zip(cuts[:-1], cuts[1:])
     ]
 
 
-def _unpacked(frame: pd.DataFrame, number: type) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.frombuffer(b"".join(frame["keys"]), dtype=np.int64)
-    return keys, np.frombuffer(b"".join(frame["n"]), dtype=number)
+def _unpacked(frame: pd.DataFrame, number: type, width: type = np.int64) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.frombuffer(b"".join(frame["keys"]), dtype=width)
+    return keys.astype(np.int64), np.frombuffer(b"".join(frame["n"]), dtype=number)
+
+
+def _probed(kinds: tuple[int, ...], frame: pd.DataFrame, segment: int, segments: int, bits: bytes) -> list[dict]:
+    """The levels of the keys of each row, in their order, by probing the filter of the segment."""
+    if not len(frame):
+        return []
+    part, width = (CONTEXTS, np.int32) if STEPS in kinds else (kinds[0], np.int64)
+    size = np.zeros(segments, dtype=np.uint64)
+    size[segment] = len(bits) // 8
+    block = Block(np.frombuffer(bits, np.uint64), {part: np.zeros(segments, dtype=np.uint64)}, {part: size})
+    keys, at = np.unique(np.frombuffer(b"".join(frame["keys"]), dtype=width), return_inverse=True)
+    keys = keys.astype(np.int64)
+    cuts = np.cumsum([0, *(len(k) // np.dtype(width).itemsize for k in frame["keys"])])
+    rows = []
+    for kind in kinds:
+        levels = block.levels(keys, kind)[at]
+        rows += [
+            {"kind": kind, "segment": segment, "block": int(b), "n": levels[i:j].tobytes()}
+            for b, i, j in zip(frame["block"], cuts[:-1], cuts[1:])
+        ]
+    return rows
 
 
 def level_of(n: np.ndarray, base: float) -> np.ndarray:
@@ -271,91 +302,159 @@ class Model:
             yield Block(bits, start, size)
 
 
-def train(texts: DataFrame, segment_chars: int = SEGMENT_CHARS) -> Model:
-    """Count words and pairs of all rows of (text) and build the filter, segment by segment."""
-    prepare(texts.sparkSession)
-    chars = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    segments = max(32, int(chars) // segment_chars)
-    context_segments = max(4, segments // CONTEXT_SHARE)
-    packed_fields = "kind int, segment int, keys binary, n binary"
+REQUEST = "kind int, segment int, block long, keys binary, n binary"
+
+
+def text_blocks(docs: DataFrame, block_bytes: int = TEXT_BYTES) -> DataFrame:
+    """Rows of (doc_id, held_out, text) gathered into rows of about ``block_bytes`` of text, stored.
+
+    ``block`` plus the place in the lists is a number of its own for every row; it is fixed here, as the table is written once.
+    """
+    names = ("doc_id", "held_out", "text")
+    fields = [T.StructField(c, T.ArrayType(docs.schema[c].dataType)) for c in names]
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, held, size = TaskContext.get().partitionId() << 33, [], 0
+
+        def row() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            columns = [table[c].chunk(0) for c in names]
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
+            return pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), *lists], names=["block", *names])
+
+        for batch in batches:
+            sizes = [len(t.as_buffer()) if t.is_valid else 0 for t in batch.column(names.index("text"))]
+            start = 0
+            for i, n in enumerate(sizes):
+                size += n
+                if size >= block_bytes:
+                    held.append(batch.slice(start, i + 1 - start))
+                    yield row()
+                    first += sum(map(len, held))
+                    start, held, size = i + 1, [], 0
+            if start < len(sizes):
+                held.append(batch.slice(start))
+        if held:
+            yield row()
+
+    schema = T.StructType([T.StructField("block", T.LongType()), *fields])
+    return stored(docs.select(*names).mapInArrow(gather, schema), "texts")
+
+
+def _requests(texts: DataFrame, segments: int, context_segments: int) -> DataFrame:
+    """Keys of a block's texts (block, held_out, text), dealt to their segments, with counts in training rows.
+
+    Counts of keys in held-out rows only are 0. First words are asked for in segments behind the others, so that they pass by these.
+    """
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, words, pairs, size = WordKeys(), [], [], 0
+        known, words, pairs, trains, at = WordKeys(), [], [], [], None
 
         def table() -> pd.DataFrame:
+            train = np.concatenate(trains)
+            trains.clear()
             rows = []
             for kind, keys in ((WORDS, words), (PAIRS, pairs)):
                 whole = np.concatenate(keys)
                 keys.clear()
-                whole.sort()
-                at = np.flatnonzero(np.r_[True, whole[1:] != whole[:-1]])
-                key, n = whole[at], np.diff(np.r_[at, len(whole)])
-                del whole, at
+                key, n = _summed(whole, train)
+                del whole
                 rows += _packed(kind, key, n.astype(np.uint32), segments)
-            return pd.DataFrame(rows)
+            first = np.unique(context_keys(key))
+            asked = _packed(ASKED, first, np.zeros(len(first), dtype=np.uint8), context_segments)
+            rows += [r | {"segment": r["segment"] + segments, "n": b""} for r in asked]
+            return pd.DataFrame(rows).assign(block=at)[["kind", "segment", "block", "keys", "n"]]
 
         for frame in frames:
-            if not len(frame):
-                continue
-            _, key, before = _flat(frame["text"], known)
-            words.append(key)
-            pairs.append(pair_keys(before, key))
-            size += len(key)
-            if size >= BUFFER:
-                yield table()
-                size = 0
-        if size:
+            for block, part in frame.groupby("block", sort=False):
+                if at is not None and block != at:
+                    yield table()
+                at = block
+                row, key, before = _flat(part["text"], known)
+                words.append(key)
+                pairs.append(pair_keys(before, key))
+                trains.append((~part["held_out"].to_numpy(dtype=bool))[row].astype(np.int64))
+        if at is not None:
             yield table()
 
+    return texts.mapInPandas(count, REQUEST)
+
+
+def _fitted(requests: DataFrame, segments: int, context_segments: int, asks: bool) -> tuple[DataFrame, DataFrame]:
+    """What the segments make of their keys: (kind, segment, block, keys, n, bits), of words and pairs, and of first words.
+
+    With ``asks`` the rows hold the levels of the keys of each block in ``n``, without the filter itself.
+    """
+    fields = REQUEST + ", bits binary"
+    names = ["kind", "segment", "block", "keys", "n", "bits"]
+
+    def table(rows: list[dict]) -> pd.DataFrame:
+        empty = {"block": -1, "keys": b"", "n": b"", "bits": b""}
+        return pd.DataFrame([empty | r for r in rows], columns=names)
+
     def merge(group: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        segment = int(group[0])
+        if segment >= segments:
+            return frame.assign(segment=segment - segments, bits=b"")[names] if asks else table([])
         rows = []
         for kind in (WORDS, PAIRS):
-            keys, n = _unpacked(frame[frame["kind"] == kind], np.uint32)
+            own = frame[frame["kind"] == kind]
+            keys, n = _unpacked(own, np.uint32)
             keys, n = _summed(keys, n.astype(np.int64))
+            keys, n = keys[n > 0], n[n > 0]
+            level = level_of(n, BASE) + 1 if kind == WORDS else pair_levels(n)
+            bits = fill([(kind, keys, level)])
+            if asks:
+                rows += _probed((kind,), own, segment, segments, bits)
             if kind == WORDS:
-                bits = fill([(WORDS, keys, level_of(n, BASE) + 1)])
-                rows.append({"kind": WORDS, "segment": group[0], "keys": keys.tobytes(), "n": n.tobytes(), "bits": bits})
+                counted = {"keys": keys.tobytes(), "n": n.tobytes()}
+                rows.append({"kind": WORDS, "segment": segment, "bits": b"" if asks else bits} | counted)
                 continue
-            level = pair_levels(n)
-            rows.append({"kind": PAIRS, "segment": group[0], "keys": b"", "n": b"", "bits": fill([(PAIRS, keys, level)])})
+            if not asks:
+                rows.append({"kind": PAIRS, "segment": segment, "bits": bits})
             first, mass = _summed(context_keys(keys), pair_value(level))
-            rows += [r | {"bits": b""} for r in _packed(CONTEXTS, first, mass, context_segments)]
-        return pd.DataFrame(rows)
+            rows += _packed(CONTEXTS, first, mass, context_segments)
+        return table(rows)
 
     def contexts(group: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        keys, mass = _summed(*_unpacked(frame, np.float64))
+        segment = int(group[0])
+        keys, mass = _summed(*_unpacked(frame[frame["kind"] == CONTEXTS], np.float64, np.int32))
         exact = np.log(mass) / np.log(BASE)
         level = np.floor(exact).astype(np.int64)
         step = np.minimum(((exact - level) * FINE).astype(np.int64), FINE - 1)
         bits = fill([(CONTEXTS, keys, level + 1), (STEPS, keys, step)])
-        return pd.DataFrame({"kind": [CONTEXTS], "segment": [group[0]], "size": [len(bits)], "bits": [bits]})
+        if not asks:
+            return table([{"kind": CONTEXTS, "segment": segment, "bits": bits}])
+        return table(_probed((CONTEXTS, STEPS), frame[frame["kind"] == ASKED], segment, context_segments, bits))
+
+    # A segment is bounded: a key comes once per block of texts, and segments grow in number with the texts.
+    merged = stored(requests.groupBy("segment").applyInPandas(merge, fields), "merged")
+    inner = merged.where(F.col("kind").isin(CONTEXTS, ASKED))
+    return merged.where(~F.col("kind").isin(CONTEXTS, ASKED)), inner.groupBy("segment").applyInPandas(contexts, fields)
+
+
+def _segments(texts: DataFrame, segment_chars: int) -> tuple[int, int]:
+    chars = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    segments = max(32, int(chars) // segment_chars)
+    return segments, max(4, segments // CONTEXT_SHARE)
+
+
+def _model(merged: DataFrame, segments: DataFrame | None, counts: dict[int, int]) -> Model:
+    """The model of merged rows: exact counts of words, and the mean count of each level."""
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             key, n = _unpacked(frame, np.int64)
             yield pd.DataFrame({"key": key, "n": n})
 
-    # A segment is bounded: a key comes once per buffer, and segments grow in number with the texts.
-    merged = stored(
-        texts.select("text").mapInPandas(count, packed_fields).groupBy("segment").applyInPandas(merge, packed_fields + ", bits binary"),
-        "merged",
-    )
-    words = stored(merged.where(F.col("kind") == WORDS).select("keys", "n").mapInPandas(rows, "key long, n long"), "words")
-    fields = "kind int, segment int, size int, bits binary"
-    first = merged.where(F.col("kind") == CONTEXTS).select("segment", "keys", "n").groupBy("segment").applyInPandas(contexts, fields)
-    direct = merged.where(F.col("kind") != CONTEXTS).select("kind", "segment", F.octet_length("bits").alias("size"), "bits")
+    counted = merged.where((F.col("kind") == WORDS) & (F.col("block") < 0)).select("keys", "n")
+    words = stored(counted.mapInPandas(rows, "key long, n long"), "words")
     by_level = (
         words.groupBy(F.least(F.floor(F.log("n") / F.log(F.lit(BASE)) + 1e-9) + 1, F.lit(MOST)).cast("int").alias("level"))
         .agg(F.sum("n").alias("mass"), F.count("*").alias("v"))
         .collect()  # at most as many rows as levels
     )
-    model = Model(
-        words,
-        stored(direct.unionByName(first), "segments"),
-        {WORDS: segments, PAIRS: segments, CONTEXTS: context_segments},
-        sum(r.mass for r in by_level),
-        sum(r.v for r in by_level),
-    )
+    model = Model(words, segments, counts, sum(r.mass for r in by_level), sum(r.v for r in by_level))
     # A false positive may find a level that no word has: it stands for a factor more than the highest.
     for row in sorted(by_level, key=lambda r: r.level):
         model.means[row.level] = row.mass / row.v
@@ -365,95 +464,132 @@ def train(texts: DataFrame, segment_chars: int = SEGMENT_CHARS) -> Model:
     return model
 
 
+def train(texts: DataFrame, segment_chars: int = SEGMENT_CHARS) -> Model:
+    """Count words and pairs of all rows of (text) and build the filter, segment by segment."""
+    prepare(texts.sparkSession)
+    segments, context_segments = _segments(texts, segment_chars)
+    rows = text_blocks(texts.select(F.lit(0).alias("doc_id"), F.lit(False).alias("held_out"), "text"))
+    merged, first = _fitted(_requests(_rows(rows), segments, context_segments), segments, context_segments, asks=False)
+    whole = merged.unionByName(first).select("kind", "segment", F.octet_length("bits").alias("size"), "bits")
+    counts = {WORDS: segments, PAIRS: segments, CONTEXTS: context_segments}
+    return _model(merged, stored(whole, "segments"), counts)
+
+
+def _rows(blocks: DataFrame) -> DataFrame:
+    """The texts of blocks as rows again: those of a block come from one row, so they stay together and in order."""
+    return blocks.select("block", F.inline(F.arrays_zip("held_out", "text")))
+
+
 def score_documents(
-    docs: DataFrame, block_bytes: int = BLOCK_BYTES, head_size: int = HEAD, smoothing: float = SMOOTHING
+    docs: DataFrame, block_bytes: int = TEXT_BYTES, head_size: int = HEAD, smoothing: float = SMOOTHING
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): one row per input row.
 
     Training rows are those whose crc32(doc_id) mod 10 is not 0. NULL and empty texts are one
     token, the end. ``base_score`` uses exact counts, ``score`` the filter. Without training rows N and
-    V are 0: every token has the base probability 1, and the score is 0. A text is scored in one task, whatever its length.
+    V are 0: every token has the base probability 1, and the score is 0. Texts travel in blocks of about ``block_bytes``; a
+    text is scored in one task, whatever its length.
     """
     spark = docs.sparkSession
     prepare(spark)
+    # A shuffle's files go when its table is written, not when the driver next collects garbage; tables are packed tighter.
+    settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.parquet.compression.codec": "zstd"}
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        return _scored(docs, block_bytes, head_size, smoothing)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def _scored(docs: DataFrame, block_bytes: int, head_size: int, smoothing: float) -> DataFrame:
+    spark = docs.sparkSession
     source = docs.select("doc_id", "text", (remainder("doc_id", 10) == 0).alias("held_out"))
-    model = train(source.where("not held_out").select("text"))
-    words, norm, means = model.words, model.norm, model.means
-    bare = Model(None, None, model.counts, model.n, model.v, means)  # what tasks need
+    segments, context_segments = _segments(source.where("not held_out"), SEGMENT_CHARS)
+    blocks = text_blocks(source, block_bytes)
+    merged, first = _fitted(_requests(_rows(blocks), segments, context_segments), segments, context_segments, asks=True)
+    counts = {WORDS: segments, PAIRS: segments, CONTEXTS: context_segments}
+    model = _model(merged, None, counts)
+    words, norm = model.words, model.norm
+    bare = Model(None, None, counts, model.n, model.v, model.means)  # what tasks need
     top = words.orderBy(F.desc("n"), "key").limit(head_size).select("key", "n").toPandas().sort_values("key")
     head = spark.sparkContext.broadcast((top["key"].to_numpy(dtype=np.int64), top["n"].to_numpy(dtype=np.int64)))
 
-    def before_this(found: pd.Series, tokens: int) -> np.ndarray:
-        carried = b"".join(f for f in found if f is not None)
-        return np.frombuffer(carried, dtype=np.uint8).reshape(-1, 4) if carried else np.zeros((tokens, 4), dtype=np.uint8)
+    def looked_up(keys: np.ndarray, kinds: tuple[int, ...], answers: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
+        """The levels of distinct keys by kind, and where each of ``keys`` is among the distinct ones."""
+        distinct, at = np.unique(keys, return_inverse=True)
+        _, order = _dealt(distinct, counts[CONTEXTS if STEPS in kinds else kinds[0]])
+        found = []
+        for kind in kinds:
+            level = np.empty(len(distinct), dtype=np.uint8)
+            own = answers[answers["kind"] == kind].sort_values("segment")
+            level[order] = np.frombuffer(b"".join(own["n"]), dtype=np.uint8)
+            found.append(level)
+        return found, at
+
+    def token_levels(key: np.ndarray, before: np.ndarray, answers: pd.DataFrame) -> np.ndarray:
+        """Levels of word, pair, first word and its step for every token: tokens x 4."""
+        out = np.zeros((len(key), 4), dtype=np.uint8)
+        (level,), at = looked_up(key, (WORDS,), answers)
+        out[:, WORDS] = level[at]
+        pairs, at = np.unique(pair_keys(before, key), return_inverse=True)
+        (level,), _ = looked_up(pairs, (PAIRS,), answers)
+        out[:, PAIRS] = level[at]
+        levels, inner = looked_up(context_keys(pairs), (CONTEXTS, STEPS), answers)
+        for kind, level in zip((CONTEXTS, STEPS), levels):
+            out[:, kind] = level[inner][at]
+        return out
 
-    def passing(block):
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            known = WordKeys()
-            for part in parts:
-                row, key, before = _flat(part["text"], known)
-                levels = block.value.token_levels(key, before) + before_this(part["found"], len(key))
-                cut = np.searchsorted(row, np.arange(len(part) + 1))
-                yield pd.DataFrame({"levels": [levels[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]})
-
-        return run
-
-    def last(block):
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            known_keys = WordKeys()
-            head_key, head_n = head.value
-            for part in parts:
-                row, key, before = _flat(part["text"], known_keys)
-                rows = len(part)
-                at, unique = pd.factorize(key)
-                place = np.minimum(np.searchsorted(head_key, unique), max(len(head_key) - 1, 0))
-                in_head = head_key[place] == unique if len(head_key) else np.zeros(len(unique), dtype=bool)
-                exact = np.zeros(len(unique))
-                if len(head_key):
-                    exact[in_head] = np.log10((head_n[place[in_head]] + 0.1) / norm)
-                known = in_head[at]
-                # The rest by document and word.
-                rest_row, rest_key = row[~known], key[~known]
-                order = np.lexsort((rest_key, rest_row))
-                rest_row, rest_key = rest_row[order], rest_key[order]
-                new = np.ones(len(rest_row), dtype=bool)
-                new[1:] = (rest_row[1:] != rest_row[:-1]) | (rest_key[1:] != rest_key[:-1])
-                starts = np.flatnonzero(new)
-                times = np.diff(np.r_[starts, len(rest_row)])
-                rest_row, rest_key = rest_row[starts], rest_key[starts]
-                cut = np.searchsorted(rest_row, np.arange(rows + 1))
-                # The model.
-                score = np.zeros(len(key))
-                if bare.n:
-                    levels = block.value.token_levels(key, before) + before_this(part["found"], len(key))
-                    score = np.log10(bare.probability(levels, smoothing))
-                yield pd.DataFrame(
+    def score(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        head_key, head_n = head.value
+        made = []
+        for block, text in zip(texts["block"], texts["text"]):  # one row
+            row, key, before = _flat(text, WordKeys())
+            rows = len(text)
+            at, unique = pd.factorize(key)
+            place = np.minimum(np.searchsorted(head_key, unique), max(len(head_key) - 1, 0))
+            in_head = head_key[place] == unique if len(head_key) else np.zeros(len(unique), dtype=bool)
+            exact = np.zeros(len(unique))
+            if len(head_key):
+                exact[in_head] = np.log10((head_n[place[in_head]] + 0.1) / norm)
+            known = in_head[at]
+            # The rest by document and word.
+            rest_row, rest_key = row[~known], key[~known]
+            order = np.lexsort((rest_key, rest_row))
+            rest_row, rest_key = rest_row[order], rest_key[order]
+            new = np.ones(len(rest_row), dtype=bool)
+            new[1:] = (rest_row[1:] != rest_row[:-1]) | (rest_key[1:] != rest_key[:-1])
+            starts = np.flatnonzero(new)
+            times = np.diff(np.r_[starts, len(rest_row)])
+            rest_row, rest_key = rest_row[starts], rest_key[starts]
+            cut = np.searchsorted(rest_row, np.arange(rows + 1))
+            # The model.
+            points = np.zeros(len(key))
+            if bare.n:
+                points = np.log10(bare.probability(token_levels(key, before, answers), smoothing))
+            made.append(
+                pd.DataFrame(
                     {
+                        "place": block + np.arange(rows),
                         "n_tokens": np.bincount(row, minlength=rows),
                         "head_known": np.bincount(row, weights=known, minlength=rows).astype(np.int64),
                         "head_score": np.bincount(row, weights=exact[at], minlength=rows),
-                        "score": np.bincount(row, weights=score, minlength=rows),
+                        "score": np.bincount(row, weights=points, minlength=rows),
                         "rest_keys": [rest_key[a:b] for a, b in zip(cut[:-1], cut[1:])],
                         "rest_n": [times[a:b] for a, b in zip(cut[:-1], cut[1:])],
                     }
                 )
+            )
+        return pd.concat(made)
 
-        return run
-
-    # The place only tells rows apart; it is fixed here, as the table is written once.
-    current = source.withColumn("place", F.monotonically_increasing_id()).withColumn("found", F.lit(None).cast("binary"))
-    both = F.struct("text", "found")
-    waiting = None
-    for block in model.blocks(block_bytes):
-        if waiting is not None:
-            current = stored(with_fields(current, both, passing(waiting), "levels binary"), "levels")
-            current = current.drop("found").withColumnRenamed("levels", "found")
-            waiting.destroy()
-        waiting = spark.sparkContext.broadcast(block)
     fields = (
-        "n_tokens long, head_known long, head_score double, score double, rest_keys array<long>, rest_n array<long>"
+        "place long, n_tokens long, head_known long, head_score double, score double, rest_keys array<long>, rest_n array<long>"
     )
-    scored = stored(with_fields(current, both, last(waiting), fields).drop("text", "found"), "scored")
+    answers = merged.where("block >= 0").unionByName(first).select("kind", "segment", "block", "n")
+    both = blocks.select("block", "text").groupBy("block").cogroup(answers.groupBy("block"))
+    scored = stored(both.applyInPandas(score, fields), "scored")
     rest = (
         scored.select("place", F.explode(F.arrays_zip("rest_keys", "rest_n")).alias("r"))
         .select("place", F.col("r.rest_keys").alias("key"), F.col("r.rest_n").alias("times"))
@@ -464,7 +600,11 @@ def score_documents(
             F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rest_known"),
         )
     )
-    return scored.drop("rest_keys", "rest_n").join(rest, "place", "left").select(
+    ids = blocks.select("block", F.posexplode(F.arrays_zip("doc_id", "held_out")).alias("pos", "d")).select(
+        (F.col("block") + F.col("pos")).alias("place"), "d.doc_id", "d.held_out"
+    )
+    whole = ids.join(scored.drop("rest_keys", "rest_n"), "place").join(rest, "place", "left")
+    return whole.select(
         "doc_id",
         "held_out",
         "n_tokens",

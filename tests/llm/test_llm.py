@@ -27,6 +27,7 @@ from matchlight.llm import (
     tokens,
     toxicity,
 )
+from matchlight.session import stored
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SYLLABLES = "ba co di fu ge ha ki lo mu ne po qua ri so tu ve".split()
@@ -713,3 +714,23 @@ def test_pairs_seen_once_are_in_the_filter(spark):
     _, key, before = lm._flat(["alpha beta gamma", "delta beta"], lm.WordKeys())
     levels = block.levels(lm.pair_keys(before, key), lm.PAIRS)
     assert (levels >= 1).all() and lm.pair_value(lm.pair_levels(np.array([1, 2, 3]))).tolist() == [1.0, 2.5, 2.5]
+
+
+def test_texts_are_read_twice_whatever_the_size_of_the_filter(spark, monkeypatch):
+    docs = documents(spark, [(i, f"{prose(i % 9, 40)} {prose(i, 15)} w{i}") for i in range(300)] + [(None, "a b"), (None, None), (7, "again")])
+    tables = []
+    monkeypatch.setattr(lm, "stored", lambda df, label: tables.append(label) or stored(df, label))
+    got = lm.score_documents(docs, block_bytes=500).collect()
+    # One copy of the texts, however many blocks: no pass writes them again.
+    assert tables == ["texts", "merged", "words", "scored"]
+    assert sorted((r.doc_id is None, r.doc_id) for r in got if r.doc_id is not None) == sorted((False, i) for i in [*range(300), 7])
+    assert [r.n_tokens for r in got if r.doc_id is None] in ([3, 1], [1, 3])
+
+    # The levels that come back are those a reader of the whole filter finds.
+    train = docs.where(lm.remainder("doc_id", 10) != 0).select("text")
+    model = lm.train(train)
+    (block,) = model.blocks()
+    for row in got:
+        if row.doc_id is not None and row.doc_id < 300 and row.doc_id != 7:
+            _, key, before = lm._flat([f"{prose(row.doc_id % 9, 40)} {prose(row.doc_id, 15)} w{row.doc_id}"], lm.WordKeys())
+            assert row.score == pytest.approx(np.log10(model.probability(block.token_levels(key, before))).sum(), abs=1e-9)
