@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from matchlight.llm.components import components
 from matchlight.llm.text import byte_words, prepare, whole_groups, with_fields
+from matchlight.operators import bloom
 from matchlight.session import stored
 
 GROUP_ROWS = 8192
@@ -290,9 +291,11 @@ def link(fps: DataFrame, names: list[str], most: int, plan) -> DataFrame:
     """(u, v): links between distinct fingerprints of (node, *names), enough to connect all linked.
 
     ``fps`` has one row per fingerprint. Two fingerprints that share a key and differ in at most
-    ``most`` bits are joined by a chain of links.
+    ``most`` bits are joined by a chain of links. A fingerprint of 64 bits may be its own node: ``names`` is
+    ["node"] then, and nothing else travels with a key.
     """
-    return _dealt(_spread(fps, names, names, plan), lambda frame: _links(frame, names, most))
+    carried = [n for n in names if n != "node"]
+    return _dealt(_spread(fps, names, carried, plan), lambda frame: _links(frame, names, most))
 
 
 def _spread(fps: DataFrame, names: list[str], carried: list[str], plan) -> DataFrame:
@@ -306,8 +309,13 @@ def _spread(fps: DataFrame, names: list[str], carried: list[str], plan) -> DataF
                 out.insert(0, "cell", cell)
                 yield out
 
-    columns = ", ".join(f"{n} long" for n in carried)
-    return fps.select("node", *carried).mapInPandas(spread, f"cell long, node long, {columns}")
+    columns = ", ".join(f"{n} long" for n in ("cell", "node", *carried))
+    return fps.select("node", *carried).mapInPandas(spread, columns)
+
+
+def _cell_sizes(cells: DataFrame) -> DataFrame:
+    """(cell, count) of cells dealt by ``cell``. All columns are read, so that the shuffle of the rows serves the count, too."""
+    return cells.groupBy("cell").agg(F.count(F.coalesce(*reversed(cells.columns))).alias("count"))
 
 
 def _dealt(cells: DataFrame, links) -> DataFrame:
@@ -318,11 +326,13 @@ def _dealt(cells: DataFrame, links) -> DataFrame:
         for frame in whole_groups(frames, ["group"], len, FRAME_ROWS):
             yield links(frame)
 
-    cells = cells.repartition("cell")
-    hot = cells.groupBy("cell").count().where(F.col("count") > GROUP_ROWS)
+    # No cell is NULL. Said here, all three readers have the same rows, which are shuffled once.
+    cells = cells.where("cell is not null").repartition("cell")
+    hot = _cell_sizes(cells).where(F.col("count") > GROUP_ROWS)
     one = (
-        cells.join(hot, "cell", "left_anti")
-        .withColumnRenamed("cell", "group")
+        cells.join(hot, "cell", "left")  # an anti join would go below the shuffle, which then serves it alone
+        .where("count is null")
+        .select(F.col("cell").alias("group"), *carried)
         .sortWithinPartitions("group")
         .mapInPandas(compare, "u long, v long")
     )
@@ -347,7 +357,8 @@ def near_duplicates(fps: DataFrame, lanes: int, most: int, plan) -> DataFrame:
     Equal fingerprints are one node, so a group of copies costs one row. Rows with a NULL
     doc_id take part; a component of such rows alone has component NULL.
     """
-    return _classes(fps, lanes, lambda nodes: link(nodes, [f"f{i}" for i in range(lanes)], most, plan))
+    names = ["node"] if lanes == 1 else [f"f{i}" for i in range(lanes)]
+    return _classes(fps, lanes, lambda nodes: link(nodes, names, most, plan))
 
 
 def _classes(fps: DataFrame, lanes: int, links) -> DataFrame:
@@ -493,10 +504,18 @@ def similar_documents(docs: DataFrame, similar: float = SIMILAR, slack: float =
             made.groupBy(*names).agg(F.min(row).alias("row")).select(F.xxhash64(*names).alias("node"), *names, "row.*"),
             "sets",
         ).where("shingles > 0")
-        near = link(one.select("node", names[0]), names[:1], CLOSE, exact_plan())
+        # Nodes with the same first 64 bits hang on the least of them, which stands for these bits.
+        least = stored(one.groupBy(names[0]).agg(F.min("node").alias("least")), "first-bits")
+        same_bits = one.select("node", names[0]).join(least, names[0]).select(F.col("node").alias("u"), F.col("least").alias("v"))
+        # The table is small, the work on a row of it is not.
+        first = least.select(F.col(names[0]).alias("node")).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
+        near = link(first, ["node"], CLOSE, exact_plan())
+        for end in ("u", "v"):
+            near = near.join(least.withColumnRenamed(names[0], end), end).drop(end).withColumnRenamed("least", end)
+        near = near.select("u", "v").unionByName(same_bits.where("u <> v"))
         # Fingerprints travel only to keys that two nodes share.
-        cells = one.select(F.explode("cells").alias("cell"), "node").repartition("cell")
-        shared = cells.join(cells.groupBy("cell").count().where("count > 1"), "cell", "left_semi")
+        cells = one.select(F.explode("cells").alias("cell"), "node").where("cell is not null").repartition("cell")
+        shared = cells.join(_cell_sizes(cells).where("count > 1"), "cell").drop("count")
         cells = shared.join(one.select("node", "shingles", *names), "node").select("cell", "node", "shingles", *names)
         loose = components(stored(near.unionByName(_dealt(cells, likely)), "candidate-links"))
         asked = stored(one.select("node", "doc_id", "text_key", "shingles").join(loose, "node"), "candidates")
@@ -505,7 +524,8 @@ def similar_documents(docs: DataFrame, similar: float = SIMILAR, slack: float =
             "node", "component", "blocks", F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_key")
         )
         same = source["doc_id"].eqNullSafe(wanted["k_id"]) & (source["text_key"] == wanted["k_key"])
-        texts = source.join(wanted, same).select("node", "component", "blocks", "text")
+        # Only texts that may be candidates are shuffled.
+        texts = bloom.may_match(source, ["text_key"], asked, "text_key").join(wanted, same).select("node", "component", "blocks", "text")
         pairs = (
             texts.select("node", "component", "blocks", F.pandas_udf(hashes, "binary")("text").alias("hashes"))
             .withColumn("own", F.pmod(F.hash("node"), F.col("blocks")))
@@ -534,11 +554,19 @@ def keep_one(docs: DataFrame) -> DataFrame:
         .select(F.col("first.doc_id").alias("k_id"), F.col("first.text_key").alias("k_key"))
         .distinct()
     )
-    repeated = found.groupBy("doc_id", "text_key").count().where("count > 1")
+    # Rows that go, and repeated rows; texts of all others need no shuffle.
+    own = F.xxhash64("doc_id", "text_key")
+    kept_here = found["doc_id"].eqNullSafe(keep["k_id"]) & (found["text_key"] == keep["k_key"])
+    gone = stored(found.join(keep, kept_here, "left_anti").select("doc_id", "text_key").distinct(), "gone")
+    repeated = found.groupBy("doc_id", "text_key").count().where("count > 1").select("doc_id", "text_key")
+    repeats = repeated.limit(1).count() > 0
+    asked = gone.unionByName(repeated) if repeats else gone
     name = "key_of_" + "_".join(docs.columns)
     keyed = docs.withColumn(name, F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = keyed["doc_id"].eqNullSafe(keep["k_id"]) & (keyed[name] == keep["k_key"])
-    kept = keyed.join(keep, same, "left_semi")
-    if repeated.limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", name])
-    return kept.select(*docs.columns)
+    row, in_doubt = f"row_{name}", f"doubt_{name}"
+    keyed = bloom.marked(keyed.withColumn(row, F.xxhash64("doc_id", name)), [row], asked.select(own.alias("row")), "row", in_doubt)
+    same = keyed["doc_id"].eqNullSafe(gone["doc_id"]) & (keyed[name] == gone["text_key"])
+    doubtful = keyed.where(F.col(in_doubt)).join(gone, same, "left_anti")
+    if repeats:
+        doubtful = doubtful.dropDuplicates(["doc_id", name])
+    return keyed.where(~F.col(in_doubt)).unionByName(doubtful).select(*docs.columns)

@@ -415,6 +415,56 @@ def test_a_link_that_fails_does_not_displace_one_that_holds(spark):
     assert {r.doc_id for r in simhash.keep_one(docs).collect()} == {0, 2}
 
 
+def shuffled(df) -> int:
+    """Bytes written by the shuffles of a plan that ran."""
+
+    def walk(plan):
+        text = plan.nodeName()
+        if text.startswith("AdaptiveSparkPlan"):
+            return walk(plan.executedPlan())
+        if "QueryStage" in text:
+            return walk(plan.plan())
+        children = plan.children()
+        own = plan.metrics().apply("shuffleBytesWritten").value() if text == "Exchange" else 0
+        return own + sum(walk(children.apply(i)) for i in range(children.size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_texts_that_stay_are_not_shuffled(spark):
+    texts = [prose(7000 + i, 400) for i in range(300)]
+    docs = documents(spark, list(enumerate([*texts, texts[5]])))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = simhash.keep_one(docs)
+        assert {r.doc_id for r in out.collect()} == set(range(300))
+        assert shuffled(out) < 0.1 * sum(map(len, texts))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_cells_are_shuffled_once(spark):
+    fps = stored(spark.range(50).select(F.xxhash64("id").alias("node"), F.xxhash64("id").alias("f0")), "fps")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        plan = simhash.link(fps, ["f0"], 3, simhash.exact_plan())._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert plan.count("MapInPandas spread(") == 1
+
+
+def test_repeated_rows_and_rows_without_id_among_those_that_stay(spark):
+    a, b, c = (prose(7400 + i, 120) for i in range(3))
+    docs = documents(spark, [(1, a), (1, a), (2, a), (None, a), (None, b), (None, b), (3, c), (4, None), (4, None), (5, "")])
+    kept = collections.Counter((r.doc_id, r.text) for r in simhash.keep_one(docs).collect())
+    assert kept == {(1, a): 1, (None, b): 1, (3, c): 1, (4, None): 1}
+
+
 def test_near_duplicates_around_the_limit(spark):
     """Pairs at similarities 0.72 to 0.85 against brute force."""
     draw = np.random.default_rng(31)
