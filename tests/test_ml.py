@@ -31,6 +31,17 @@ def rows(spark):
     return stored(T.training_rows(d), "rows")
 
 
+def test_training_rows_roll_matches_up_once(small):
+    made = T.training_rows(small)
+    assert "moves_count" not in made._jdf.queryExecution().optimizedPlan().toString()
+    kept = small.stats.where("total_games_played > 0 and total_time_played_minutes > 0")
+    columns = ["player_id", "game_id", "total_games_played", "total_wins", "total_moves", "first_played", "last_played"]
+    assert sorted(map(tuple, made.select(columns).collect())) == sorted(map(tuple, kept.select(columns).collect()))
+    assert made.where("game_avg_win_rate is null or next_game_win is null").count() == 0
+    whole = small.rolled_up()
+    assert whole.has_stats and whole.rolled_up() is whole and not small.has_stats
+
+
 def test_training_is_repeatable_and_better_than_chance(rows):
     first = M.train(rows, T.WIN_BINARY, models=("gradient_boosting",), size=TINY)
     again = M.train(rows.repartition(3), T.WIN_BINARY, models=("gradient_boosting",), size=TINY)
