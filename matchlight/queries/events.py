@@ -270,7 +270,7 @@ def run_changes(d, *messages):
     store = I.EventStore(d.spark, f"{root}/tables")
     for part in (d.match_messages, *messages):
         # No fewer tasks than the tables have: one that works off many partitions adds up their memory.
-        part.write.mode("append").json(f"{root}/inbox")
+        part.write.mode("append").option("compression", "gzip").json(f"{root}/inbox")
         stream = I.message_stream(d.spark, f"{root}/inbox")
         I.start_match_ingest(stream, store, d.game_names, d.players, f"{root}/checkpoint", d.as_of).awaitTermination()
     return store
