@@ -214,3 +214,31 @@ def test_message_files_follow_the_rows_and_no_task_works_off_many_partitions(spa
     assert len(files(queries.run_changes(d))) == 6
     written = files(queries.run_match_stream(d))
     assert len(written) == 10 and all(name.endswith(".gz") for name in written)
+
+
+def test_state_lies_on_disk_and_the_session_keeps_its_settings(spark, small, tmp_path):
+    inbox, key = str(tmp_path / "inbox"), "spark.sql.streaming.stateStore.providerClass"
+    good = [(k, b) for k, b in MESSAGES if k == "game.over"]
+    spark.createDataFrame(good + good, "routing_key string, body string").coalesce(1).write.json(inbox)
+    before = spark.conf.get(key)
+    store = I.EventStore(spark, str(tmp_path / "tables"))
+    I.start_match_ingest(I.message_stream(spark, inbox), store, small.game_names, small.players, str(tmp_path / "cp"), AS_OF).awaitTermination()
+    files = {f.suffix for f in (tmp_path / "cp" / "state").rglob("*.*") if not f.name.startswith(".")}
+    assert ".changelog" in files and ".delta" not in files
+    assert spark.conf.get(key) == before and "RocksDB" not in before
+    assert sorted(r.match_id for r in store.matches().collect()) == [100, 101, 108]
+
+
+def test_changes_arrive_in_compressed_files(spark, monkeypatch):
+    from pathlib import Path
+    from types import SimpleNamespace
+
+    from matchlight.queries import events as queries
+
+    monkeypatch.setattr(queries.I, "start_match_ingest", lambda *_: SimpleNamespace(awaitTermination=lambda: None))
+    messages = spark.range(0, 20, 1, 2).selectExpr("'game.over' as routing_key", "cast(id as string) as body")
+    d = SimpleNamespace(spark=spark, match_messages=messages, game_names=None, players=None, as_of=None)
+    inbox = Path(queries.run_changes(d, messages).root.removeprefix("file:")).parent / "inbox"
+    found = [f.name for f in inbox.iterdir() if f.name.startswith("part-")]
+    assert len(found) == 4 and all(name.endswith(".gz") for name in found)
+    assert spark.read.json(str(inbox)).count() == 40
