@@ -139,3 +139,27 @@ def test_a_pass_holds_bytes_and_equals_lookups_by_row():
         want.append(node)
     assert tree.nodes(bins, 4).tolist() == want
     assert B.walk([tree], bins, 4).nbytes == 400
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_blocks_carry_margins_and_written_ones_go(spark, parts, monkeypatch):
+    from pathlib import Path
+
+    from matchlight.session import _scratch_root
+
+    x, y = three_classes(300)
+    monkeypatch.setattr(B, "STORE_EVERY", 2)
+    folder = Path(_scratch_root(spark).removeprefix("file:"))
+    before = {f.name for f in folder.glob("margins-*")}
+    grown, _, stored, kept = B.grow(table(spark, x, y).coalesce(parts), "softmax", 2, 7, 2)
+    blocks = kept[0].collect()
+    assert sum(len(b.label) for b in blocks) == 300 and kept[0].is_cached
+    assert sorted(b for k in blocks for b in map(bytes, k.bins)) == sorted(map(bytes, stored.toPandas()["bins"]))
+    for block in blocks:
+        assert np.allclose(block.margins, grown.margins(block._replace(margins=None)))
+    assert len({f.name for f in folder.glob("margins-*")} - before) == 1
+    for rdd in kept:
+        rdd.unpersist(True)
+    held = len(spark.sparkContext._jsc.getPersistentRDDs())
+    B.Boosting(loss="softmax", rounds=3, depth=2).fit(table(spark, x, y))
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == held
