@@ -37,6 +37,7 @@ from matchlight.session import stored
 
 BLOCK_BYTES = 40 << 20  # of the filter, for a reader who holds it in blocks
 TEXT_BYTES = 9 << 20  # of texts whose keys travel together
+ROW_GROUP = 16 << 20  # of text blocks in their files: what a task that writes or reads them holds, beside one block
 SEGMENT_CHARS = 1 << 23  # training text per segment
 CONTEXT_SHARE = 8  # segments of pairs per segment of first words
 BITS_EACH = 14  # bits per insertion
@@ -338,7 +339,10 @@ def text_blocks(docs: DataFrame, block_bytes: int = TEXT_BYTES) -> DataFrame:
             yield row()
 
     schema = T.StructType([T.StructField("block", T.LongType()), *fields])
-    return stored(docs.select(*names).mapInArrow(gather, schema), "texts")
+    # The writer looks at its memory after every row; by default it would after a hundred, which is a whole file of blocks.
+    options = {"parquet.block.size": ROW_GROUP, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1}
+    options |= {"parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
+    return stored(docs.select(*names).mapInArrow(gather, schema), "texts", options)
 
 
 def _requests(texts: DataFrame, segments: int, context_segments: int) -> DataFrame:
@@ -493,7 +497,13 @@ def score_documents(
     spark = docs.sparkSession
     prepare(spark)
     # A shuffle's files go when its table is written, not when the driver next collects garbage; tables are packed tighter.
-    settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.parquet.compression.codec": "zstd"}
+    # Blocks are read one by one and tables with packed keys in small batches: a batch of 4,096 rows would be a whole file.
+    settings = {
+        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+        "spark.sql.parquet.compression.codec": "zstd",
+        "spark.sql.parquet.enableNestedColumnVectorizedReader": "false",
+        "spark.sql.parquet.columnarReaderBatchSize": "512",
+    }
     before = {key: spark.conf.get(key) for key in settings}
     for key, value in settings.items():
         spark.conf.set(key, value)

@@ -784,3 +784,20 @@ def test_texts_are_read_twice_whatever_the_size_of_the_filter(spark, monkeypatch
         if row.doc_id is not None and row.doc_id < 300 and row.doc_id != 7:
             _, key, before = lm._flat([f"{prose(row.doc_id % 9, 40)} {prose(row.doc_id, 15)} w{row.doc_id}"], lm.WordKeys())
             assert row.score == pytest.approx(np.log10(model.probability(block.token_levels(key, before))).sum(), abs=1e-9)
+
+
+def test_text_blocks_are_written_and_read_a_few_at_a_time(spark, monkeypatch):
+    import pyarrow.parquet as pq
+    from matchlight.llm import lm
+
+    monkeypatch.setattr(lm, "ROW_GROUP", 100_000)
+    texts = spark.range(0, 400, 1, 1).selectExpr("id as doc_id", "false as held_out", "array_join(transform(sequence(1, 1500), i -> hex(xxhash64(id, i))), ' ') as text")
+    blocks = lm.text_blocks(texts, 50_000)
+    (file,) = [f.removeprefix("file:") for f in blocks.inputFiles()]
+    about = pq.ParquetFile(file).metadata
+    sizes = [about.row_group(i).total_byte_size for i in range(about.num_row_groups)]
+    assert about.num_rows > 100 and max(sizes) < 400_000
+    asked = []
+    monkeypatch.setattr(lm, "_scored", lambda *_: asked.append([spark.conf.get(f"spark.sql.parquet.{k}") for k in ("enableNestedColumnVectorizedReader", "columnarReaderBatchSize")]))
+    lm.score_documents(texts)
+    assert asked == [["false", "512"]] and spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "4096"
