@@ -243,3 +243,44 @@ def test_tasks_side_by_side_run_at_the_same_time_and_keep_their_order(spark):
         return spark.range(n).count()
 
     assert side_by_side(spark, [lambda: task(3), lambda: task(5)], 2) == [3, 5]
+
+
+def test_grid_search_tries_every_model_on_its_whole_grid(monkeypatch):
+    from types import SimpleNamespace
+
+    from matchlight.queries import models as Q
+    from matchlight.queries.base import REGISTRY
+
+    asked = {}
+    monkeypatch.setattr(Q.T, "training_rows", lambda d: None)
+    monkeypatch.setattr(Q.M, "train", lambda rows, target, **options: asked.update(options, target=target) or SimpleNamespace(table=lambda s: None))
+    REGISTRY["grid_search"].run(SimpleNamespace(spark=None))
+    assert (asked.get("models") or asked["target"].models) == T.CLASSIFIERS
+    sizes = {}
+    for name in T.CLASSIFIERS:
+        stages = M.estimator(T.CHURN, name)
+        sizes[name] = len(M._grid(stages, asked["grid"][name]))
+    assert sizes == {"random_forest": 6, "gradient_boosting": 18, "logistic": 6, "svm": 6}
+    assert asked["grid"]["random_forest"]["numTrees"] == [100, 200] and max(asked["grid"]["random_forest"]["maxDepth"]) == 30
+
+
+def test_grids_of_all_models(rows):
+    grid = {
+        "svm": {"regParam": [0.01, 0.001], "featuresCol": ["features", "fourier"]},
+        "gradient_boosting": {"rounds": [1, 3], "rate": [0.1, 0.5], "depth": [1, 2]},
+    }
+    done = M.train(rows, T.CHURN, models=tuple(grid), size=TINY, grid=grid)
+    assert all(0.5 < mean <= 1 for _, mean, *_ in done.scores) and len(done.scores) == 2
+
+
+def test_fewer_rounds_are_the_first_of_more(rows):
+    from pyspark.ml import Pipeline
+
+    data = M.prepare(rows, T.CHURN, 2)
+    ready = Pipeline(stages=M.feature_stages(T.CHURN)).fit(data).transform(data)
+    short, long = (M.Boosting(loss="logistic", rounds=n, depth=2, rate=0.3) for n in (2, 4))
+    for (model, scores), alone in zip(long.staged(ready, 2, [2, 4]), (short, long)):
+        other, expected = alone.cross_validate(ready, 2)
+        assert scores == pytest.approx(expected)
+        got, want = (sorted(p[1] for p in M.F.broadcast(m.transform(ready)).select("probability").toPandas()["probability"]) for m in (model, other))
+        assert got == pytest.approx(want)
