@@ -154,6 +154,7 @@ def test_blocks_carry_margins_and_written_ones_go(spark, parts, monkeypatch):
     grown, _, stored, kept = B.grow(table(spark, x, y).coalesce(parts), "softmax", 2, 7, 2)
     blocks = kept[0].collect()
     assert sum(len(b.label) for b in blocks) == 300 and kept[0].is_cached
+    assert (kept[0].getNumPartitions() == 1) == (parts == 1)
     assert sorted(b for k in blocks for b in map(bytes, k.bins)) == sorted(map(bytes, stored.toPandas()["bins"]))
     for block in blocks:
         assert np.allclose(block.margins, grown.margins(block._replace(margins=None)))
