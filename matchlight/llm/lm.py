@@ -21,6 +21,7 @@ The base score is exact: the ``HEAD`` most frequent words are looked up in the t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,7 +29,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -306,6 +307,19 @@ class Model:
 REQUEST = "kind int, segment int, block long, keys binary, n binary"
 
 
+@contextmanager
+def _settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """The session with some settings, and with its own again afterwards."""
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def text_blocks(docs: DataFrame, block_bytes: int = TEXT_BYTES) -> DataFrame:
     """Rows of (doc_id, held_out, text) gathered into rows of about ``block_bytes`` of text, stored.
 
@@ -340,9 +354,9 @@ def text_blocks(docs: DataFrame, block_bytes: int = TEXT_BYTES) -> DataFrame:
 
     schema = T.StructType([T.StructField("block", T.LongType()), *fields])
     # The writer looks at its memory after every row; by default it would after a hundred, which is a whole file of blocks.
-    options = {"parquet.block.size": ROW_GROUP, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1}
-    options |= {"parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
-    return stored(docs.select(*names).mapInArrow(gather, schema), "texts", options)
+    settings = {f"parquet.{part}.size.row.check.{end}": "1" for part in ("block", "page") for end in ("min", "max")}
+    with _settings(docs.sparkSession, settings | {"parquet.block.size": str(ROW_GROUP)}):
+        return stored(docs.select(*names).mapInArrow(gather, schema), "texts")
 
 
 def _requests(texts: DataFrame, segments: int, context_segments: int) -> DataFrame:
@@ -504,14 +518,8 @@ def score_documents(
         "spark.sql.parquet.enableNestedColumnVectorizedReader": "false",
         "spark.sql.parquet.columnarReaderBatchSize": "512",
     }
-    before = {key: spark.conf.get(key) for key in settings}
-    for key, value in settings.items():
-        spark.conf.set(key, value)
-    try:
+    with _settings(spark, settings):
         return _scored(docs, block_bytes, head_size, smoothing)
-    finally:
-        for key, value in before.items():
-            spark.conf.set(key, value)
 
 
 def _scored(docs: DataFrame, block_bytes: int, head_size: int, smoothing: float) -> DataFrame:
