@@ -245,7 +245,7 @@ def test_tasks_side_by_side_run_at_the_same_time_and_keep_their_order(spark):
     assert side_by_side(spark, [lambda: task(3), lambda: task(5)], 2) == [3, 5]
 
 
-def test_grid_search_tries_every_model_on_its_whole_grid(monkeypatch):
+def test_grid_search_tries_every_model_on_its_whole_grid(spark, monkeypatch):
     from types import SimpleNamespace
 
     from matchlight.queries import models as Q
